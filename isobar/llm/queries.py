@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .mixing import OP1_SQL, op1_weighted_fair_mix
+from .pii import op4_feistel_pseudonyms
 from .sharding import op10_rendezvous_sharding
 
 QUERIES = {
     "op1_weighted_fair_mix": op1_weighted_fair_mix,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
