@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe_transducer
 from .mixing import OP1_SQL, op1_weighted_fair_mix
 from .pii import op4_feistel_pseudonyms
 from .sharding import op10_rendezvous_sharding
+from .topk import OP7_SQL, op7_maxscore_top20
 
 QUERIES = {
     "op1_weighted_fair_mix": op1_weighted_fair_mix,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
+    "op7_maxscore_top20": op7_maxscore_top20,
+    "op9_bpe_transducer": op9_bpe_transducer,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
 
 ORACLE_SQL = {
     "op1_weighted_fair_mix": OP1_SQL,
+    "op7_maxscore_top20": OP7_SQL,
 }
