@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Words, table
+from .shared import Words, table, text_blocks
 
 #: Words compiled into the automaton at most, and bytes of the longest.
 LEXICON_WORDS = 100_000
@@ -255,17 +255,6 @@ def _encoder(path: str, block) -> Encoder:
     return _WORKER["encoder"]
 
 
-def _blocks(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text; a single longer text is a slice of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n: how often each run without ASCII white space occurs over all texts; counted in each task first."""
 
@@ -277,7 +266,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for whole in batches:
-            for batch in _blocks(whole):
+            for batch in text_blocks(whole):
                 words = Words(batch.column("text"))
                 n = np.bincount(words.codes, minlength=len(words.vocab)).astype(np.int64)
                 held.append(pa.table({"word": words.vocab.cast(pa.string()), "n": n}))
@@ -312,7 +301,7 @@ def encode(docs: DataFrame, path: str, lexicon: bytes | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _blocks(whole):
+            for batch in text_blocks(whole):
                 ids, starts = _encoder(path, block).encode(batch.column("text"))
                 offsets = pa.py_buffer((starts * 4).astype(np.int64))
                 out = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, offsets, pa.py_buffer(ids.astype("<u4"))])

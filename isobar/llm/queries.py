@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe import op9_bpe_transducer
 from .mixing import OP1_SQL, op1_weighted_fair_mix
 from .pii import op4_feistel_pseudonyms
+from .quality import op2_nbsvm_quality
 from .sharding import op10_rendezvous_sharding
 from .topk import OP7_SQL, op7_maxscore_top20
 
 QUERIES = {
     "op1_weighted_fair_mix": op1_weighted_fair_mix,
+    "op2_nbsvm_quality": op2_nbsvm_quality,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op7_maxscore_top20": op7_maxscore_top20,
     "op9_bpe_transducer": op9_bpe_transducer,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,17 @@ class Words:
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
-MIX = np.uint64(0x9E3779B97F4A7C15)
+def text_blocks(batch: pa.RecordBatch, most: int = 8_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text; a single longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -89,3 +100,58 @@ def string_hashes(words: pa.Array) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, balance: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(texts, labels, doc_ids) of at most ``most`` labelled documents outside the held-out fold, on the driver.
+
+    The fold is crc32(doc_id as text) mod ``folds``; the sample is the first rows in the order of
+    the id's hash, the same in each run.  ``balance`` takes up to half of the bound from each class.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held(F.col("doc_id"), folds, held))
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
+    if balance:
+        picks = known.where("y = 1").orderBy(*order).limit(most // 2).unionByName(known.where("y <> 1").orderBy(*order).limit(most // 2))
+    else:
+        picks = known.orderBy(*order).limit(most)
+    # at most ``most`` pairs of numbers
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picks), "doc_id").toArrow().sort_by("doc_id")
+    return found.column("text").to_pylist(), found.column("y").to_numpy().astype(np.int64), found.column("doc_id").to_numpy()
+
+
+def is_held(doc_id, folds: int, held: int):
+    """Whether a document is in the held-out fold; a null id is not."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds == held, F.lit(False))
+
+
+def with_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], name: str = "score", text: str = "text") -> DataFrame:
+    """``docs`` with ``scorer(texts)`` added as a double; replaces a column of that name."""
+    kept = docs.drop(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_blocks(whole, text=text):
+                score = pa.array(np.asarray(scorer(batch.column(text)), np.float64))
+                yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
+
+    return kept.mapInArrow(run, f"{kept._jdf.schema().toDDL()}, `{name}` double")
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+    """Weights of a small logistic regression by Newton steps; the last one is the intercept."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = sigmoid(x @ w)
+        grad = x.T @ (p - y) + ridge * w
+        hess = (x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(len(w))
+        step = np.linalg.solve(hess, grad)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
