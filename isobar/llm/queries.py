@@ -8,11 +8,13 @@ from .pii import op4_feistel_pseudonyms
 from .quality import op2_nbsvm_quality
 from .sharding import op10_rendezvous_sharding
 from .topk import OP7_SQL, op7_maxscore_top20
+from .toxicity import op5_bigru_toxicity
 
 QUERIES = {
     "op1_weighted_fair_mix": op1_weighted_fair_mix,
     "op2_nbsvm_quality": op2_nbsvm_quality,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
+    "op5_bigru_toxicity": op5_bigru_toxicity,
     "op7_maxscore_top20": op7_maxscore_top20,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
