@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe_transducer
+from .lines import op6_crf_line_rules
 from .mixing import OP1_SQL, op1_weighted_fair_mix
 from .pii import op4_feistel_pseudonyms
 from .quality import op2_nbsvm_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_nbsvm_quality": op2_nbsvm_quality,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_bigru_toxicity": op5_bigru_toxicity,
+    "op6_crf_line_rules": op6_crf_line_rules,
     "op7_maxscore_top20": op7_maxscore_top20,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
