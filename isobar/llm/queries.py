@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe_transducer
+from .jaccard import op3_rtree_jaccard
 from .lines import op6_crf_line_rules
 from .mixing import OP1_SQL, op1_weighted_fair_mix
 from .pii import op4_feistel_pseudonyms
@@ -14,6 +15,7 @@ from .toxicity import op5_bigru_toxicity
 QUERIES = {
     "op1_weighted_fair_mix": op1_weighted_fair_mix,
     "op2_nbsvm_quality": op2_nbsvm_quality,
+    "op3_rtree_jaccard": op3_rtree_jaccard,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_bigru_toxicity": op5_bigru_toxicity,
     "op6_crf_line_rules": op6_crf_line_rules,

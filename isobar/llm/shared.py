@@ -58,8 +58,6 @@ class Words:
 
     def __init__(self, texts: pa.Array, lower: bool = False) -> None:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if lower:
-            texts = pc.ascii_lower(texts)
         parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
         lengths = np.diff(parts.offsets.to_numpy())
         # an all-blank text splits into one empty part
@@ -70,7 +68,8 @@ class Words:
             lengths = np.where(blank, 0, lengths)
         coded = flat.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.vocab = coded.dictionary
+        # lower-cased, two codes can have equal words
+        self.vocab = pc.ascii_lower(coded.dictionary) if lower else coded.dictionary
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
