@@ -23,7 +23,8 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
 
     Weights repeat over the sources in code point order, null last.  With caps taken in the
     order of cap over weight, all sources up to some place are full and the rest divide what
-    is left by weight; that place is the last at which the level still reaches the cap.
+    is left by weight.  From the first source that isn't full on, the level of each place is lower than
+    its predecessor's, so the largest level among the sources that aren't full is theirs.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -34,7 +35,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(rise), F.lit(0))
     )
     full = ranked.withColumn("level", level).withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
-    open_level = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
+    open_level = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     return full.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(open_level * F.col("weight")).cast("double").alias("target"))
 
 
@@ -137,7 +138,7 @@ sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM slim GROU
 ranked AS (SELECT *, ([5, 2, 1])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, source_size * 2e0 AS most FROM sizes),
 leveled AS (SELECT *, ((sum(source_size) OVER ()) * 1.5e0 - coalesce(sum(most) OVER rise, 0e0)) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER rise, 0)) AS level
   FROM ranked WINDOW rise AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-goal AS (SELECT source, source_size, CAST(CASE WHEN most <= level * weight THEN most ELSE weight * min(level) FILTER (most > level * weight) OVER () END AS DOUBLE) AS target FROM leveled),
+goal AS (SELECT source, source_size, CAST(CASE WHEN most <= level * weight THEN most ELSE weight * max(level) FILTER (most > level * weight) OVER () END AS DOUBLE) AS target FROM leveled),
 run AS (SELECT s.*, sum(size) OVER (PARTITION BY s.source ORDER BY place) AS upto, source_size, target FROM slim s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 rounds AS (SELECT doc_id, source, place, size, r, (upto + source_size * r) / target AS finish FROM run, (VALUES (0), (1)) v(r) WHERE target > 0),
 line AS (SELECT *, sum(size) OVER (ORDER BY finish, r, place, source NULLS LAST) AS total FROM rounds),

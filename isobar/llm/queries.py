@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
+
 from .bpe import op9_bpe_transducer
 from .jaccard import op3_rtree_jaccard
 from .lines import op6_crf_line_rules
 from .mixing import OP1_SQL, op1_weighted_fair_mix
 from .pii import op4_feistel_pseudonyms
+from .preference import OP8_SQL, op8_preference_pairs
 from .quality import op2_nbsvm_quality
 from .sharding import op10_rendezvous_sharding
 from .topk import OP7_SQL, op7_maxscore_top20
@@ -20,11 +23,14 @@ QUERIES = {
     "op5_bigru_toxicity": op5_bigru_toxicity,
     "op6_crf_line_rules": op6_crf_line_rules,
     "op7_maxscore_top20": op7_maxscore_top20,
+    "op8_preference_pairs": op8_preference_pairs,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
     "op1_weighted_fair_mix": OP1_SQL,
     "op7_maxscore_top20": OP7_SQL,
+    "op8_preference_pairs": OP8_SQL,
 }

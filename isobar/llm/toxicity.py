@@ -396,13 +396,13 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int
     return train(texts, y, min(max(known or 0.1, 0.01), 0.99))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1 (0 to 1, also for null and empty texts).
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE, name: str = "score") -> DataFrame:
+    """``docs`` with ``score`` (or ``name``), the probability of label 1 (0 to 1, also for null and empty texts).
 
     All overlapping windows of every text are scored, however long; equal texts get equal scores.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, label, folds, held, sample))
-    return with_score(docs, lambda batch: model.value.score(batch))
+    return with_score(docs, lambda batch: model.value.score(batch), name)
 
 
 def op5_bigru_toxicity(spark, sf_dir: str) -> DataFrame:
