@@ -59,7 +59,7 @@ def gram_buckets(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             h = np.zeros((len(letters), span), np.uint64)
             for j in range(n):
                 h = h * np.uint64(263) + x[:, j : j + span]
-            h = (mix64(h + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % GRAM_BUCKETS
+            h = (mix64(h + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int32) % GRAM_BUCKETS
             h[letters[:, n - 1 :] == 0] = -1
             columns.append(h)
             edge.append(np.arange(span) == 0)
@@ -67,14 +67,14 @@ def gram_buckets(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Inputs:
-    """Input vectors of distinct words: the statistics and the counts of letter classes."""
+    """Inputs of distinct words: the statistics and the letters."""
 
     def __init__(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> None:
         self.word_odds, self.gram_odds = word_odds, gram_odds
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(words):
-            return np.zeros((0, STATS), np.float32), np.zeros((0, LETTERS), np.float32)
+            return np.zeros((0, STATS), np.float32), np.zeros((0, READ + 2), np.uint8)
         letters = _letters(words)
         grams, edge = gram_buckets(letters)
         odds = np.where(grams >= 0, self.gram_odds[grams], -9).astype(np.float32)
@@ -89,9 +89,14 @@ class Inputs:
             np.where((plain := start_buckets(words)) >= 0, self.gram_odds[plain], 0).sum(1) / 4,
         ]).astype(np.float32)
         stats[:, 1:3] = np.maximum(stats[:, 1:3], -3)
-        rows, cols = np.nonzero(letters)
-        counts = np.bincount(rows * LETTERS + letters[rows, cols] % LETTERS, minlength=len(words) * LETTERS).reshape(-1, LETTERS)
-        return stats, (counts / READ).astype(np.float32)
+        return stats, letters
+
+
+def letter_counts(letters: np.ndarray) -> np.ndarray:
+    """How often each letter class occurs in each word, over READ."""
+    rows, cols = np.nonzero(letters)
+    counts = np.bincount(rows * LETTERS + letters[rows, cols] % LETTERS, minlength=len(letters) * LETTERS).reshape(-1, LETTERS)
+    return (counts / READ).astype(np.float32)
 
 
 def word_buckets(words: pa.Array) -> np.ndarray:
@@ -117,21 +122,21 @@ def start_buckets(words: pa.Array) -> np.ndarray:
 def class_counts(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """In how many documents of each class (rows) the word and n-gram buckets occur."""
     up, down = (np.zeros((2, n)) for n in (WORD_BUCKETS, GRAM_BUCKETS))
-    for a in range(0, len(texts), 500):
-        words = Words(pa.array(texts[a : a + 500], pa.large_string()))
+    for a in range(0, len(texts), 250):
+        words = Words(pa.array(texts[a : a + 250], pa.large_string()))
         n = len(words.starts) - 1
         if not len(words.vocab):
             continue
         doc = np.repeat(np.arange(n), np.diff(words.starts))
         pairs = np.unique(doc * len(words.vocab) + words.codes)
         doc, code = pairs // len(words.vocab), pairs % len(words.vocab)
-        own = y[a : a + 500]
+        own = y[a : a + 250]
         seen = np.unique(np.concatenate([doc * WORD_BUCKETS + b[code] for b in (word_buckets(words.vocab), core_buckets(words.vocab))]))
         up += np.bincount(own[seen // WORD_BUCKETS] * WORD_BUCKETS + seen % WORD_BUCKETS, minlength=up.size).reshape(up.shape)
         grams = np.hstack([gram_buckets(_letters(words.vocab))[0], start_buckets(words.vocab)])
-        for b in range(0, len(code), 60_000):
-            g = grams[code[b : b + 60_000]]
-            seen = np.unique(np.where(g >= 0, doc[b : b + 60_000, None] * GRAM_BUCKETS + g, -1))
+        for b in range(0, len(code), 15_000):
+            g = grams[code[b : b + 15_000]]
+            seen = np.unique(np.where(g >= 0, doc[b : b + 15_000, None] * GRAM_BUCKETS + g, -1))
             seen = seen[seen >= 0]
             # a document cut by the block border counts a bucket twice at most
             down += np.bincount(own[seen // GRAM_BUCKETS] * GRAM_BUCKETS + seen % GRAM_BUCKETS, minlength=down.size).reshape(down.shape)
@@ -209,8 +214,8 @@ class Network:
         mean = np.einsum("tnh,tn->nh", both, weight, optimize=False)
         return mean @ self.w["out"] + self.w["bias"][0], both, hidden, weight, mean
 
-    def projected(self, stats: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.hstack([stats, counts @ self.w["letters"]])
+    def projected(self, stats: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.hstack([stats, letter_counts(letters) @ self.w["letters"]])
         return x, x @ self.w["wf"] + self.w["bf"], x @ self.w["wb"] + self.w["bb"]
 
     def _rows(self, vocab: pa.Array) -> np.ndarray:
@@ -220,8 +225,8 @@ class Network:
             self.known, self.store = {}, self.store[:0]
         at = np.array([self.known.get(w, -1) for w in words], np.int64)
         new = np.flatnonzero(at < 0)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), 10_000):
+            part = new[a : a + 10_000]
             _, f, b = self.projected(*self.inputs.of(vocab.take(pa.array(part))))
             at[part] = len(self.store) + np.arange(len(part))
             self.store = np.vstack([self.store, np.hstack([f, b]).astype(np.float32)])
@@ -266,10 +271,10 @@ def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bags(texts: list[str], inputs: Inputs, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(statistics, letter counts, word ids) for training: each document's ``per`` windows of the largest evidence, ids -1 past the end."""
-    stats, counts, ids, base = [], [], [], 0
-    for a in range(0, len(texts), 500):
-        words = Words(pa.array(texts[a : a + 500], pa.large_string()))
+    """(statistics, letters, word ids) for training: each document's ``per`` windows of the largest evidence, ids -1 past the end."""
+    stats, letters, ids, base = [], [], [], 0
+    for a in range(0, len(texts), 250):
+        words = Words(pa.array(texts[a : a + 250], pa.large_string()))
         s, c = inputs.of(words.vocab)
         strong = s[:, 0] + s[:, 1] + s[:, 4] + s[:, 5] + s[:, 6]
         owner, first, length = windows(words.starts)
@@ -288,12 +293,12 @@ def _bags(texts: list[str], inputs: Inputs, per: int) -> tuple[np.ndarray, np.nd
         place[used] = base + np.arange(len(used))
         ids.append(np.where(chosen >= 0, place[chosen], -1))
         stats.append(s[used])
-        counts.append(c[used])
+        letters.append(c[used])
         base += len(used)
-    return np.concatenate(stats), np.concatenate(counts), np.concatenate(ids)
+    return np.concatenate(stats), np.concatenate(letters), np.concatenate(ids)
 
 
-def fit(weights: dict, stats: np.ndarray, counts: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+def fit(weights: dict, stats: np.ndarray, letters: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
     """Adam on the bags' cross-entropy; weights change in place."""
     first, second, step, batch = {k: 0 * v for k, v in weights.items()}, {k: 0 * v for k, v in weights.items()}, 0, 96
     rate = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-3), 0.5 / max((y != 1).mean(), 1e-3)) ** 0.5
@@ -301,7 +306,7 @@ def fit(weights: dict, stats: np.ndarray, counts: np.ndarray, bags: np.ndarray,
         order = rng.permutation(len(y))
         for a in range(0, len(order), batch):
             part = order[a : a + batch]
-            grads = _bag_gradients(weights, stats, counts, bags[part], y[part], rate[part])
+            grads = _bag_gradients(weights, stats, letters, bags[part], y[part], rate[part])
             step += 1
             pace = 0.01 * (1 - 0.9 * epoch / max(epochs - 1, 1))
             for k, g in grads.items():
@@ -310,14 +315,14 @@ def fit(weights: dict, stats: np.ndarray, counts: np.ndarray, bags: np.ndarray,
                 weights[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def _bag_gradients(w: dict, stats: np.ndarray, counts: np.ndarray, bags: np.ndarray, y: np.ndarray, rate: np.ndarray) -> dict:
+def _bag_gradients(w: dict, stats: np.ndarray, letters: np.ndarray, bags: np.ndarray, y: np.ndarray, rate: np.ndarray) -> dict:
     net = Network(w, None, np.zeros(3))  # type: ignore[arg-type]
     docs, per, _ = bags.shape
     flat = bags.reshape(docs * per, WINDOW)
     used, place = np.unique(np.maximum(flat, 0), return_inverse=True)
     place = place.reshape(flat.shape).T
     real = (flat >= 0).T
-    x, pf, pb = net.projected(stats[used], counts[used])
+    x, pf, pb = net.projected(stats[used], letters[used])
     gate = real[:, :, None]
     forward, cf = _gru((pf[place] * gate).astype(np.float32), w["uf"], True)
     backward, cb = _gru((pb[place] * gate)[::-1].astype(np.float32), w["ub"], True)
@@ -346,7 +351,7 @@ def _bag_gradients(w: dict, stats: np.ndarray, counts: np.ndarray, bags: np.ndar
         np.add.at(summed, place.reshape(-1), dp.reshape(-1, 3 * HIDDEN))
         g[f"w{name}"], g[f"b{name}"] = x.T @ summed, summed.sum(0)
         dx += summed @ w[f"w{name}"].T
-    g["letters"] = counts[used].T @ dx[:, STATS:]
+    g["letters"] = letter_counts(letters[used]).T @ dx[:, STATS:]
     return {k: v.astype(np.float32) + np.float32(1e-5) * w[k] for k, v in g.items()}
 
 
@@ -370,19 +375,19 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = 8, seed:
         mine = np.flatnonzero(half == h)
         parts.append((mine, *_bags([texts[i] for i in mine], inputs, 3)))
     shift = len(parts[0][1])
-    stats, counts = np.vstack([parts[0][1], parts[1][1]]), np.vstack([parts[0][2], parts[1][2]])
+    stats, letters = np.vstack([parts[0][1], parts[1][1]]), np.vstack([parts[0][2], parts[1][2]])
     bags = np.concatenate([parts[0][3], np.where(parts[1][3] >= 0, parts[1][3] + shift, -1)])
     order = np.concatenate([parts[0][0], parts[1][0]])
     rounds = max(epochs, min(60, epochs * 1500 // len(y)))
-    fit(weights, stats, counts, bags, y[order], rounds, rng)
+    fit(weights, stats, letters, bags, y[order], rounds, rng)
     net = Network(weights, Inputs(*class_odds(tuple(a + b for a, b in zip(*tallies, strict=True)), now)), np.zeros(3))
     # the curve: documents under the other half's statistics, weighted to the true share by its intercept
     logits, number = np.zeros(len(y)), np.zeros(len(y))
     for h in (0, 1):
         mine = np.flatnonzero(half == h)
         own = Network(weights, others[h], np.zeros(3))
-        for a in range(0, len(mine), 500):
-            block = mine[a : a + 500]
+        for a in range(0, len(mine), 250):
+            block = mine[a : a + 250]
             logits[block], number[block] = own.window_logits(pa.array([texts[i] for i in block], pa.large_string()))
     net.curve = logistic_fit(np.column_stack([logits, np.log(number)]), y, ridge=0.5)
     net.curve[2] += np.log(share / (1 - share)) - np.log(now / (1 - now))
