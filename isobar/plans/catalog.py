@@ -1,4 +1,6 @@
 """All queries of the storm engine by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from isobar.plans import climate_queries, grid_queries, moisture_queries, raster_queries, scalar_queries, track_queries  # noqa: F401
+from isobar.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
