@@ -195,13 +195,22 @@ def _gru_back(grad: np.ndarray, cache: list, u: np.ndarray):
 
 
 class Network:
-    def __init__(self, weights: dict[str, np.ndarray], inputs: Inputs, curve: np.ndarray) -> None:
+    def __init__(self, weights: dict[str, np.ndarray], inputs: Inputs, curve: np.ndarray, limit: int = REMEMBERED) -> None:
         self.w, self.inputs, self.curve = weights, inputs, curve
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the projected inputs of the words seen so far."""
         self.known: dict[str, int] = {}
-        self.store = np.zeros((0, 6 * HIDDEN), np.float32)
+        self.store = np.empty((16_384, 6 * HIDDEN), np.float32)
 
     def __getstate__(self) -> dict:
-        return {"w": self.w, "inputs": self.inputs, "curve": self.curve, "known": {}, "store": np.zeros((0, 6 * HIDDEN), np.float32)}
+        return {"w": self.w, "inputs": self.inputs, "curve": self.curve, "limit": self.limit}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
 
     def pooled(self, forward: np.ndarray, backward: np.ndarray, real: np.ndarray):
         """(logits, states, attention parts) of windows from both layers' states over time."""
@@ -221,15 +230,18 @@ class Network:
     def _rows(self, vocab: pa.Array) -> np.ndarray:
         """Where each word's projected inputs are in the worker's store."""
         words = vocab.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known, self.store = {}, self.store[:0]
+        if len(self.known) > self.limit:
+            self.forget()
         at = np.array([self.known.get(w, -1) for w in words], np.int64)
         new = np.flatnonzero(at < 0)
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
             _, f, b = self.projected(*self.inputs.of(vocab.take(pa.array(part))))
-            at[part] = len(self.store) + np.arange(len(part))
-            self.store = np.vstack([self.store, np.hstack([f, b]).astype(np.float32)])
+            first = len(self.known)
+            if first + len(part) > len(self.store):
+                self.store = np.concatenate([self.store, np.empty((max(len(self.store), len(part)), 6 * HIDDEN), np.float32)])
+            self.store[first : first + len(part)] = np.hstack([f, b])
+            at[part] = first + np.arange(len(part))
             self.known.update((words[i], int(at[i])) for i in part)
         return at
 
@@ -385,7 +397,7 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = 8, seed:
     logits, number = np.zeros(len(y)), np.zeros(len(y))
     for h in (0, 1):
         mine = np.flatnonzero(half == h)
-        own = Network(weights, others[h], np.zeros(3))
+        own = Network(weights, others[h], np.zeros(3), limit=10_000)
         for a in range(0, len(mine), 250):
             block = mine[a : a + 250]
             logits[block], number[block] = own.window_logits(pa.array([texts[i] for i in block], pa.large_string()))
