@@ -33,7 +33,7 @@ def steps_in_month(year: Column, month: Column, hours: int) -> Column:
 
 def days_since(ts: Column, reference: str = "1900-01-01") -> Column:
     """Fractional days since a reference date."""
-    micros = F.unix_micros(ts) - F.unix_micros(F.lit(reference).cast("timestamp"))
+    micros = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.lit(reference).cast("timestamp"))
     return micros / F.lit(86400e6)
 
 

@@ -1 +1,145 @@
-"""Queries."""
+"""Seasons, climatologies, trends, correlations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from isobar.functions.caltime import season_year
+from isobar.functions.stats import mean_circular, mean_ignoring_missing, multi_ols, spearman, spread, sum_ignoring_missing, trend
+from isobar.operators import climate as C, moisture as M
+from isobar.plans.adapters import FIELD_SQL, OBS_SQL, SEASON_SQL, field, obs, season_rows
+from isobar.plans.grid_queries import SHIFT, near, rounded
+from isobar.plans.registry import query
+
+MONTH_SQL = SEASON_SQL + ", mo AS (SELECT region, year, month, sum(value) AS total, avg(value) AS mean, count(value) AS n FROM sy GROUP BY ALL)"
+ROLL_SQL = MONTH_SQL + """, ro AS (SELECT * FROM (SELECT *, sum(total) OVER w AS season_total, count(*) OVER w AS k FROM mo WINDOW w AS (PARTITION BY region ORDER BY year*12 + month - 1 RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE k = 3)"""
+
+
+def months(spark, sf_dir):
+    return C.monthly(season_rows(spark, sf_dir), ["region"])
+
+
+@query(f"WITH {MONTH_SQL} SELECT region, year, month, round(total, 3) AS total, round(mean, 5) AS mean, n FROM mo")
+def monthly_means(spark, sf_dir):
+    return months(spark, sf_dir).withColumns({"total": F.round("total", 3), "mean": F.round("mean", 5)})
+
+
+@query(f"WITH {ROLL_SQL} SELECT region, year, month, round(season_total, 3) AS season_total FROM ro")
+def seasonal_sum_rolling3(spark, sf_dir):
+    return C.three_month(months(spark, sf_dir), ["region"]).select("region", "year", "month", F.round("season_total", 3).alias("season_total"))
+
+
+@query(f"WITH {ROLL_SQL} SELECT region, month, round(avg(season_total), 3) AS clim, count(*) AS years FROM ro WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL")
+def seasonal_climatology(spark, sf_dir):
+    return C.seasonal_climatology(months(spark, sf_dir), ["region"], 1996, 2000).withColumn("clim", F.round("clim", 3))
+
+
+ENDS_SQL = MONTH_SQL + ", en AS (SELECT *, CAST((month - 1 + k) % 12 + 1 AS INTEGER) AS endmonth FROM mo, range(3) t(k) WHERE year BETWEEN 1996 AND 2000)"
+
+
+@query(f"WITH {ENDS_SQL} SELECT region, endmonth, round(avg(mean), 5) AS clim, count(mean) AS months FROM en GROUP BY ALL")
+def pooled_climatology(spark, sf_dir):
+    return C.pooled_climatology(months(spark, sf_dir), ["region"], 1996, 2000).withColumn("clim", F.round("clim", 5))
+
+
+@query(f"WITH {ENDS_SQL} SELECT region, endmonth, round(sum(mean*n)/sum(n), 5) AS clim, count(mean) AS months FROM en GROUP BY ALL")
+def weighted_climatology(spark, sf_dir):
+    return C.pooled_climatology(months(spark, sf_dir), ["region"], 1996, 2000, "n").withColumn("clim", F.round("clim", 5))
+
+
+def _trend(rows: str, keys: str, y: str) -> str:
+    return f"""SELECT {keys}, n, CASE WHEN n >= 5 THEN round(b, 4) END AS trend, CASE WHEN n >= 5 THEN round(a, 0) END AS yint, CASE WHEN n >= 5 THEN round(r, 7) END AS r2, CASE WHEN n >= 5 AND n > 2 THEN round(sqrt(greatest((1 - r)*syy/sxx/(n - 2), 0)), 4) END AS stderr
+ FROM (SELECT {keys}, regr_count({y}, year) AS n, regr_slope({y}, year) AS b, regr_intercept({y}, year) AS a, regr_r2({y}, year) AS r, regr_sxx({y}, year) AS sxx, regr_syy({y}, year) AS syy FROM {rows} GROUP BY {keys})"""
+
+
+def _round_trend(frame):
+    return frame.withColumns({"trend": F.round("trend", 4), "yint": F.round("yint", 0), "r2": F.round("r2", 7), "stderr": F.round("stderr", 4)})
+
+
+@query(f"WITH {ROLL_SQL} " + _trend("ro", "region, month", "season_total"))
+def trend_ols(spark, sf_dir):
+    return _round_trend(C.seasonal_trend(months(spark, sf_dir), ["region"], 5))
+
+
+@query(f"WITH {MONTH_SQL} " + _trend("mo", "region, month", "mean"))
+def monthly_trend(spark, sf_dir):
+    return _round_trend(C.monthly_trend(months(spark, sf_dir), ["region"], "mean", 5))
+
+
+@query()
+def trend_p_values(spark, sf_dir):
+    return C.seasonal_trend(months(spark, sf_dir), ["region"], 5, p_values=True)
+
+
+@query(f"""WITH {SEASON_SQL}, r AS (SELECT region, rank() OVER (PARTITION BY region ORDER BY value) + (count(*) OVER (PARTITION BY region, value) - 1)/2e0 AS rx, rank() OVER (PARTITION BY region ORDER BY bal) + (count(*) OVER (PARTITION BY region, bal) - 1)/2e0 AS ry FROM sy)
+ SELECT region, round(corr(rx, ry), 9) AS rho, count(*) AS n FROM r GROUP BY region""")
+def spearman_rank(spark, sf_dir):
+    return spearman(season_rows(spark, sf_dir), ["region"], "value", "bal").withColumn("rho", F.round("rho", 9))
+
+
+@query()
+def spearman_p_values(spark, sf_dir):
+    return spearman(season_rows(spark, sf_dir), ["region"], "value", "bal", p_values=True)
+
+
+@query()
+def multi_ols_zscore(spark, sf_dir):
+    rows = season_rows(spark, sf_dir).withColumn("year", F.col("year").cast("double")).withColumn("bal_year", F.col("bal") * F.col("year"))
+    return multi_ols(rows, ["region"], "value", ["bal", "year", "bal_year"])
+
+
+@query(f"""WITH {SEASON_SQL}, s AS (SELECT region, count(*) AS n, avg(value) AS my, avg(year) AS m1, avg(month) AS m2, var_pop(year) AS s11, var_pop(month) AS s22, covar_pop(year, month) AS s12, covar_pop(year, value) AS s1y, covar_pop(month, value) AS s2y FROM sy GROUP BY region)
+ SELECT region, unnest(['year', 'month']) AS term, unnest([round((s1y*s22 - s2y*s12)/(s11*s22 - s12*s12), 5), round((s2y*s11 - s1y*s12)/(s11*s22 - s12*s12), 5)]) AS coef, n FROM s""")
+def ols_with_constant(spark, sf_dir):
+    made = multi_ols(season_rows(spark, sf_dir), ["region"], "value", ["year", "month"], scaled=False, constant=True)
+    return made.where("term <> 'const'").select("region", "term", F.round("coef", 5).alias("coef"), "n")
+
+
+@query(f"WITH {MONTH_SQL} SELECT region, month, CASE WHEN count(mean) >= 7 THEN round(stddev(mean), 5) END AS sd FROM mo GROUP BY ALL")
+def spread_over_time(spark, sf_dir):
+    return months(spark, sf_dir).groupBy("region", "month").agg(F.round(spread(F.col("mean"), 7), 5).alias("sd"))
+
+
+@query(f"""WITH {SEASON_SQL}, a AS (SELECT region, CASE WHEN month >= 11 THEN year + 1 ELSE year END AS syear, value FROM sy) SELECT region, syear, round(sum(value), 3) AS total FROM a GROUP BY ALL""")
+def season_year_totals(spark, sf_dir):
+    rows = season_rows(spark, sf_dir).withColumn("syear", season_year(F.col("year"), F.col("month")))
+    return rows.groupBy("region", "syear").agg(F.round(F.sum("value"), 3).alias("total"))
+
+
+@query(f"""WITH {SEASON_SQL}, e AS (SELECT region, CAST(floor((year*12 + month - 1 + k)/12) AS INTEGER) AS season_year, CAST((month - 1 + k) % 12 + 1 AS INTEGER) AS endmonth, value FROM sy, range(3) t(k)) SELECT region, season_year, endmonth, round(avg(value), 5) AS value FROM e GROUP BY ALL""")
+def season_means_overlapping(spark, sf_dir):
+    return M.by_seasons(season_rows(spark, sf_dir), ["region"], ["value"]).withColumn("value", F.round("value", 5))
+
+
+@query(f"""WITH {OBS_SQL}, c AS (SELECT y, x, count(dsqp) AS ncap, sum(dsqp) AS captot, avg(dsqp) AS caprate, count(DISTINCT tid) AS ncyc, count(tid) AS hcyc, avg(lat) AS uv FROM obs GROUP BY y, x)
+ SELECT y, x, ncap, {near('captot')} AS captot, {near('caprate')} AS caprate, ncyc, hcyc, {near('uv')} AS uv, {near('1/uv')} AS uvinv, {near('captot - ncyc*caprate*(hcyc/ncyc)')} AS capresid FROM c""")
+def cap_decomposition(spark, sf_dir):
+    cells = obs(spark, sf_dir).select("y", "x", F.col("dsqp").alias("cap"), F.col("tid").alias("sid"), F.col("lat").alias("uv"))
+    return rounded(C.cap_decomposition(cells), "y", "x", digits=4, shift=SHIFT)
+
+
+@query(f"WITH {MONTH_SQL} SELECT region, year, month, round(CASE WHEN mean > 150000 THEN total END/nullif(total, 0), 6) AS share FROM mo")
+def cyclone_share(spark, sf_dir):
+    part = F.when(F.col("mean") > 150000, F.col("total"))
+    return months(spark, sf_dir).select("region", "year", "month", F.round(C.cyclone_share(part, F.col("total")), 6).alias("share"))
+
+
+@query(f"""WITH {FIELD_SQL}, m AS (SELECT y, x, CASE WHEN t % 5 <> 0 THEN v END AS v FROM field) SELECT y, x, round(avg(v), 9) AS mean, round(sum(v), 9) AS total, count(*) > count(v) AS incomplete FROM m GROUP BY y, x""")
+def array_means(spark, sf_dir):
+    rows = field(spark, sf_dir).withColumn("v", F.when(F.col("t") % 5 != 0, F.col("v")).otherwise(float("nan")))
+    made = rows.groupBy("y", "x").agg(mean_ignoring_missing(F.col("v")).alias("mean"), sum_ignoring_missing(F.col("v")).alias("total"), F.max(F.isnan("v")).alias("incomplete"))
+    return rounded(made, "y", "x", digits=9)
+
+
+@query(f"""WITH RECURSIVE {OBS_SQL}, v AS (SELECT tid, lon + 180 AS v, row_number() OVER (PARTITION BY tid ORDER BY lon DESC, time) AS i FROM obs),
+ f(tid, i, mean) AS (SELECT tid, i, CAST(v AS DOUBLE) FROM v WHERE i = 1 UNION ALL
+  SELECT tid, i, CASE WHEN m < 0 THEN 360 + m WHEN m > 360 THEN m - 360 ELSE m END FROM (SELECT v.tid, v.i, f.mean*(v.i - 1)/v.i + (CASE WHEN (f.mean - v.v)/360 < 0.5e0 THEN v.v ELSE v.v + 360 END)/v.i AS m FROM f JOIN v ON v.tid = f.tid AND v.i = f.i + 1))
+ SELECT tid, round(CASE WHEN mean = 0 THEN 360 ELSE mean END, 6) AS mean FROM (SELECT tid, arg_max(mean, i) AS mean FROM f GROUP BY tid)""")
+def circular_mean(spark, sf_dir):
+    return obs(spark, sf_dir).groupBy("tid").agg(F.round(mean_circular(F.collect_list(F.col("lon") + 180), 0.0, 360.0), 6).alias("mean"))
+
+
+@query(f"WITH {FIELD_SQL} " + "SELECT y, x, CAST(regr_count(v, t) AS BIGINT) AS n, CASE WHEN count(*) >= 10 THEN round(regr_slope(v, t), 9) END AS trend, CASE WHEN count(*) >= 10 THEN round(regr_r2(v, t), 8) END AS r2 FROM field GROUP BY y, x")
+def field_trend(spark, sf_dir):
+    made = trend(field(spark, sf_dir), ["y", "x"], "t", "v", 10)
+    return made.select("y", "x", "n", F.round("trend", 9).alias("trend"), F.round("r2", 8).alias("r2"))
