@@ -38,17 +38,17 @@ class TrackingProcessor(StatefulProcessor):
         self.state.update((pickle.dumps((tracker, held)),))
         return rows
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tracker, held = self._load(key[0])
         new = pd.concat([held, *rows]) if len(held) else pd.concat(list(rows))
-        self.state.update((pickle.dumps((tracker, new.drop(columns="ts"  , errors="ignore"))),))
-        mark = timer_values.getCurrentWatermarkInMs()
+        self.state.update((pickle.dumps((tracker, new.drop(columns="ts", errors="ignore"))),))
+        mark = timerValues.getCurrentWatermarkInMs()
         for day in sorted(set(new["time"])):
             self.handle.registerTimer(int(_millis(day)))
         yield self._taken(key[0], _days(mark))
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        yield self._taken(key[0], _days(expired.getExpiryTimeInMs()))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._taken(key[0], _days(expiredTimerInfo.getExpiryTimeInMs()))
 
     def close(self) -> None:
         pass
