@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import struct
 import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -30,8 +31,8 @@ from .shared import Words, table, text_blocks
 #: Words compiled into the automaton at most, and bytes of the longest.
 LEXICON_WORDS = 100_000
 LONGEST = 64
-#: Words whose merges a worker remembers, beside the automaton.
-REMEMBERED = 400_000
+#: Words, and pieces of words, whose merges a worker remembers, beside the automaton.
+REMEMBERED = 150_000
 
 #: White space as Unicode's White_Space has it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -55,6 +56,7 @@ class Merger:
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.byte_chars = _byte_chars()
+        self.pieces: dict[str, list[int]] = {}
         self.path = path
         self._library = None
 
@@ -72,24 +74,31 @@ class Merger:
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
+        known = self.pieces.get(piece)
+        if known is not None:
+            return known
         symbols = [self.byte_chars[b] for b in piece.encode("utf-8")]
         symbols[-1] += self.end
-        ranks, none = self.ranks, len(self.ranks)
-        while len(symbols) > 1:
-            found = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
+        rank, none = self.ranks.get, len(self.ranks)
+        found = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
+        while found:
             best = min(found)
             if best == none:
                 break
-            out, i, last = [], 0, len(symbols) - 1
-            while i <= last:
-                if i < last and found[i] == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return [self.vocab[s] for s in symbols]
+            # only the pairs beside the merged one change
+            i = found.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del found[i]
+            if i:
+                found[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+            if i < len(found):
+                found[i] = rank((symbols[i], symbols[i + 1]), none)
+        ids = [self.vocab[s] for s in symbols]
+        if len(piece) <= LONGEST:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
 
     def word(self, word: str) -> list[int]:
         """Token ids of a run without ASCII white space."""
@@ -219,7 +228,7 @@ class Encoder:
     def __init__(self, path: str, block: bytes) -> None:
         self.merger = merger_of(path)
         self.automaton = Automaton(block)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text begins)."""
@@ -227,24 +236,27 @@ class Encoder:
         ranks = self.automaton.ranks(words.vocab)
         outside = np.flatnonzero(ranks < 0)
         lex = self.automaton
-        lengths = np.where(ranks >= 0, np.diff(lex.starts)[ranks] if len(lex.starts) > 1 else 0, 0)
-        begins = np.where(ranks >= 0, lex.starts[ranks], 0)
-        more, at = [np.zeros(0, np.int64)], len(lex.ids)
-        for i, word in zip(outside, words.vocab.take(pa.array(outside)).to_pylist(), strict=True):
+        lengths, begins = np.zeros(len(ranks), np.int32), np.zeros(len(ranks), np.int32)
+        inside = np.flatnonzero(ranks >= 0)
+        begins[inside] = lex.starts[ranks[inside]]
+        lengths[inside] = lex.starts[ranks[inside] + 1] - begins[inside]
+        more, at = [], len(lex.ids)
+        for i, word in zip(outside.tolist(), words.vocab.take(pa.array(outside)).to_pylist(), strict=True):
             ids = self.known.get(word)
             if ids is None:
-                ids = np.array(self.merger.word(word), np.int64)
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                ids = struct.pack(f"<{len(found)}I", *found) if (found := self.merger.word(word)) else b""
                 if len(word) <= LONGEST:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
                     self.known[word] = ids
             more.append(ids)
-            lengths[i], begins[i] = len(ids), at
-            at += len(ids)
-        pool = np.concatenate([lex.ids, *more])
+            lengths[i], begins[i] = len(ids) // 4, at
+            at += len(ids) // 4
+        pool = np.concatenate([lex.ids.astype("<u4"), np.frombuffer(b"".join(more), "<u4")])
         per_word = lengths[words.codes]
         ends = np.concatenate([[0], np.cumsum(per_word)])
-        picks = np.repeat(begins[words.codes] - ends[:-1], per_word) + np.arange(ends[-1])
+        picks = np.arange(ends[-1], dtype=np.int32)
+        picks += np.repeat((begins[words.codes] - ends[:-1]).astype(np.int32), per_word)
         return pool[picks], ends[words.starts]
 
 
@@ -304,7 +316,7 @@ def encode(docs: DataFrame, path: str, lexicon: bytes | None = None) -> DataFram
             for batch in text_blocks(whole):
                 ids, starts = _encoder(path, block).encode(batch.column("text"))
                 offsets = pa.py_buffer((starts * 4).astype(np.int64))
-                out = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, offsets, pa.py_buffer(ids.astype("<u4"))])
+                out = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, offsets, pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], [*batch.schema.names, "ids"])
 
     return kept.mapInArrow(run, schema)

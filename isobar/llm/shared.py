@@ -73,7 +73,7 @@ class Words:
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
-def text_blocks(batch: pa.RecordBatch, most: int = 8_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
+def text_blocks(batch: pa.RecordBatch, most: int = 3_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text; a single longer text is a slice of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0

@@ -30,7 +30,7 @@ HIDDEN, LETTERS, LETTER_SIZE, STATS = 8, 64, 4, 7
 #: Logit of a text without words.
 NOTHING = -4.0
 #: Words whose inputs a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def _letters(words: pa.Array) -> np.ndarray:
@@ -253,8 +253,8 @@ class Network:
         if len(owner):
             at = self._rows(words.vocab)[words.codes]
             order = np.argsort(length, kind="stable")
-            for a in range(0, len(order), 4096):
-                part = order[a : a + 4096]
+            for a in range(0, len(order), 2048):
+                part = order[a : a + 2048]
                 span = int(length[part].max())
                 step = np.arange(span)[:, None]
                 real = step < length[part]
