@@ -195,6 +195,9 @@ def _gru_back(grad: np.ndarray, cache: list, u: np.ndarray):
 
 
 class Network:
+    #: Largest log of the number of windows that the curve was fitted on.
+    longest = np.inf
+
     def __init__(self, weights: dict[str, np.ndarray], inputs: Inputs, curve: np.ndarray, limit: int = REMEMBERED) -> None:
         self.w, self.inputs, self.curve = weights, inputs, curve
         self.limit = limit
@@ -206,7 +209,7 @@ class Network:
         self.store = np.empty((16_384, 6 * HIDDEN), np.float32)
 
     def __getstate__(self) -> dict:
-        return {"w": self.w, "inputs": self.inputs, "curve": self.curve, "limit": self.limit}
+        return {"w": self.w, "inputs": self.inputs, "curve": self.curve, "limit": self.limit, "longest": self.longest}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -269,7 +272,8 @@ class Network:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         logit, count = self.window_logits(texts)
-        return sigmoid(np.column_stack([logit, np.log(count), np.ones(len(logit))]) @ self.curve)
+        # no further than the longest document that the curve was fitted on
+        return sigmoid(np.column_stack([logit, np.minimum(np.log(count), self.longest), np.ones(len(logit))]) @ self.curve)
 
 
 def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -379,7 +383,9 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = 8, seed:
         share = min(max(share, 0.02), 0.98)
         return Network(weights, Inputs(np.zeros(WORD_BUCKETS, np.float32), np.zeros(GRAM_BUCKETS, np.float32)), np.array([0, 0, np.log(share / (1 - share))]))
     now = float((y == 1).mean())
-    half = np.arange(len(y)) % 2
+    half = np.zeros(len(y), np.int64)
+    for own in (np.flatnonzero(y == 1), np.flatnonzero(y != 1)):
+        half[rng.permutation(own)] = np.arange(len(own)) % 2
     tallies = [class_counts([t for t, k in zip(texts, half, strict=True) if k == h], y[half == h]) for h in (0, 1)]
     others = [Inputs(*class_odds(tallies[1 - h], now)) for h in (0, 1)]
     parts = []
@@ -402,6 +408,7 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = 8, seed:
             block = mine[a : a + 250]
             logits[block], number[block] = own.window_logits(pa.array([texts[i] for i in block], pa.large_string()))
     net.curve = logistic_fit(np.column_stack([logits, np.log(number)]), y, ridge=0.5)
+    net.longest = float(np.log(number).max())
     net.curve[2] += np.log(share / (1 - share)) - np.log(now / (1 - now))
     return net
 

@@ -175,7 +175,7 @@ def luhn(s):
 def test_pseudonyms(spark):
     frame = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(CASES)], "doc_id int, text string, n_ip string")
     out = [r["text"] for r in pii.pseudonymise(frame, "k").orderBy("doc_id").collect()]
-    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", t)))
+    shape = lambda t: re.sub("[à-öø-ÿ]", "é", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", t))))
     for before, after in zip(CASES, out, strict=True):
         if before is not None and "ip " not in before:
             assert shape(before) == shape(after)
