@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Words, table, text_blocks
+from .shared import Words, stored, table, text_blocks
 
 #: Words compiled into the automaton at most, and bytes of the longest.
 LEXICON_WORDS = 100_000
@@ -296,10 +296,21 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
-    """The compiled automaton of the ``size`` most frequent words of ``docs``, ties to the smaller word."""
-    top = count_words(docs).where(F.length("word") <= LONGEST // 4).orderBy(F.desc("n"), "word").limit(size)
+    """The compiled automaton of the ``size`` most frequent words of ``docs``, ties to the smaller word.
+
+    A histogram of the counts, some hundred rows, says from which count on the words are enough;
+    only those are sorted, so that no task gathers ``size`` words of every partition.
+    """
+    counts = stored(count_words(docs).where(F.octet_length("word") <= LONGEST))
+    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("k")).collect()
+    least, total = 0, 0
+    for row in sorted(bins, key=lambda r: -r["bin"]):
+        least, total = row["bin"], total + row["k"]
+        if total >= size:
+            break
+    top = counts.where(F.floor(F.log2("n") * 16) >= least).orderBy(F.desc("n"), "word").limit(size)
     merger = merger_of(path)
-    return compile_automaton((r["word"].encode(), merger.word(r["word"])) for r in top.toLocalIterator())
+    return compile_automaton((r["word"].encode(), merger.word(r["word"])) for r in top.collect())
 
 
 def encode(docs: DataFrame, path: str, lexicon: bytes | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Rows of one shard that a single window task numbers, on average.
+#: Rows of one shard that a single window task numbers, at most on average.
 SLOT_ROWS = 50_000
 
 
@@ -55,8 +55,7 @@ def with_slots(frame: DataFrame, shard: str, order: Sequence[str], out: str = "s
     equal in every order column may take each other's slots.
     """
     rows = frame.count() if rows is None else rows
-    shards = max(1, frame.select(shard).distinct().count()) if rows > SLOT_ROWS else 1
-    buckets = max(1, math.ceil(rows / shards / SLOT_ROWS))
+    buckets = max(1, math.ceil(rows / SLOT_ROWS))  # even if one shard has all rows
     taken = {c.lower() for c in frame.columns}
     bucket, before = (_free(x, taken) for x in ("bucket", "before"))
     cut = frame.withColumn(bucket, F.pmod(F.xxhash64(F.lit(7), *order), F.lit(buckets)).cast("int"))
