@@ -80,12 +80,15 @@ class Shard:
 
 def _packed(frame: DataFrame, key: str) -> DataFrame:
     """Rows (id, vector) as one row for each value of ``key``: ids and components as binary."""
-    schema = "part bigint, size int, ids binary, data binary"
+    schema = "part bigint, size int, ids binary, data binary"  # a shorter vector is filled up with zeros
 
     def pack(keys: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(groups))
         ids = held.column("id").to_numpy().astype(np.int64)
-        vectors = np.array(held.column("vector").to_pylist(), np.int64)
+        listed = held.column("vector").to_pylist()
+        vectors = np.zeros((len(listed), max(map(len, listed))), np.int64)
+        for row, v in zip(vectors, listed, strict=True):
+            row[: len(v)] = v
         yield pa.RecordBatch.from_pydict({"part": [keys[0].as_py()], "size": [len(ids)], "ids": [ids.tobytes()], "data": [vectors.tobytes()]}, pa.schema([("part", pa.int64()), ("size", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
 
     return frame.groupBy(key).applyInArrow(pack, schema)
@@ -94,8 +97,8 @@ def _packed(frame: DataFrame, key: str) -> DataFrame:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` the k rows of ``candidates`` of highest inner product.
 
-    Both have id (bigint) and vector (array of bigint, one length throughout, products below
-    2^63).  A query's own id is no candidate; null vectors take no part; with fewer than k
+    Both have id (bigint) and vector (array of bigint, products below 2^63; a shorter vector
+    counts as filled up with zeros).  A query's own id is no candidate; null vectors take no part; with fewer than k
     candidates all are returned; repeated candidate rows count each.  Blocks have about BLOCK
     rows by id hash; every query block meets every candidate block exactly once, in tasks that
     take about RUN candidate blocks in turn and carry the thresholds along.
@@ -115,8 +118,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         held = pa.Table.from_batches(list(groups)).sort_by("part").to_pylist()
 
         def read(row: dict) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.int64).reshape(row["size"], -1)
+            data = np.frombuffer(row["data"], np.int64)
+            own = data.reshape(row["size"], len(data) // row["size"])
+            return np.frombuffer(row["ids"], np.int64), np.pad(own, ((0, 0), (0, width - own.shape[1])))
 
+        width = max(len(r["data"]) // 8 // r["size"] for r in held)
         asked = [r for r in held if r["part"] == -1]
         if not asked:
             return

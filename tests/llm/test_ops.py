@@ -447,6 +447,13 @@ def test_top_k_against_brute_force(spark, monkeypatch, scale):
     assert topk.top_k(frame.limit(0), frame.limit(0), 3).count() == 0
 
 
+def test_top_k_of_ragged_vectors(spark):
+    data = [(0, [1, 2]), (1, [3]), (2, []), (3, [1, 1, 5])]
+    frame = spark.createDataFrame(data, "id bigint, vector array<bigint>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame, frame.where("id IN (0, 2)"), 2).collect()]
+    assert sorted(got) == [(0, 1, 1, 3), (0, 2, 3, 3), (2, 1, 0, 0), (2, 2, 1, 0)]
+
+
 def test_quantised(spark):
     cases = [[0.5, -0.01], [float("nan"), 1.0], None, [None, 1.0], [float("inf"), 0.0], []]
     out = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, v array<float>").select("i", topk.quantised(F.col("v")).alias("q"))
