@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import Words, labelled_sample, mix64, table, text_blocks
+from .shared import Words, fitted, mix64, table, text_blocks
 
 #: Labelled documents that the fit uses at most, and their lines at most each (a longer one isn't used).
 SAMPLE, SAMPLE_LINES = 2000, 150
@@ -200,9 +200,8 @@ def train(features: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int
     return field
 
 
-def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Field:
-    """The field, from at most ``sample`` labelled documents of up to SAMPLE_LINES lines."""
-    texts, y, _ = labelled_sample(docs, labels, label, 1, -1, sample, balance=True)
+def train_documents(texts: list[str], y: np.ndarray) -> Field:
+    """The field from documents of up to SAMPLE_LINES lines and their labels."""
     short = [i for i, t in enumerate(texts) if t.count("\n") < SAMPLE_LINES]
     if not short:
         return train(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -210,6 +209,11 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     return train(lines.features(), lines.doc, y[short][lines.doc])
 
 
+def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Field:
+    """The field, from at most ``sample`` labelled documents, half of them of each class if there are so many."""
+    return fitted(docs, labels, label, 1, -1, sample, train_documents, balance=True)
+
+
 COLUMNS = (("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("content_share", "double"), ("base_failed", "boolean"), ("kept", "boolean"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, is_held, labelled_sample, logistic_fit, mix64, sigmoid, string_hashes, table, with_score
+from .shared import Words, fitted, is_held, logistic_fit, mix64, sigmoid, string_hashes, table, with_score
 
 #: Labelled documents that the fit uses at most, and hashed n-gram buckets.
 SAMPLE = 6000
@@ -140,8 +140,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     Learns from at most ``sample`` labelled documents outside the held-out fold.  Whole texts of
     any length are read; equal texts get equal scores.
     """
-    texts, y, _ = labelled_sample(docs, labels, label, folds, held, sample)
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, y))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label, folds, held, sample, train))
     return with_score(docs, lambda batch: model.value.score(batch))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -101,11 +102,12 @@ def string_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, balance: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(texts, labels, doc_ids) of at most ``most`` labelled documents outside the held-out fold, on the driver.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, fit: Callable[[list[str], np.ndarray], object], balance: bool = False) -> object:
+    """``fit(texts, labels)`` over at most ``most`` labelled documents outside the held-out fold.
 
     The fold is crc32(doc_id as text) mod ``folds``; the sample is the first rows in the order of
     the id's hash, the same in each run.  ``balance`` takes up to half of the bound from each class.
+    One task gathers the sample and fits; only the model comes to the driver.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held(F.col("doc_id"), folds, held))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -114,9 +116,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         picks = known.where("y = 1").orderBy(*order).limit(most // 2).unionByName(known.where("y <> 1").orderBy(*order).limit(most // 2))
     else:
         picks = known.orderBy(*order).limit(most)
-    # at most ``most`` pairs of numbers
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picks), "doc_id").toArrow().sort_by("doc_id")
-    return found.column("text").to_pylist(), found.column("y").to_numpy().astype(np.int64), found.column("doc_id").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        found = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")]) if held else None
+        texts = found.column("text").to_pylist() if held else []
+        y = found.column("y").to_numpy().astype(np.int64) if held else np.zeros(0, np.int64)
+        del held, found
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(texts, y))], pa.large_binary()).cast(pa.binary())})
+
+    # at most ``most`` pairs of numbers are broadcast
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picks), "doc_id")
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    # a plan known to be empty has no task
+    return pickle.loads(row["model"]) if row else fit([], np.zeros(0, np.int64))
 
 
 def is_held(doc_id, folds: int, held: int):

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, is_held, labelled_sample, logistic_fit, mix64, sigmoid, string_hashes, table, with_score
+from .shared import Words, fitted, is_held, logistic_fit, mix64, sigmoid, string_hashes, table, with_score
 
 #: Labelled documents that the fit uses at most.
 SAMPLE = 6000
@@ -415,9 +415,9 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = 8, seed:
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE) -> Network:
     """The network, from at most ``sample`` labelled documents outside the held-out fold, half of them of each class if there are so many."""
-    texts, y, _ = labelled_sample(docs, labels, label, folds, held, sample, balance=True)
     known = labels.where(~is_held(F.col("doc_id"), folds, held)).agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
-    return train(texts, y, min(max(known or 0.1, 0.01), 0.99))
+    share = min(max(known or 0.1, 0.01), 0.99)
+    return fitted(docs, labels, label, folds, held, sample, lambda texts, y: train(texts, y, share), balance=True)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE, name: str = "score") -> DataFrame:
