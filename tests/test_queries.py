@@ -24,11 +24,11 @@ def duck(data):
 
 def rows(frame: pd.DataFrame) -> Counter:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if isinstance(v, (list, dict, str, bytes)):
+            return str(v)
+        if pd.isna(v):
             return None
-        if isinstance(v, (float, np.floating)):
-            return float(f"{v:.8g}")
-        return int(v) if isinstance(v, (np.integer, np.bool_, bool)) else v
+        return float(f"{float(v):.8g}") if isinstance(v, (int, float, np.number, np.bool_)) else v
 
     return Counter(tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None))
 
