@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from isobar.operators.raster import Offset, _literal
 
-#: Flows of the budget that are reported with the opposite sign.
-OUTFLOWS = ("e", "viwvd")
-
-
 def environment_samples(points: DataFrame, values: DataFrame, offsets: Sequence[Offset]) -> DataFrame:
     """``points`` (t, y, x, ...) with ``env``: mean of the variable over the disk around, missing cells left out."""
     at = points.select("t", F.col("y").alias("cy"), F.col("x").alias("cx")).distinct().withColumn("o", F.explode(_literal(offsets)))

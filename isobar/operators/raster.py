@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 Offset = tuple[int, int, float]
 
-SOBEL_Y: tuple[Offset, ...] = tuple((dy, dx, dy * (2 - abs(dx)) / 1.0) for dy in (-1, 1) for dx in (-1, 0, 1))
-SOBEL_X: tuple[Offset, ...] = tuple((dy, dx, dx * (2 - abs(dy)) / 1.0) for dx in (-1, 1) for dy in (-1, 0, 1))
+SOBEL_Y: tuple[Offset, ...] = tuple((dy, dx, float(dy * (2 - abs(dx)))) for dy in (-1, 1) for dx in (-1, 0, 1))
+SOBEL_X: tuple[Offset, ...] = tuple((dy, dx, float(dx * (2 - abs(dy)))) for dx in (-1, 1) for dy in (-1, 0, 1))
 
 
 def box(half_y: int, half_x: int | None = None) -> list[Offset]:
@@ -94,10 +94,6 @@ def stencil_sum(field: DataFrame, offsets: Sequence[Offset], out: str = "v", com
     return made.select("t", "y", "x", (F.when(F.col("n") == len(offsets), F.col(out)) if complete else F.col(out)).alias(out))
 
 
-def _population_deviation(v: Column) -> Column:
-    return F.stddev_pop(v)
-
-
 STYLES = {
     "mean": F.avg, "average": F.avg, "sum": F.sum, "total": F.sum, "median": F.median, "max": F.max, "maximum": F.max,
     "min": F.min, "minimum": F.min, "std": F.stddev_pop, "sd": F.stddev_pop, "stdev": F.stddev_pop, "stddev": F.stddev_pop, "standard deviation": F.stddev_pop,
@@ -161,7 +157,6 @@ def extrema(field: DataFrame, size: int = 3, missing_share: float = 1.0, largest
     cells = field.select("t", "y", "x", "v", masked.alias("gone"))
     packed = cells.select("t", "y", "x", F.struct("v", "gone").alias("v"))
     edge = {"shape": shape, "edge_y": "reflect", "edge_x": "reflect"} if shape else {"shape": None}
-    around = neighbours(packed, offsets, **edge)
     best = (F.max if largest else F.min)(F.col("v.v"))
     # the own cell is the one with offset 0: its weight is marked
     marked = [(dy, dx, 2.0 if (dy, dx) == (0, 0) else 1.0) for dy, dx, _ in offsets]
@@ -187,8 +182,8 @@ def gradient_xy(field: DataFrame, shape: tuple[int, int]) -> DataFrame:
     return made.select("t", "y", "x", gy.alias("gy"), gx.alias("gx"), F.sqrt(gy * gy + gx * gx).alias("magnitude"))
 
 
-#: Sobel of Sobel over 64, both axes together: the Laplacian as one five-by-five stencil.
 def laplacian_offsets() -> list[Offset]:
+    """Sobel of Sobel over 64, both axes together: the Laplacian as one five-by-five stencil."""
     both: dict[tuple[int, int], float] = {}
     for part in (SOBEL_Y, SOBEL_X):
         for dy, dx, w in combined(part, part, 1 / 64):

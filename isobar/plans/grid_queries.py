@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from isobar.operators import gridstats as G
 from isobar.operators.raster import box, circle
-from isobar.plans.adapters import CELLS, EVENTS_SQL, FIELD_SQL, OBS_SQL, SHAPE, field, obs, track_events
+from isobar.plans.adapters import CELLS, FIELD_SQL, OBS_SQL, SHAPE, field, obs, track_events
 from isobar.plans.registry import query
 from isobar.plans.track_queries import HOURLY_SQL, KEPT_SQL, KIN_SQL, kept_tracks
 

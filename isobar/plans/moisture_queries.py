@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from isobar.operators import moisture as M, traj as J
 from isobar.operators.raster import circle
-from isobar.plans.adapters import FIELD_SQL, OBS_SQL, SHAPE, field, obs
-from isobar.plans.grid_queries import NEAR_SQL, POINTS_SQL, field_points, rounded
+from isobar.plans.adapters import OBS_SQL, SHAPE, field, obs
+from isobar.plans.grid_queries import NEAR_SQL, field_points, rounded
 from isobar.plans.registry import query
 from isobar.plans.track_queries import REGION_SQL, hav, region_view
 from isobar.sources.readers import dump_rows, files_for
