@@ -41,6 +41,8 @@ BAND, SELECTIVE, MISS = 1.5, 2, 1e-12
 SMALL = 64
 #: Shingles of a component that one task takes at most; larger components are cut into blocks.
 TASK_SHINGLES = 3_000_000
+#: Edges that one task of the components' rounds takes.
+EDGES_A_TASK = 100_000
 #: Rows of (id, task, side) up to which they are broadcast: some 25 MB.
 BROADCAST_ROWS = 500_000
 
@@ -168,17 +170,22 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of the longest path.
     """
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = edges.count()
+    # few edges need few tasks: the files of a shuffle are counted by tasks, not by rows
+    few = max(1, n // EDGES_A_TASK)
+    edges = edges.coalesce(few)
     for _ in range(limit):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(few)
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(few)
         # large star: larger neighbours go to the smallest one
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(few).distinct().coalesce(few)
         # small star: an id and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        after = durable(small.where("a <> b").distinct())
-        same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = after
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(few)
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).coalesce(few)
+        after = durable(small.where("a <> b").distinct().coalesce(few))
+        m = after.count()
+        same = m == n and after.join(edges, ["a", "b"], "left_anti").isEmpty()
+        edges, n = after, m
         if same:
             break
     else:
