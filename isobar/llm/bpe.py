@@ -17,7 +17,6 @@ import json
 import os
 import struct
 import tempfile
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
