@@ -137,13 +137,13 @@ def is_held(doc_id, folds: int, held: int):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds == held, F.lit(False))
 
 
-def with_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], name: str = "score", text: str = "text") -> DataFrame:
+def with_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], name: str = "score", text: str = "text", block: int = 3_000_000) -> DataFrame:
     """``docs`` with ``scorer(texts)`` added as a double; replaces a column of that name."""
     kept = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_blocks(whole, text=text):
+            for batch in text_blocks(whole, block, text):
                 score = pa.array(np.asarray(scorer(batch.column(text)), np.float64))
                 yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
 

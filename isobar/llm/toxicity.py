@@ -30,7 +30,7 @@ HIDDEN, LETTERS, LETTER_SIZE, STATS = 8, 64, 4, 7
 #: Logit of a text without words.
 NOTHING = -4.0
 #: Words whose inputs a Python worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def _letters(words: pa.Array) -> np.ndarray:
@@ -426,7 +426,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
     All overlapping windows of every text are scored, however long; equal texts get equal scores.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, label, folds, held, sample))
-    return with_score(docs, lambda batch: model.value.score(batch), name)
+    return with_score(docs, lambda batch: model.value.score(batch), name, block=6_000_000)
 
 
 def op5_bigru_toxicity(spark, sf_dir: str) -> DataFrame:
