@@ -3,8 +3,8 @@
 Words are inputs of two kinds.  Word input: the class log-odds of the word as it stands, and of
 its lower-case core.  Character input: the largest and the mean log-odds of the word's character
 n-grams (3 to 6 long, word edges marked; those at its start apart, also in lower case) and a
-learned embedding of its letters.  A text is cut into overlapping windows of
-words; in each, a forward and a backward gated recurrent layer read the inputs, attention pools
+learned embedding of its letters.  Words of any length are read whole, long ones in overlapping
+pieces.  A text is cut into overlapping windows of words; in each, a forward and a backward gated recurrent layer read the inputs, attention pools
 their states, and a linear layer gives the window's logit.  The network is trained on documents
 as bags of windows through a smooth maximum, by back-propagation and Adam; a document's score
 comes from its largest window logit, with a curve that allows for the number of windows.
@@ -24,8 +24,12 @@ SAMPLE = 6000
 #: Words of a window, and from the start of one to the next.
 WINDOW, STRIDE = 48, 32
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 19
-#: Bytes of a word whose n-grams are read; longer words are read at both ends.
+#: Bytes of a word that one row of its byte matrix holds; longer words are several rows.
 READ = 24
+#: From the start of a row of a longer word to the next: n-grams of 6 that start before the next row lie in this one.
+STEP = READ + 2 - 5
+#: Rows whose n-grams are held at a time.
+ROWS = 10_000
 HIDDEN, LETTERS, LETTER_SIZE, STATS = 8, 64, 4, 7
 #: Logit of a text without words.
 NOTHING = -4.0
@@ -33,19 +37,26 @@ NOTHING = -4.0
 REMEMBERED = 200_000
 
 
-def _letters(words: pa.Array) -> np.ndarray:
-    """Byte matrix of ^word$, padded by 0; a long word keeps its first and last bytes."""
+def _sizes(words: pa.Array) -> np.ndarray:
+    """Bytes of each word."""
+    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def piece_counts(words: pa.Array) -> np.ndarray:
+    """In how many overlapping pieces each word is read."""
+    return 1 + np.maximum(0, -(-(_sizes(words) - READ) // STEP))
+
+
+def _letters(words: pa.Array, owner: np.ndarray | None = None, nth: np.ndarray | None = None) -> np.ndarray:
+    """Byte matrix of ^word$, padded by 0: the first READ + 2 bytes of each word, or the ``nth`` piece of each of ``owner``."""
     raw = words.cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-    data = np.frombuffer(raw.buffers()[2], np.uint8)
-    size = np.diff(offsets)[:, None]
-    kept = np.minimum(size, READ)
-    place = np.arange(READ)
-    source = offsets[:-1, None] + np.where((size > READ) & (place >= READ // 2), size - READ + place, place)
-    out = np.zeros((len(words), READ + 2), np.uint8)
-    out[:, 0] = 2
-    out[:, 1:-1] = np.where(place < kept, data[np.minimum(source, len(data) - 1)], 0)
-    out[np.arange(len(words)), kept[:, 0] + 1] = 3
+    data = np.frombuffer(raw.buffers()[2] or b"\0", np.uint8)
+    owner = np.arange(len(words)) if owner is None else owner
+    begin, size = offsets[owner, None], np.diff(offsets)[owner, None]
+    place = np.arange(READ + 2) + (0 if nth is None else nth[:, None] * STEP)
+    out = np.where(place <= size, data[np.clip(begin + place - 1, 0, len(data) - 1)], 3 * (place == size + 1)).astype(np.uint8)
+    out[np.broadcast_to(place == 0, out.shape)] = 2
     return out
 
 
@@ -66,34 +77,65 @@ def gram_buckets(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack(columns), np.concatenate(edge)
 
 
+def piece_grams(letters: np.ndarray, nth: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`gram_buckets` for pieces: each n-gram of a word is in one piece only, and the first has the word's start."""
+    grams, edge = gram_buckets(letters)
+    if last.all() and not nth.any():
+        return grams, np.broadcast_to(edge, grams.shape)
+    start = np.concatenate([np.arange(letters.shape[1] - n + 1) for n in (3, 4, 5, 6)])
+    return np.where(last[:, None] | (start < STEP), grams, -1), edge & (nth == 0)[:, None]
+
+
 class Inputs:
-    """Inputs of distinct words: the statistics and the letters."""
+    """Inputs of distinct words: the statistics and the letters' shares."""
 
     def __init__(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> None:
         self.word_odds, self.gram_odds = word_odds, gram_odds
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(words):
-            return np.zeros((0, STATS), np.float32), np.zeros((0, READ + 2), np.uint8)
-        letters = _letters(words)
-        grams, edge = gram_buckets(letters)
-        odds = np.where(grams >= 0, self.gram_odds[grams], -9).astype(np.float32)
-        there = grams >= 0
+            return np.zeros((0, STATS), np.float32), np.zeros((0, LETTERS), np.float32)
+        count = piece_counts(words)
+        ends = np.cumsum(count)
+        # of all n-grams and of those at the start: the largest, the sum, and how many
+        top, total, number = np.full((len(words), 2), -9, np.float32), np.zeros((len(words), 2)), np.zeros(len(words), np.int64)
+        shares = np.zeros((len(words), LETTERS), np.float32)
+        for a in range(0, int(ends[-1]), ROWS):
+            row = np.arange(a, min(a + ROWS, int(ends[-1])))
+            owner = np.searchsorted(ends, row, "right")
+            nth = row - (ends[owner] - count[owner])
+            last = nth == count[owner] - 1
+            letters = _letters(words, owner, nth)
+            grams, edge = piece_grams(letters, nth, last)
+            there = grams >= 0
+            odds = np.where(there, self.gram_odds[grams], -9).astype(np.float32)
+            begins = np.flatnonzero(np.diff(owner, prepend=-1))
+            own = owner[begins]
+            some = edge.any(0)
+            largest = np.column_stack([odds.max(1), np.where(edge[:, some], odds[:, some], -9).max(1, initial=-9)])
+            summed = np.column_stack([np.where(there, odds, 0).sum(1), np.where(there[:, some] & edge[:, some], odds[:, some], 0).sum(1)])
+            top[own] = np.maximum(top[own], np.maximum.reduceat(largest, begins))
+            total[own] += np.add.reduceat(summed, begins)
+            number[own] += np.add.reduceat(there.sum(1), begins)
+            letters[~last, STEP:] = 0
+            at, cols = np.nonzero(letters)
+            counts = np.bincount((owner[at] - owner[0]) * LETTERS + letters[at, cols] % LETTERS, minlength=(owner[-1] - owner[0] + 1) * LETTERS)
+            shares[owner[0] : owner[-1] + 1] += counts.reshape(-1, LETTERS)
         stats = np.column_stack([
             self.word_odds[word_buckets(words)],
-            odds.max(1),
-            odds[:, edge].max(1),
-            np.where(there, odds, 0).sum(1) / np.maximum(there.sum(1), 1),
-            np.where(there & edge, odds, 0).sum(1) / 4,
+            np.maximum(top, -3),
+            total[:, 0] / np.maximum(number, 1),
+            total[:, 1] / 4,
             self.word_odds[core_buckets(words)],
             np.where((plain := start_buckets(words)) >= 0, self.gram_odds[plain], 0).sum(1) / 4,
         ]).astype(np.float32)
-        stats[:, 1:3] = np.maximum(stats[:, 1:3], -3)
-        return stats, letters
+        return stats, shares / np.maximum(_sizes(words), READ)[:, None].astype(np.float32)
 
 
 def letter_counts(letters: np.ndarray) -> np.ndarray:
-    """How often each letter class occurs in each word, over READ."""
+    """How often each letter class occurs in each word, over READ or its size; rows of bytes, or such shares as they are."""
+    if letters.dtype == np.float32:
+        return letters
     rows, cols = np.nonzero(letters)
     counts = np.bincount(rows * LETTERS + letters[rows, cols] % LETTERS, minlength=len(letters) * LETTERS).reshape(-1, LETTERS)
     return (counts / READ).astype(np.float32)
@@ -133,13 +175,28 @@ def class_counts(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarra
         own = y[a : a + 250]
         seen = np.unique(np.concatenate([doc * WORD_BUCKETS + b[code] for b in (word_buckets(words.vocab), core_buckets(words.vocab))]))
         up += np.bincount(own[seen // WORD_BUCKETS] * WORD_BUCKETS + seen % WORD_BUCKETS, minlength=up.size).reshape(up.shape)
-        grams = np.hstack([gram_buckets(_letters(words.vocab))[0], start_buckets(words.vocab)])
-        for b in range(0, len(code), 15_000):
-            g = grams[code[b : b + 15_000]]
-            seen = np.unique(np.where(g >= 0, doc[b : b + 15_000, None] * GRAM_BUCKETS + g, -1))
-            seen = seen[seen >= 0]
-            # a document cut by the block border counts a bucket twice at most
+        # the first pieces' n-grams are held, those of further pieces are few or made block by block
+        count = piece_counts(words.vocab)
+        first = np.zeros(len(count), np.int64)
+        grams = np.hstack([piece_grams(_letters(words.vocab), first, count == 1)[0], start_buckets(words.vocab)])
+        ends = np.cumsum(count[code])
+        before = np.zeros(0, np.int64)
+        for b in range(0, int(ends[-1]), 15_000):
+            row = np.arange(b, min(b + 15_000, int(ends[-1])))
+            pair = np.searchsorted(ends, row, "right")
+            word = code[pair]
+            nth = row - (ends[pair] - count[word])
+            g = grams[word]
+            more = np.flatnonzero(nth)
+            if len(more):
+                g[more] = -1
+                g[more, :-4] = piece_grams(_letters(words.vocab, word[more], nth[more]), nth[more], nth[more] == count[word[more]] - 1)[0]
+            seen = np.unique(np.where(g >= 0, doc[pair, None] * GRAM_BUCKETS + g, -1))
+            # a document cut by the block border counts a bucket once
+            seen = np.setdiff1d(seen[seen >= 0], before, assume_unique=True)
             down += np.bincount(own[seen // GRAM_BUCKETS] * GRAM_BUCKETS + seen % GRAM_BUCKETS, minlength=down.size).reshape(down.shape)
+            before = np.concatenate([before, seen])
+            before = before[before // GRAM_BUCKETS == doc[pair[-1]]]
     return up, down
 
 
@@ -287,7 +344,7 @@ def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bags(texts: list[str], inputs: Inputs, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(statistics, letters, word ids) for training: each document's ``per`` windows of the largest evidence, ids -1 past the end."""
+    """(statistics, letter shares, word ids) for training: each document's ``per`` windows of the largest evidence, ids -1 past the end."""
     stats, letters, ids, base = [], [], [], 0
     for a in range(0, len(texts), 250):
         words = Words(pa.array(texts[a : a + 250], pa.large_string()))

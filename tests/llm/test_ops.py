@@ -366,6 +366,51 @@ def test_toxicity_finds_a_word_anywhere(spark):
     assert {o: len(c) for o, c in covered.items()} == {1: 5, 2: 48, 3: 49, 4: 500}
 
 
+def test_toxicity_reads_long_words_whole(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefg-_/") for _ in range(n)) for n in (1, 2, 23, 24, 25, 26, 44, 45, 46, 67, 200, 5000)] + ["\u6bd2" * 70]
+    odds = np.random.default_rng(4).normal(size=toxicity.GRAM_BUCKETS).astype(np.float32)
+    inputs = toxicity.Inputs(np.zeros(toxicity.WORD_BUCKETS, np.float32), odds)
+    for block in (10_000, 7):
+        monkeypatch.setattr(toxicity, "ROWS", block)
+        stats, shares = inputs.of(pa.array(words, pa.large_string()))
+        for w, s, share in zip(words, stats, shares, strict=True):
+            letters = np.array([[2, *w.encode(), 3, 0, 0, 0, 0]], np.uint8)
+            grams, edge = toxicity.gram_buckets(letters)
+            mine, start = odds[grams[grams >= 0]], odds[grams[(grams >= 0) & edge]]
+            assert s[1:5] == pytest.approx([max(mine.max(), -3), max(start.max(), -3), mine.mean(), start.sum() / 4], abs=1e-4)
+            counts = np.bincount(letters[letters > 0] % toxicity.LETTERS, minlength=toxicity.LETTERS)
+            assert share == pytest.approx(counts / max(len(w.encode()), toxicity.READ), abs=1e-6)
+
+
+def test_toxicity_counts_every_gram_of_a_long_word_once():
+    rng = random.Random(6)
+    word = "".join(rng.choice("abcdefghij") for _ in range(400_000))
+    down = toxicity.class_counts([word, "a b"], np.array([1, 0]))[1]
+    grams = toxicity.gram_buckets(np.array([[2, *word.encode(), 3]], np.uint8))[0]
+    expected = set(grams[grams >= 0].tolist()) | set(toxicity.start_buckets(pa.array([word], pa.large_string())).ravel().tolist())
+    assert set(np.flatnonzero(down[1]).tolist()) == expected and down[1].max() == 1
+
+
+def test_toxicity_finds_a_word_inside_a_long_run():
+    rng = random.Random(3)
+    pick = lambda n: [rng.choice(["the", "of", "river", "stone", "green", "walks", "under", "sky"]) for _ in range(n)]
+    texts, y = [], []
+    for i in range(200):
+        w, toxic = pick(rng.randint(20, 100)), i % 2
+        run = pick(40)
+        if toxic:
+            run[rng.randrange(15, 25)] = rng.choice(["fool", "vermin"])
+        w[rng.randrange(len(w))] = rng.choice("-_/").join(run)
+        texts.append(" ".join(w))
+        y.append(toxic)
+    net = toxicity.train(texts, np.array(y), 0.3)
+    clean = pick(40)
+    dirty = [*clean[:20], "vermin", *clean[21:]]
+    score = net.score(pa.array([" ".join([*pick(30), "-".join(run), *pick(30)]) for run in (dirty, clean)], pa.string()))
+    assert len("-".join(dirty)) > 190 and score[0] > 0.5 > score[1]
+
+
 def test_toxicity_edges(docs, labels, empty):
     scored = toxicity.toxicity_scores(docs, labels).collect()
     assert len(scored) == len(rows()) and all(0 <= r["score"] <= 1 for r in scored)
