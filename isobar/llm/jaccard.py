@@ -104,7 +104,8 @@ def grouping(band: int, num: int, den: int) -> tuple[int, int]:
         return 0, 0
     best = (math.inf, 0, 0)
     rng = np.random.default_rng(band)
-    for groups in sorted({max(2, round(2 * 1.12**k)) for k in range(90)}):
+    # up to one group a token, however large the band
+    for groups in sorted({max(2, round(2 * 1.12**k)) for k in range(math.ceil(math.log(max(high, 4)) / math.log(1.12)))}):
         if groups > max(high, 4) or groups >= best[0]:
             break
         worst = 0.0

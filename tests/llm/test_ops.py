@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -257,6 +258,21 @@ def test_jaccard_of_nothing_and_of_clashing_columns(spark, docs, empty):
     assert len(got) == len(rows())
 
 
+@pytest.mark.parametrize(("num", "den"), [(4, 5), (9, 10)])
+def test_jaccard_groups_sets_of_any_size(num, den):
+    for band in range(12, 56):
+        groups, times = jaccard.grouping(band, num, den)
+        for n in (math.ceil(jaccard.BAND**band), math.ceil(jaccard.BAND ** (band + 1)) - 1):
+            d = n * (den - num) // num
+            alone = math.exp(n * math.log1p(-1 / groups)) * (1 + n / (groups - 1))
+            assert times * groups * math.log1p(-math.exp(d * math.log1p(-1 / groups)) * (1 - alone)) <= math.log(jaccard.MISS) + 1e-6
+    rng = np.random.default_rng(5)
+    n = 4_000_000
+    tokens = rng.integers(0, 2**64 - 1, n * den // num, np.uint64, endpoint=True)
+    keys = [jaccard._keys(np.sort(x), num, den) for x in (tokens[:n], tokens)]
+    assert len(np.intersect1d(*keys)) > 0
+
+
 def test_components(spark):
     pairs = [(i + 1, i) for i in range(40)] + [(100, 50), (100, 51), (51, 60), (7, 7)]
     got = {r["id"]: r["component"] for r in jaccard.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
