@@ -7,13 +7,13 @@ None and tests hold the stages against brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from isobar.llm.bpe import encode, tokenizer_path
 from isobar.llm.jaccard import BROADCAST_ROWS, linked
 from isobar.llm.mixing import mix_sources
 from isobar.llm.pii import pseudonymise
-from isobar.llm.shared import durable, stored, table
+from isobar.llm.shared import WORD_PATTERN, durable, stored, table
 from isobar.llm.toxicity import toxicity_scores
 
 #: Documents scoring this much or more are rejected.
@@ -29,12 +29,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(name) < TOXIC).select(*docs.columns)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest doc_id.  Empty texts and null ids stay."""
-    gone = linked(docs).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
-    gone = durable(gone)
+def _without(docs: DataFrame, mark: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``mark`` is in ``gone``, a durable column of that name."""
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(side, mark == F.col("gone"), "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: the one of smallest doc_id, a null one last.  Texts without words stay.
+
+    The decision is by row, whatever its doc_id: rows are told apart by a 64-bit hash of all
+    their columns, and of rows equal in all columns one stays.
+    """
+    row = F.xxhash64(*[F.struct(F.col(c).isNull(), c) for c in docs.columns])
+    worded = docs.where(F.col("text").rlike(WORD_PATTERN))
+    twice = durable(worded.groupBy(row.alias("gone")).count().where("count > 1").select("gone"))
+    if not twice.isEmpty():
+        few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+        docs = stored(_without(docs, row, twice).unionByName(docs.join(few, row == F.col("gone"), "left_semi").dropDuplicates()))
+    groups = durable(linked(docs.select(row.alias("doc_id"), "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
+    members = groups.unionByName(groups.select(F.col("component").alias("row"), "component").distinct())
+    side = F.broadcast(members) if groups.count() <= BROADCAST_ROWS // 2 else members
+    places = docs.select(row.alias("at"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row.alias("at")).alias("place"))
+    placed = durable(places.join(side, F.col("at") == F.col("row")).select("row", "component", "place"))
+    stay = placed.groupBy("component").agg(F.min("place")["at"].alias("stays"))
+    gone = durable(placed.join(stay, placed["row"] == stay["stays"], "left_anti").select(F.col("row").alias("gone")))
+    return _without(docs, row, gone)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

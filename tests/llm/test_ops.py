@@ -606,3 +606,24 @@ def test_pipeline_stages_with_gaps(spark, data):
             stages = stage(spark, stages, data)
             assert stages.columns == frame.columns
         assert P.STAGES[-1][1](spark, stages, data).count() == stages.count()
+
+
+def test_pipeline_drops_near_duplicates_by_row(spark, data):
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    text = lambda n=60: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    odd = [
+        (1, a, "x"), (9, a + " tail", "x"), (9, b, "x"),  # one id, two texts, one of them a copy
+        (4, c, "x"), (4, c, "x"), (4, c, "y"), (4, c + " tail", "x"),  # repeated rows of one id
+        (None, d, "x"), (None, d, "x"), (None, d + " tail", "y"), (None, e, "x"),  # null ids only
+        (None, f, "x"), (7, f + " tail", "x"), (8, f, "x"),  # a null id beside others
+        (None, None, "x"), (None, "", "x"), (None, "", "x"), (3, " \n", "x"), (3, " \n", "x"),  # without words
+    ]
+    frame = spark.createDataFrame([(i, t, s, i) for i, t, s in odd], "doc_id bigint, text string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, frame, data).collect()]
+    assert Counter(x for x in got if x[1] is None or not x[1].strip()) == Counter((i, t) for i, t, _ in odd if t is None or not t.strip())
+    left = [x for x in got if x[1] and x[1].strip()]
+    assert sorted(i for i, _ in left if i) == [1, 4, 7, 9] and (1, a) in left and (9, b) in left and (7, f + " tail") in left
+    assert len(left) == 6 and (None, e) in left and sum((t or "").startswith(d) for _, t in left) == 1
