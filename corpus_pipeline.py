@@ -72,9 +72,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row: doc_id, source, n_tokens and ids (little-endian unsigned 32-bit)."""
-    coded = encode(docs.select("doc_id", "source", "text"), tokenizer_path())
-    return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """Token ids of every row and the text they decode to: doc_id, source, n_tokens, ids (little-endian unsigned 32-bit) and decoded."""
+    coded = encode(docs.select("doc_id", "source", "text"), tokenizer_path(), decoded=True)
+    return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -17,7 +17,7 @@ import json
 import os
 import struct
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from .shared import Words, stored, table, text_blocks
 #: Words compiled into the automaton at most, and bytes of the longest.
 LEXICON_WORDS = 100_000
 LONGEST = 64
+#: Bytes of ids that are decoded at a time beside their encoding; a single longer text is decoded at once.
+DECODED_BYTES = 500_000
 #: Words, and pieces of words, whose merges a worker remembers, beside the automaton.
 REMEMBERED = 150_000
 
@@ -312,14 +314,16 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> byte
     return compile_automaton((r["word"].encode(), merger.word(r["word"])) for r in top.collect())
 
 
-def encode(docs: DataFrame, path: str, lexicon: bytes | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) added; replaces a column of that name.
 
-    Null and empty texts give no ids.  Any text length; repeated rows give equal ids.
+    Null and empty texts give no ids.  Any text length; repeated rows give equal ids.  With
+    ``decoded``, the same worker adds what :func:`decode` would.
     """
     block = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path) if lexicon is None else lexicon)
-    kept = docs.drop("ids")
-    schema = f"{kept._jdf.schema().toDDL()}, ids binary" if kept.columns else "ids binary"
+    added = {"ids": "binary"} | ({"decoded": "string"} if decoded else {})
+    kept = docs.drop(*added)
+    schema = ", ".join([kept._jdf.schema().toDDL()] * bool(kept.columns) + [f"{name} {kind}" for name, kind in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -327,36 +331,48 @@ def encode(docs: DataFrame, path: str, lexicon: bytes | None = None) -> DataFram
                 ids, starts = _encoder(path, block).encode(batch.column("text"))
                 offsets = pa.py_buffer((starts * 4).astype(np.int64))
                 out = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, offsets, pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], [*batch.schema.names, "ids"])
+                more = []
+                if decoded:
+                    coded = pa.RecordBatch.from_arrays([out], ["ids"])
+                    more = [pa.concat_arrays([_decoder(path)(part.column("ids")) for part in text_blocks(coded, DECODED_BYTES, "ids")])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary()), *more], [*batch.schema.names, *added])
 
     return kept.mapInArrow(run, schema)
 
 
+@functools.lru_cache(1)
+def _decoder(path: str) -> Callable[[pa.Array], pa.Array]:
+    """A function from ids to texts."""
+    tokens = merger_of(path).tokens
+    flat = [(tokens.get(i, "") + " ").encode() for i in range(max(tokens) + 1)]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in flat])])
+    data, lengths = np.frombuffer(b"".join(flat), np.uint8), np.diff(starts)
+
+    def texts(raw: pa.Array) -> pa.Array:
+        raw = pc.fill_null(raw.cast(pa.large_binary()), b"")
+        offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+        ids = np.frombuffer(raw.buffers()[2] or b"", "<u4", (offsets[-1] - offsets[0]) // 4, int(offsets[0])).astype(np.int64)
+        size = lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        text = data[np.repeat(starts[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[(offsets - offsets[0]) // 4]
+        # each text ends in one blank too many
+        keep = np.ones(len(text), bool)
+        keep[cuts[1:][np.diff(cuts) > 0] - 1] = False
+        cuts = cuts - np.concatenate([[0], np.cumsum(np.diff(cuts) > 0)])
+        return pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text[keep])]).cast(pa.string())
+
+    return texts
+
+
 def decode(frame: DataFrame, path: str) -> DataFrame:
     """``frame`` with ``decoded`` added: the tokens of ``ids`` joined by blanks, special tokens kept (the file names no decoder)."""
     kept = frame.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = merger_of(path).tokens
-        flat = [(tokens.get(i, "") + " ").encode() for i in range(max(tokens) + 1)]
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in flat])])
-        data, lengths = np.frombuffer(b"".join(flat), np.uint8), np.diff(starts)
         for whole in batches:
             for batch in [whole.slice(i, 256) for i in range(0, whole.num_rows, 256)]:
-                raw = batch.column("ids").cast(pa.large_binary())
-                raw = pc.fill_null(raw, b"")
-                offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-                ids = np.frombuffer(raw.buffers()[2] or b"", "<u4", (offsets[-1] - offsets[0]) // 4, int(offsets[0])).astype(np.int64)
-                size = lengths[ids]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                text = data[np.repeat(starts[ids] - ends[:-1], size) + np.arange(ends[-1])]
-                cuts = ends[(offsets - offsets[0]) // 4]
-                # each text ends in one blank too many
-                keep = np.ones(len(text), bool)
-                keep[cuts[1:][np.diff(cuts) > 0] - 1] = False
-                cuts = cuts - np.concatenate([[0], np.cumsum(np.diff(cuts) > 0)])
-                out = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text[keep])])
-                yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.string())], [*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, _decoder(path)(batch.column("ids"))], [*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(run, f"{kept._jdf.schema().toDDL()}, decoded string")
 

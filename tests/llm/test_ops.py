@@ -627,3 +627,36 @@ def test_pipeline_drops_near_duplicates_by_row(spark, data):
     left = [x for x in got if x[1] and x[1].strip()]
     assert sorted(i for i, _ in left if i) == [1, 4, 7, 9] and (1, a) in left and (9, b) in left and (7, f + " tail") in left
     assert len(left) == 6 and (None, e) in left and sum((t or "").startswith(d) for _, t in left) == 1
+
+
+def test_pipeline_stages_by_brute_force(spark, data):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").cache()
+    listed = lambda frame: Counter(tuple(r) for r in frame.collect())
+    before = docs.collect()
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    net = toxicity.trained(docs, labels)
+    clean = P.drop_toxic(spark, docs, data).cache()
+    assert listed(clean) == Counter(tuple(r) for r in before if net.score(pa.array([r["text"]], pa.string()))[0] < P.TOXIC)
+    near = clean.collect()
+    component = {i: c for i, (_, c) in brute_components([(r["doc_id"], r["text"]) for r in near], 5, 4, 5).items()}
+    unique = P.drop_near_duplicates(spark, clean, data).cache()
+    assert listed(unique) == Counter(tuple(r) for r in near if component[r["doc_id"]] == r["doc_id"])
+    private = P.replace_personal_data(spark, unique, data).cache()
+    back = pii.pseudonymise(private, "isobar-demo-key", reverse=True)
+    assert listed(back.select("doc_id", "text", "lang", "source")) == listed(unique.select("doc_id", "text", "lang", "source"))
+    assert all(r["n_chars"] == len(r["text"]) for r in private.collect() if r["text"] is not None)
+    mixed = P.mix(spark, private, data).cache()
+    source = {r["doc_id"]: tuple(r) for r in private.collect()}
+    assert all(source[r["doc_id"]] == tuple(r) for r in mixed.collect())
+    real = Tokenizer.from_file(bpe.tokenizer_path())
+    texts = {r["doc_id"]: r["text"] for r in private.collect()}
+    out = P.tokenise(spark, mixed, data).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in out) == Counter((r["doc_id"], r["source"]) for r in mixed.collect())
+    want = {i: real.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+    for r in out:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]]
+        assert r["decoded"] == real.decode(want[r["doc_id"]], skip_special_tokens=False)
