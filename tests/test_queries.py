@@ -43,3 +43,9 @@ def test_matches_sql(spark, data, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
+
+
+def test_ring_gradient_everywhere_has_every_cell(spark, data):
+    from isobar.plans.adapters import field
+
+    assert QUERIES["ring_gradient_everywhere"](spark, data).count() == field(spark, data).count()
