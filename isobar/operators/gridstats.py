@@ -24,9 +24,9 @@ def event_density(obs: DataFrame, events: DataFrame, kept: DataFrame, excluded:
     return rows.groupBy("y", "x").agg(*[F.sum((F.col("what") == w).cast("int")).cast("bigint").alias(w) for w in ("gen", "lys", "spl", "mrg")])
 
 
-def extreme_locations(obs: DataFrame, key: str = "tid") -> DataFrame:
+def extreme_locations(obs: DataFrame, key: str = "tid", digits: int | None = None) -> DataFrame:
     """How often each cell is where a track has each of its extremes."""
-    return extremes(obs, key).groupBy("extreme", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    return extremes(obs, key, digits).groupBy("extreme", "y", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
 def without_last(obs: DataFrame, key: str = "tid") -> DataFrame:

@@ -76,9 +76,11 @@ def precipitation(obs: DataFrame, key: str = "tid", column: str = "precip") -> D
     return obs.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("type") != 0, F.col(column))), F.lit(0.0)).alias("cap"))
 
 
-def extremes(obs: DataFrame, key: str = "tid") -> DataFrame:
-    """(key, extreme, value, time, y, x): where each track has its extremes, all ties."""
+def extremes(obs: DataFrame, key: str = "tid", digits: int | None = None) -> DataFrame:
+    """(key, extreme, value, time, y, x): where each track has its extremes, all ties; ``digits`` rounds uv and dpdt before."""
     rows = with_shape(kinematics(obs, key))
+    if digits is not None:
+        rows = rows.withColumns({c: F.round(c, digits) for c in ("uv", "dpdt")})
     w = W.partitionBy(key)
     best = rows.withColumns({f"_{name}": (F.max if largest else F.min)(column).over(w) for name, column, largest in EXTREMES})
     hits = F.array(*[F.when(F.col(column) == F.col(f"_{name}"), F.struct(F.lit(name).alias("extreme"), F.col(column).cast("double").alias("value"))) for name, column, _ in EXTREMES])

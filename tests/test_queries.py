@@ -49,3 +49,7 @@ def test_ring_gradient_everywhere_has_every_cell(spark, data):
     from isobar.plans.adapters import field
 
     assert QUERIES["ring_gradient_everywhere"](spark, data).count() == field(spark, data).count()
+
+
+def test_extreme_location_grid_all_has_five_extremes(spark, data):
+    assert {r["extreme"] for r in QUERIES["extreme_location_grid_all"](spark, data).select("extreme").collect()} == {"max_uv", "max_dpdt", "max_depth", "min_p", "max_dsqp"}
