@@ -191,6 +191,19 @@ def test_pseudonyms(spark):
     assert other[0] != out[0]
 
 
+def test_pseudonyms_of_other_groupings(spark):
+    cases = ["card 3782 822463 10005 or 3782-822463-10005.", "call +44 20 7946 0958, +33 1 23 45 67 89 now", "+33.1.23.45.67.89", "no card 3782 822463 10006, no phone +1 22 33 4 or +1 22 33 44 55 66 77 88 99"]
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    made = pii.pseudonymise(frame, "k", counts=True).orderBy("doc_id").collect()
+    assert [(r["n_card"], r["n_phone"]) for r in made] == [(2, 0), (0, 2), (0, 1), (0, 0)]
+    for before, r in zip(cases[:3], made, strict=False):
+        assert r["text"] != before and re.sub("[0-9]", "9", r["text"]) == re.sub("[0-9]", "9", before)
+    assert all(luhn(c) for c in re.findall(r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", made[0]["text"])) and "+44 " in made[1]["text"] and "+33 " in made[1]["text"]
+    assert made[3]["text"] == cases[3]
+    back = pii.pseudonymise(pii.pseudonymise(frame, "k"), "k", reverse=True).orderBy("doc_id")
+    assert [r["text"] for r in back.collect()] == cases
+
+
 def test_pseudonyms_are_a_permutation_and_plans_have_no_python(spark):
     ips = spark.range(300).select(F.concat(F.lit("10.0."), (F.col("id") / 256).cast("int").cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("text"))
     out = pii.pseudonymise(ips, "k", counts=True)
