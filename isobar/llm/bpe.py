@@ -4,19 +4,21 @@ The corpus is counted once; its most frequent words and their token ids are comp
 driver into a minimal acyclic automaton over UTF-8 bytes (equal suffixes share states).  Every
 transition carries the number of words that sort before those behind it, so the sum along an
 accepting path is the word's rank, which indexes the id outputs.  The arrays go to the executors
-as one broadcast of a size bounded by ``LEXICON_WORDS``, are written once per Python worker and
-memory-mapped.  A batch's distinct words walk the automaton together; words outside are merged
-by the BPE rules themselves.  Ids equal those of the ``tokenizers`` library with special tokens
-recognised in the text and none added.
+as one broadcast of a size bounded by ``LEXICON_WORDS``; Spark keeps it in one file for each
+executor, which all its Python workers map read-only.  A batch's distinct words walk the automaton
+together; words outside are merged by the BPE rules themselves.  Encoding and decoding share one
+worker.  Ids equal those of the ``tokenizers`` library with special tokens recognised in the text
+and none added.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import os
+import pickle
 import struct
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,10 +32,14 @@ from .shared import Words, stored, table, text_blocks
 #: Words compiled into the automaton at most, and bytes of the longest.
 LEXICON_WORDS = 100_000
 LONGEST = 64
-#: Bytes of ids that are decoded at a time beside their encoding; a single longer text is decoded at once.
-DECODED_BYTES = 500_000
-#: Words, and pieces of words, whose merges a worker remembers, beside the automaton.
-REMEMBERED = 150_000
+#: Tokens that are turned into text at a time.
+DECODED_TOKENS = 100_000
+#: Bytes of words outside the lexicon that a worker remembers with their ids, and what an entry costs beside its text and ids.
+REMEMBERED_BYTES, ENTRY = 32_000_000, 180
+#: Symbols from which a piece is merged with a heap.
+LONG_PIECE = 48
+#: How a compiled automaton begins; where a file holds it, its arrays begin at a multiple of 8 bytes.
+MAGIC = b"isobar lexicon 1"
 
 #: White space as Unicode's White_Space has it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -54,10 +60,8 @@ class Merger:
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.byte_chars = _byte_chars()
-        self.pieces: dict[str, list[int]] = {}
         self.path = path
         self._library = None
 
@@ -75,11 +79,10 @@ class Merger:
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
-        known = self.pieces.get(piece)
-        if known is not None:
-            return known
         symbols = [self.byte_chars[b] for b in piece.encode("utf-8")]
         symbols[-1] += self.end
+        if len(symbols) >= LONG_PIECE:
+            return self._merge_long(symbols)
         rank, none = self.ranks.get, len(self.ranks)
         found = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
         while found:
@@ -94,12 +97,31 @@ class Merger:
                 found[i - 1] = rank((symbols[i - 1], symbols[i]), none)
             if i < len(found):
                 found[i] = rank((symbols[i], symbols[i + 1]), none)
-        ids = [self.vocab[s] for s in symbols]
-        if len(piece) <= LONGEST:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        return [self.vocab[s] for s in symbols]
+
+    def _merge_long(self, symbols: list[str]) -> list[int]:
+        """The same by a heap of pairs over a linked list, so that n symbols take n log n steps."""
+        n, rank = len(symbols), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(r, i) for i in range(n - 1) if (r := rank((symbols[i], symbols[i + 1]))) is not None]
+        heapq.heapify(queue)
+        while queue:
+            r, i = heapq.heappop(queue)
+            j = after[i]
+            # out of date: the symbol is gone, or has another neighbour by now
+            if not symbols[i] or j >= n or rank((symbols[i], symbols[j])) != r:
+                continue
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((symbols[i], symbols[k]))) is not None:
+                    heapq.heappush(queue, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank((symbols[h], symbols[i]))) is not None:
+                heapq.heappush(queue, (r, h))
+        return [self.vocab[s] for s in symbols if s]
 
     def word(self, word: str) -> list[int]:
         """Token ids of a run without ASCII white space."""
@@ -170,29 +192,43 @@ def compile_automaton(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
             targets.append(target)
             skips.append(skipped)
             skipped += counts[target]
+    if len(finals) >= 1 << 24:
+        raise ValueError("the automaton has too many states")
     starts = np.cumsum([0] + [len(ids) for _, ids in entries])
-    blocks = [
-        np.array([root], np.int64), np.array(keys, np.int64), np.array(targets, np.int64), np.array(skips, np.int64),
-        np.array(finals, np.int64), starts.astype(np.int64), np.array([i for _, ids in entries for i in ids], np.int64),
-    ]
-    head = np.array([len(b) for b in blocks], np.int64)
-    return head.tobytes() + b"".join(b.tobytes() for b in blocks)
+    blocks = [np.array(x, "<u4") for x in ([root], keys, targets, skips, finals, starts, [i for _, ids in entries for i in ids])]
+    head = np.array([len(b) for b in blocks], "<u4")
+    return MAGIC + head.tobytes() + b"".join(b.tobytes() for b in blocks)
 
 
 class Automaton:
-    """A compiled transducer, memory-mapped from a file that is unlinked at once."""
-
-    def __init__(self, block: bytes) -> None:
-        with tempfile.NamedTemporaryFile() as f:
-            f.write(block)
-            f.flush()
-            mapped = np.memmap(f.name, np.int64, "r")
-        lengths, at, parts = mapped[:7], 7, []
+    """A compiled transducer; its arrays are views of the given bytes, which may be a mapped file."""
+
+    def __init__(self, block: bytes | np.ndarray) -> None:
+        words = np.frombuffer(block, np.uint8)[len(MAGIC) :].view("<u4")
+        lengths, at, parts = words[:7].tolist(), 7, []
         for n in lengths:
-            parts.append(mapped[at : at + n])
+            parts.append(words[at : at + n])
             at += n
         self.root, self.keys, self.targets, self.skips, self.finals, self.starts, self.ids = parts
 
+    @staticmethod
+    def shipped(block: bytes) -> bytes:
+        """``block`` behind so many blanks that its arrays are aligned in the file of a broadcast."""
+        return b" " * (-pickle.dumps(block, 5).index(MAGIC) % 8) + block
+
+    @classmethod
+    def of(cls, broadcast) -> Automaton:
+        """The automaton of a broadcast of :meth:`shipped` bytes: mapped from the executor's file of it, if there is one."""
+        path = getattr(broadcast, "_path", None)
+        if path and os.path.exists(path):
+            mapped = np.memmap(path, np.uint8, "r")
+            at, size = bytes(mapped[:256]).find(MAGIC), len(MAGIC)
+            if at >= 0:
+                head = mapped[at + size : at + size + 28].view("<u4").astype(np.int64)
+                return cls(mapped[at : at + size + 28 + 4 * int(head.sum())])
+        value = broadcast.value
+        return cls(value[value.index(MAGIC) :])
+
     def ranks(self, words: pa.Array) -> np.ndarray:
         """Each word's rank in the lexicon, -1 if it isn't in it."""
         n = len(words)
@@ -204,11 +240,11 @@ class Automaton:
         data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(1, np.uint8)
         lengths = np.diff(offsets)
         row = np.flatnonzero((lengths > 0) & (lengths <= LONGEST))
-        state, rank = np.full(len(row), self.root[0]), np.zeros(len(row), np.int64)
+        state, rank = np.full(len(row), self.root[0], np.uint32), np.zeros(len(row), np.uint32)
         for step in range(LONGEST):
             if not len(row):
                 break
-            key = state << 8 | data[offsets[row] + step]
+            key = state << np.uint32(8) | data[offsets[row] + step]
             arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             there = self.keys[arc] == key
             row, arc = row[there], arc[there]
@@ -226,10 +262,25 @@ _WORKER: dict = {}
 class Encoder:
     """Encodes batches of texts in one Python worker."""
 
-    def __init__(self, path: str, block: bytes) -> None:
+    def __init__(self, path: str, automaton: Automaton) -> None:
         self.merger = merger_of(path)
-        self.automaton = Automaton(block)
+        self.automaton = automaton
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def outside(self, word: str) -> bytes:
+        """Ids of a word that the lexicon doesn't have."""
+        ids = self.known.get(word)
+        if ids is None:
+            found = self.merger.word(word)
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(word) <= LONGEST:
+                self.held += len(word) + len(ids) + ENTRY
+                if self.held > REMEMBERED_BYTES:
+                    self.known.clear()
+                    self.held = 0
+                self.known[word] = ids
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text begins)."""
@@ -240,31 +291,24 @@ class Encoder:
         lengths, begins = np.zeros(len(ranks), np.int32), np.zeros(len(ranks), np.int32)
         inside = np.flatnonzero(ranks >= 0)
         begins[inside] = lex.starts[ranks[inside]]
-        lengths[inside] = lex.starts[ranks[inside] + 1] - begins[inside]
+        lengths[inside] = lex.starts[ranks[inside] + 1] - lex.starts[ranks[inside]]
         more, at = [], len(lex.ids)
         for i, word in zip(outside.tolist(), words.vocab.take(pa.array(outside)).to_pylist(), strict=True):
-            ids = self.known.get(word)
-            if ids is None:
-                ids = struct.pack(f"<{len(found)}I", *found) if (found := self.merger.word(word)) else b""
-                if len(word) <= LONGEST:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[word] = ids
-            more.append(ids)
-            lengths[i], begins[i] = len(ids) // 4, at
-            at += len(ids) // 4
-        pool = np.concatenate([lex.ids.astype("<u4"), np.frombuffer(b"".join(more), "<u4")])
+            more.append(self.outside(word))
+            lengths[i], begins[i] = len(more[-1]) // 4, at
+            at += len(more[-1]) // 4
+        pool = np.concatenate([lex.ids, np.frombuffer(b"".join(more), "<u4")])
         per_word = lengths[words.codes]
-        ends = np.concatenate([[0], np.cumsum(per_word)])
+        ends = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])
         picks = np.arange(ends[-1], dtype=np.int32)
         picks += np.repeat((begins[words.codes] - ends[:-1]).astype(np.int32), per_word)
         return pool[picks], ends[words.starts]
 
 
 def _encoder(path: str, block) -> Encoder:
-    key = (path, id(block))
-    if _WORKER.get("key") != key:
-        _WORKER.update(key=key, encoder=Encoder(path, block.value))
+    # the broadcast is held with its encoder, so that no other one can take its identity
+    if _WORKER.get("path") != path or _WORKER.get("block") is not block:
+        _WORKER.update(path=path, block=block, encoder=Encoder(path, Automaton.of(block)))
     return _WORKER["encoder"]
 
 
@@ -317,24 +361,22 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> byte
 def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) added; replaces a column of that name.
 
-    Null and empty texts give no ids.  Any text length; repeated rows give equal ids.  With
-    ``decoded``, the same worker adds what :func:`decode` would.
+    Null, empty and blank texts give no ids, an empty table an empty one.  Texts and words of any
+    length are read whole; repeated rows give equal ids; other columns pass through.  With
+    ``decoded``, the same worker adds what :func:`decode` would (replacing that column).
     """
-    block = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path) if lexicon is None else lexicon)
+    block = docs.sparkSession.sparkContext.broadcast(Automaton.shipped(build_lexicon(docs, path) if lexicon is None else lexicon))
     added = {"ids": "binary"} | ({"decoded": "string"} if decoded else {})
     kept = docs.drop(*added)
     schema = ", ".join([kept._jdf.schema().toDDL()] * bool(kept.columns) + [f"{name} {kind}" for name, kind in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_blocks(whole):
+            for batch in text_blocks(whole, 2_000_000):
                 ids, starts = _encoder(path, block).encode(batch.column("text"))
                 offsets = pa.py_buffer((starts * 4).astype(np.int64))
                 out = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, offsets, pa.py_buffer(ids)])
-                more = []
-                if decoded:
-                    coded = pa.RecordBatch.from_arrays([out], ["ids"])
-                    more = [pa.concat_arrays([_decoder(path)(part.column("ids")) for part in text_blocks(coded, DECODED_BYTES, "ids")])]
+                more = [_decoder(path)(out)] if decoded else []
                 yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary()), *more], [*batch.schema.names, *added])
 
     return kept.mapInArrow(run, schema)
@@ -343,30 +385,41 @@ def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, decoded: bo
 @functools.lru_cache(1)
 def _decoder(path: str) -> Callable[[pa.Array], pa.Array]:
     """A function from ids to texts."""
-    tokens = merger_of(path).tokens
+    merger = merger_of(path)
+    tokens = {i: t for t, i in (merger.vocab | merger.added).items()}
     flat = [(tokens.get(i, "") + " ").encode() for i in range(max(tokens) + 1)]
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in flat])])
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in flat])]).astype(np.int32)
     data, lengths = np.frombuffer(b"".join(flat), np.uint8), np.diff(starts)
+    del tokens, flat
 
     def texts(raw: pa.Array) -> pa.Array:
         raw = pc.fill_null(raw.cast(pa.large_binary()), b"")
         offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-        ids = np.frombuffer(raw.buffers()[2] or b"", "<u4", (offsets[-1] - offsets[0]) // 4, int(offsets[0])).astype(np.int64)
-        size = lengths[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        text = data[np.repeat(starts[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        ids = np.frombuffer(raw.buffers()[2] or b"", "<u4", (offsets[-1] - offsets[0]) // 4, int(offsets[0]))
+        ends = np.concatenate([[0], np.cumsum(lengths[ids], dtype=np.int64)])
+        text = np.empty(ends[-1], np.uint8)
+        for a in range(0, len(ids), DECODED_TOKENS):
+            b = min(a + DECODED_TOKENS, len(ids))
+            size = lengths[ids[a:b]]
+            place = np.arange(ends[b] - ends[a], dtype=np.int32)
+            place += np.repeat((starts[ids[a:b]] - (ends[a:b] - ends[a])).astype(np.int32), size)
+            text[ends[a] : ends[b]] = data[place]
         cuts = ends[(offsets - offsets[0]) // 4]
         # each text ends in one blank too many
-        keep = np.ones(len(text), bool)
-        keep[cuts[1:][np.diff(cuts) > 0] - 1] = False
-        cuts = cuts - np.concatenate([[0], np.cumsum(np.diff(cuts) > 0)])
-        return pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text[keep])]).cast(pa.string())
+        some = np.diff(cuts) > 0
+        text = np.delete(text, cuts[1:][some] - 1)
+        cuts = cuts - np.concatenate([[0], np.cumsum(some)])
+        return pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(text)]).cast(pa.string())
 
     return texts
 
 
 def decode(frame: DataFrame, path: str) -> DataFrame:
-    """``frame`` with ``decoded`` added: the tokens of ``ids`` joined by blanks, special tokens kept (the file names no decoder)."""
+    """``frame`` with ``decoded`` added: the tokens of ``ids`` joined by blanks, special tokens kept (the file names no decoder).
+
+    Null and empty ids give an empty text; ids of any length are decoded whole, repeated rows
+    alike; an empty table stays empty; other columns pass through, one of that name is replaced.
+    """
     kept = frame.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +437,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    """Digests of every document's ids and of the text they decode to; a null text counts as empty."""
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), decoded=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

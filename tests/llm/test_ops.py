@@ -573,6 +573,48 @@ def test_bpe_round_trip(spark, docs, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_merges_long_words_as_the_library_does():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path()
+    real, merger, rng = Tokenizer.from_file(path), bpe.Merger(path), random.Random(2)
+    for n in (47, 48, 49, 300, 6000):
+        for letters in ("a", "ab", "theing", "etaoinshrdlu-.", "été日本"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert merger.word(word) == real.encode(word, add_special_tokens=False).ids
+    began = time.monotonic()
+    assert merger.word("".join(rng.choice("abcdefgh") for _ in range(1_000_000)))
+    assert time.monotonic() - began < 60
+
+
+def test_bpe_forgets_words_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 2000)
+    path = bpe.tokenizer_path()
+    encoder = bpe.Encoder(path, bpe.Automaton(bpe.compile_automaton([])))
+    texts = pa.array([" ".join(f"word{i}x" for i in range(200)), "word1x word1x"])
+    ids, starts = encoder.encode(texts)
+    assert encoder.held <= 2000 and len(encoder.known) < 12
+    assert ids[starts[1] :].tolist() == encoder.merger.word("word1x") * 2
+
+
+def test_lexicon_is_mapped_from_the_broadcast(spark):
+    words = [(b"walk", [3, 4]), (b"talk", [5])]
+    block = spark.sparkContext.broadcast(bpe.Automaton.shipped(bpe.compile_automaton(words) + b"\0" * 100_000))
+
+    def run(batches):
+        automaton = bpe.Automaton.of(block)
+        base = automaton.keys
+        while base.base is not None and not isinstance(base, np.memmap):
+            base = base.base
+        ranks = [automaton.ranks(b.column(0)) for b in batches]
+        yield pa.RecordBatch.from_pydict({"rank": pa.array(np.concatenate(ranks)), "mapped": pa.array([isinstance(base, np.memmap) and automaton.keys.flags.aligned] * sum(map(len, ranks)))})
+
+    got = spark.createDataFrame([("talk",), ("walk",), ("balk",)], "w string").coalesce(1).mapInArrow(run, "rank bigint, mapped boolean").collect()
+    assert [(r["rank"], r["mapped"]) for r in got] == [(0, True), (1, True), (-1, True)]
+
+
 def test_automaton_is_minimal_and_ranks_words():
     words = sorted({a + b for a in ("walk", "talk", "stalk", "w") for b in ("", "s", "ed", "ing")})
     block = bpe.compile_automaton((w.encode(), [i, i + 1]) for i, w in enumerate(words))
