@@ -8,14 +8,17 @@
     below as well.  Groups of a single token or none make common keys and are left out; each
     band has so many groups, over one or more groupings, that linked sets share no key with a
     chance of at most MISS, as with equal hashes of different tokens.
-3.  Sets that share a key are tied to the key's smallest id; connected components of these ties
-    gather every set with all its possible partners, at one row for each set.
-4.  In a component, the group counts of the sets are points of an R-tree.  The overlap of two
-    sets is at most the sum of the coordinate minima, of a set and a node at most that with the
-    node's largest counts; what survives is verified on the sets themselves.  Sets already
-    linked to each other through others need no test.  Components too large for a task are cut
-    into blocks, and each pair of blocks is one task.
-5.  Verified links give the final components.
+3.  The sets with a key in common are tied to the smallest id among them, the centre; a centre and
+    the sets tied to it are a star.  Any two sets that can be linked are in one star.
+4.  Stars are joined in chunks of CHUNK sets with their centre: the group counts of the sets are
+    points of a packed R-tree, whose nodes hold the largest counts and the range of sizes below
+    them.  The overlap of two sets is at most the sum of the coordinate minima, of a set and a node
+    at most that with the node's largest counts; what survives is verified on the sets themselves.
+    So a group of n copies costs n, not n * n.
+5.  Only stars of more than one chunk whose sets are still in different components go on: their
+    sets are cut into blocks, those of a large component apart, and each pair of blocks that
+    aren't of one component is a task of its own with such a tree.
+6.  Verified links give the final components.
 
 Nothing is sampled or capped, and no link between different sets is lost (up to chances of
 MISS and collisions of 64-bit hashes).
@@ -33,14 +36,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import Words, durable, mix64, stored, string_hashes, table, text_blocks
 
-#: Coordinates of a point, and sets of an R-tree leaf.
-AXES, LEAF = 32, 32
+#: Coordinates of a point, sets of an R-tree leaf and nodes of an inner node, and sets that walk the tree together.
+AXES, LEAF, FAN, WALK = 32, 8, 8, 64
 #: Size ratio of a band, tokens from which a group makes a key, and the chance that linked sets share no key.
 BAND, SELECTIVE, MISS = 1.5, 2, 1e-12
 #: Sets up to this size have groupings by trial, larger ones by the formula for independent groups.
 SMALL = 64
-#: Shingles of a component that one task takes at most; larger components are cut into blocks.
-TASK_SHINGLES = 3_000_000
+#: Sets of a star that are joined with its centre at a time, sets of a block, and shingles of either.
+CHUNK, BLOCK, TASK_SHINGLES = 64, 128, 1_000_000
 #: Edges that one task of the components' rounds takes.
 EDGES_A_TASK = 100_000
 #: Rows of (id, task, side) up to which they are broadcast: some 25 MB.
@@ -223,63 +226,94 @@ def counts_of(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bincount(owner * AXES + axis, minlength=(len(starts) - 1) * AXES).reshape(-1, AXES)
 
 
-def verified_links(tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+class Tree:
+    """A packed R-tree over points: levels of nodes with the largest counts, the size range and the last place below them."""
+
+    def __init__(self, points: np.ndarray, size: np.ndarray) -> None:
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        top, least, most, fan = points, size, size, LEAF
+        while len(top) > 1 or not self.levels:
+            firsts = np.arange(0, len(top), fan)
+            top, least, most = (f.reduceat(x, firsts, axis=0) for f, x in ((np.maximum, top), (np.minimum, least), (np.maximum, most)))
+            self.levels.append((top, least, most, np.full(len(top), fan)))
+            fan = FAN
+        self.points, self.size = points, size
+
+    def pairs(self, who: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) for i of ``who`` and each place j before i whose counts allow a similarity of num / den."""
+        points, size = self.points, self.size
+        n = len(who)
+        i, at = np.repeat(who, len(self.levels[-1][0])), np.tile(np.arange(len(self.levels[-1][0])), n)
+        span = LEAF * FAN ** (len(self.levels) - 1)
+        for top, least, most, fan in reversed(self.levels):
+            own = size[i]
+            reach = (at * span < i) & (den * most[at] >= num * own) & (num * least[at] <= den * own)
+            i, at = i[reach], at[reach]
+            near = np.minimum(points[i], top[at]).sum(1) * (num + den) >= num * (size[i] + least[at])
+            i, at = i[near], at[near]
+            width = int(fan[0])
+            below = span // width
+            i, at = np.repeat(i, width), (at[:, None] * width + np.arange(width)).ravel()
+            span = below
+            there = at * span < len(points)
+            i, at = i[there], at[there]
+        return i, at
+
+    @staticmethod
+    def order(points: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of the sets for packing: halves of halves along the widest axis down to a leaf."""
+        out, todo = [], [np.lexsort((ids, size))]
+        while todo:
+            part = todo.pop()
+            if len(part) <= LEAF:
+                out.append(part)
+                continue
+            own = points[part]
+            axis = int(np.argmax(own.max(0) - own.min(0)))
+            part = part[np.argsort(own[:, axis], kind="stable")]
+            # whole leaves on the left, so that leaves are the runs of LEAF
+            cut = max(LEAF, len(part) // 2 // LEAF * LEAF)
+            todo += [part[cut:], part[:cut]]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def verified_links(tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning set of the links among sets: pairs of ids whose similarity reaches num / den.
 
-    With ``side`` (0 or 1 for each set), only pairs across the sides are tested.
+    Sets with one value of ``known`` are linked already; pairs of them aren't tested.
     """
     n = len(ids)
-    size = np.diff(starts)
-    order = np.lexsort((ids, size))
-    points, forest, links = counts_of(tokens, starts)[order], Forest(n), []
-    size, side = size[order], None if side is None else side[order]
-    # leaves are runs of sets of about one size, already nearly equal points in a component
-    firsts = np.arange(0, n, LEAF)
-    tops = np.maximum.reduceat(points, firsts, axis=0) if n else points
-    least = size[firsts] if n else size
-    sets: dict[int, np.ndarray] = {}
-
-    def tokens_of(i: int) -> np.ndarray:
-        if i not in sets:
-            if len(sets) > 4096:
-                sets.clear()
-            k = order[i]
-            sets[i] = tokens[starts[k] : starts[k + 1]]
-        return sets[i]
-
-    for i in range(1, n):
-        # partners before i in size order: of at least num / den of its size
-        leaves = int(firsts.searchsorted(i))
-        need = num * (size[i] + least[:leaves])
-        reach = np.flatnonzero((np.minimum(points[i], tops[:leaves]).sum(1) * (num + den) >= need))
-        if not len(reach):
-            continue
-        rows = (firsts[reach][:, None] + np.arange(LEAF)).ravel()
-        rows = rows[rows < i]
-        rows = rows[den * size[rows] >= num * size[i]]
-        if side is not None:
-            rows = rows[side[rows] != side[i]]
+    if n < 2:
+        return []
+    points, size, forest, links = counts_of(tokens, starts), np.diff(starts), Forest(n), []
+    order = Tree.order(points, size, ids)
+    tree = Tree(points[order], size[order])
+    if known is not None:
+        first: dict[int, int] = {}
+        for i, k in enumerate(known[order].tolist()):
+            forest.parent[i] = first.setdefault(k, i)
+    sets = [tokens[starts[k] : starts[k + 1]] for k in order]
+    for a in range(0, n, WALK):
+        who, what = tree.pairs(np.arange(a, min(a + WALK, n)), num, den)
         roots = forest.roots()
-        rows = rows[roots[rows] != forest.root(i)]
-        rows = rows[np.minimum(points[i], points[rows]).sum(1) * (num + den) >= num * (size[i] + size[rows])]
-        done: set[int] = set()
-        for j in rows[::-1]:
-            root = forest.root(int(j))
-            if root in done or root == forest.root(i):
+        apart = (roots[who] != roots[what]) & (what < who)
+        who, what = who[apart], what[apart]
+        close = np.minimum(tree.points[who], tree.points[what]).sum(1) * (num + den) >= num * (tree.size[who] + tree.size[what])
+        for i, j in zip(who[close].tolist(), what[close].tolist(), strict=True):
+            p, q = forest.root(i), forest.root(j)
+            if p == q:
                 continue
-            a, b = tokens_of(i), tokens_of(int(j))
-            place = np.minimum(b.searchsorted(a), len(b) - 1)
-            shared = int((b[place] == a).sum())
-            if den * shared >= num * (len(a) + len(b) - shared):
+            x, y = sets[i], sets[j]
+            place = np.minimum(y.searchsorted(x), len(y) - 1)
+            shared = int((y[place] == x).sum())
+            if den * shared >= num * (len(x) + len(y) - shared):
                 links.append((int(ids[order[i]]), int(ids[order[j]])))
-                mine = forest.root(i)
-                forest.parent[max(root, mine)] = min(root, mine)
-                done.add(min(root, mine))
+                forest.parent[max(p, q)] = min(p, q)
     return links
 
 
 def _verify(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) from rows (task, side, doc_id, text); the rows of a task come one after the other."""
+    """Links (a, b) from rows (task, known, doc_id, text); the rows of a task come one after the other."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solved(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -291,8 +325,7 @@ def _verify(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 parts.append(tokens)
                 lengths.append(np.diff(starts))
         starts = np.cumsum(np.concatenate(lengths))
-        side = held.column("side").to_numpy()
-        links = verified_links(np.concatenate(parts), starts, held.column("doc_id").to_numpy(), num, den, side if len(set(side.tolist())) > 1 else None)
+        links = verified_links(np.concatenate(parts), starts, held.column("doc_id").to_numpy(), num, den, held.column("known").to_numpy())
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +344,54 @@ def _verify(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
         if rows:
             yield solved(rows)
 
-    return members.repartition("task").sortWithinPartitions("task").select("task", "side", "doc_id", "text").mapInArrow(run, "a bigint, b bigint")
+    return members.repartition("task").sortWithinPartitions("task").select("task", "known", "doc_id", "text").mapInArrow(run, "a bigint, b bigint")
+
+
+def _with_texts(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (id, task, known) with the id's text."""
+    places = durable(places)
+    # few rows of three numbers go to the texts; otherwise the texts move
+    side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    return texts.join(side, places["id"] == texts["doc_id"]).select("task", "known", "doc_id", "text")
+
+
+def _chunks(stars: DataFrame) -> DataFrame:
+    """(id, task, known): each star's sets in chunks, and its centre in each of them; nothing is known of their links."""
+    count = F.col("chunks")
+    cut = stars.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "a"), count))
+    sets = cut.select(F.col("a").alias("id"), "b", "chunk")
+    centres = stars.select("b", "chunks").distinct().select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("chunk"))
+    return sets.unionByName(centres).select("id", F.xxhash64("b", "chunk").alias("task"), F.col("id").alias("known"))
+
+
+def _pairs_of_blocks(stars: DataFrame, joined: DataFrame) -> DataFrame:
+    """(id, task, known): what the chunks leave of large stars, as pairs of blocks.
+
+    ``joined`` (id, component) has the links of the chunks.  A component with BLOCK or more sets in
+    a star has blocks of its own; the other sets share blocks.  Pairs of blocks of one component
+    need no task.
+    """
+    large = stars.where("chunks > 1")
+    sets = large.select("b", F.col("a").alias("id"), "n").unionByName(large.select("b", F.col("b").alias("id"), F.col("centre_n").alias("n")).distinct())
+    sets = sets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = sets.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
+    sets = durable(sets.join(split, "b", "left_semi"))
+    sizes = sets.groupBy("b", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    # blocks without an owner have sets of several components
+    owned = sizes.withColumn("owner", F.when(F.col("m") >= BLOCK, F.col("component")))
+    counts = owned.groupBy("b", "owner").agg(F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("s") / TASK_SHINGLES)).alias("blocks"))
+    lists = counts.select("b", "owner", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("nth")).withColumn("block", F.xxhash64(F.lit(5), "b", "owner", "nth"))
+    first, second = (lists.select(*[F.col(c).alias(f"{c}{k}") for c in ("b", "owner", "block")]) for k in (1, 2))
+    # one row for each pair of blocks: a square of the number of blocks in a star, not of its sets
+    pairs = first.join(second, (F.col("b1") == F.col("b2")) & (F.col("block1") <= F.col("block2")) & ~F.coalesce(F.col("owner1") == F.col("owner2"), F.lit(False)))
+    sides = pairs.select("block1", "block2", F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block")).select("block", F.xxhash64("block1", "block2").alias("task"))
+    owner_of = owned.select(F.col("b").alias("star"), F.col("component").alias("c"), "owner").join(
+        counts.select(F.col("b").alias("cb"), F.col("owner").alias("co"), "blocks"), (F.col("star") == F.col("cb")) & F.col("owner").eqNullSafe(F.col("co"))
+    ).select("star", "c", "owner", "blocks")
+    placed = sets.join(owner_of, (sets["b"] == F.col("star")) & (sets["component"] == F.col("c")))
+    nth = F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks"))
+    placed = placed.select("id", "component", F.xxhash64(F.lit(5), "b", "owner", nth).alias("block"))
+    return placed.join(sides, "block").select("id", "task", F.col("component").alias("known"))
 
 
 def linked(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -320,21 +400,25 @@ def linked(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFr
     Sets link when their Jaccard similarity is num / den or more; component_id is the smallest
     doc_id reachable over links, itself included.  Null, empty and blank texts have an empty set
     and link with nothing.  A row with a null doc_id makes no class; it gets the component of
-    its set if another row has it.  Rows of one doc_id count as one document.
+    its set if another row has it.  Rows of one doc_id count as one document.  Texts of any length
+    are read whole; an empty table gives an empty one; columns beside doc_id and text play no part.
     """
     sketch = stored(sketches(docs, size, num, den))
     classes = stored(sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("f1", "f2", "n_shingles", F.col("x.doc_id").alias("rep"), F.col("x.keys").alias("keys")))
-    keyed = classes.select("rep", F.explode("keys").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top").select("key", "b")
-    ties = keyed.join(shared.hint("shuffle_hash"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    groups = components(ties)
-    sized = groups.join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
-    groups = durable(_tasks(sized))
+    keyed = classes.select("rep", "n_shingles", F.explode("keys").alias("key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.max("rep").alias("top")).where("c.rep <> top").select("key", "c")
+    ties = keyed.join(shared.hint("shuffle_hash"), "key").where("rep <> c.rep")
+    ties = stored(ties.groupBy(F.col("rep").alias("a"), F.col("c.rep").alias("b")).agg(F.first("n_shingles").alias("n"), F.first("c.n_shingles").alias("centre_n")))
+    sizes = ties.groupBy("b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / TASK_SHINGLES)).alias("chunks"))
+    stars = stored(ties.join(sizes, "b"))
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    # few rows of three numbers go to the texts; otherwise the texts move
-    side = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-    members = texts.join(side, groups["id"] == texts["doc_id"]).select("task", "side", "doc_id", "text")
-    final = components(_verify(members, size, num, den)).withColumnRenamed("id", "rep")
+    links = stored(_verify(_with_texts(_chunks(stars), texts), size, num, den))
+    joined = durable(components(links))
+    rest = durable(_pairs_of_blocks(stars, joined))
+    if not rest.isEmpty():
+        more = _verify(_with_texts(rest, texts), size, num, den)
+        joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    final = joined.withColumnRenamed("id", "rep")
     owners = classes.select("f1", "f2", F.col("n_shingles").alias("n"), "rep").join(final, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     rows = sketch.select("doc_id", "n_shingles", "f1", "f2")
     found = rows.join(owners, (rows["f1"] == owners["f1"]) & (rows["f2"] == owners["f2"]) & (rows["n_shingles"] == owners["n"]), "left")
@@ -342,19 +426,6 @@ def linked(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFr
     return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _tasks(sized: DataFrame) -> DataFrame:
-    """(id, task, side): a component is one task, or one for each pair of its blocks of about TASK_SHINGLES."""
-    totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
-    blocks = F.ceil(F.col("total") / TASK_SHINGLES).cast("int")
-    cut = sized.join(totals, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    )
-    out = cut.select("id", "component", "block", F.explode(pairs).alias("p"))
-    task = F.xxhash64("component", "p.i", "p.j")
-    side = F.when((F.col("p.i") != F.col("p.j")) & (F.col("block") == F.col("p.j")), 1).otherwise(0)
-    return out.select("id", task.alias("task"), side.alias("side"))
-
-
 def op3_rtree_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Every document's set size and component at 3-word shingles and 90 in 100; cases as in :func:`linked`."""
     return linked(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 9, 10)

@@ -258,13 +258,42 @@ def test_jaccard_against_brute_force(spark, size, num, den):
     assert got == brute_components(data, size, num, den)
 
 
-def test_jaccard_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TASK_SHINGLES", 600)
+@pytest.mark.parametrize(("chunk", "block", "shingles"), [(2, 2, 10**9), (3, 4, 10**9), (64, 128, 600)])
+def test_jaccard_by_blocks(spark, monkeypatch, chunk, block, shingles):
+    for name, value in (("CHUNK", chunk), ("BLOCK", block), ("TASK_SHINGLES", shingles)):
+        monkeypatch.setattr(jaccard, name, value)
     data = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(spark.createDataFrame(data, "doc_id bigint, text string"), 5, 4, 5).collect()}
     assert got == brute_components(data, 5, 4, 5)
 
 
+def test_jaccard_splits_a_large_star(spark, monkeypatch):
+    """Hundreds of copies that differ from each other and share a passage with others: no task has them all."""
+    for name, value in (("CHUNK", 16), ("BLOCK", 16)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+        texts.append(" ".join([word() for _ in range(rng.randint(5, 60))] + passage + [word() for _ in range(rng.randint(5, 60))]))
+    data, most = list(enumerate(texts)), []
+    verify = jaccard._verify
+
+    def seen(members, *args):
+        most.append(members.groupBy("task").count().agg(F.max("count")).first()[0])
+        return verify(members, *args)
+
+    monkeypatch.setattr(jaccard, "_verify", seen)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(spark.createDataFrame(data, "doc_id bigint, text string"), 3, 9, 10).collect()}
+    assert got == brute_components(data, 3, 9, 10)
+    assert len(most) == 2 and max(most) < 70
+
+
 def test_jaccard_of_nothing_and_of_clashing_columns(spark, docs, empty):
     assert jaccard.linked(empty).count() == 0
     got = jaccard.linked(docs).collect()
@@ -300,6 +329,16 @@ def test_rtree_bound_finds_all_links():
         s[rng.integers(0, len(s), rng.integers(0, 40))] = rng.integers(0, 2**62)
         sets.append(np.unique(s))
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    points, size = jaccard.counts_of(np.concatenate(sets), starts), np.diff(starts)
+    order = jaccard.Tree.order(points, size, np.arange(len(sets)))
+    assert sorted(order.tolist()) == list(range(len(sets)))
+    tree = jaccard.Tree(points[order], size[order])
+    assert len(tree.levels) > 1
+    found = set(zip(*(x.tolist() for x in tree.pairs(np.arange(len(sets)), 9, 10)), strict=True))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(np.intersect1d(sets[order[i]], sets[order[j]])) * 10 >= 9 * len(np.union1d(sets[order[i]], sets[order[j]])):
+                assert (i, j) in found
     links = jaccard.verified_links(np.concatenate(sets), starts, np.arange(len(sets)), 9, 10)
     forest = jaccard.Forest(len(sets))
     want = jaccard.Forest(len(sets))
