@@ -2,9 +2,11 @@
 
 Lines are runs between line feeds.  Each line that has a word gets binary features (length,
 signs, case, repetition, line endings, position).  The field is trained in numpy by maximum
-likelihood with forward-backward sums; its line labels come from the documents' quality labels
-(lines of a label-0 document count as boilerplate).  Viterbi decoding labels the lines of a
-document together, and the share of words in content lines decides whether it is kept.
+likelihood with forward-backward sums.  Its line labels are weak ones (:func:`line_labels`): lines
+repeated in their document or met in several surroundings are boilerplate wherever they stand,
+those of a label-0 document are unless they read like the lines of label-1 documents.  Viterbi
+decoding labels the lines of a document together, and the share of words in content lines decides
+whether it is kept.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import Words, fitted, mix64, table, text_blocks
+from .shared import Words, fitted, mix64, sigmoid, table, text_blocks
 
-#: Labelled documents that the fit uses at most, and their lines at most each (a longer one isn't used).
-SAMPLE, SAMPLE_LINES = 2000, 150
+#: Labelled documents that the fit uses at most, and lines of a training chain (longer documents are several chains).
+SAMPLE, CHAIN = 2000, 150
+#: Different surroundings from which a line is a common one, and the chance from which a line of a label-0 document counts as content.
+COMMON, CLEAN = 3, 0.9
 #: Share of words in content lines from which a document is kept.
 KEEP = 0.5
 MIN_WORDS = 50
@@ -200,13 +204,43 @@ def train(features: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int
     return field
 
 
+def line_labels(lines: Lines, features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weak labels, 1 for content, of all lines of documents with labels ``y``.
+
+    Boilerplate is what repeats an earlier line of its document, or nearly all of whose words are in
+    repeated windows, or is met between COMMON different pairs of neighbouring lines (license and
+    navigation lines; copies of a document have the same neighbours and don't count).  Other lines
+    of label-1 documents are content.  Those of label-0 documents are content where a field without
+    neighbours, fitted on the documents' labels, gives them a chance of CLEAN.
+    """
+    n = len(lines.doc)
+    if not n:
+        return np.zeros(0, np.int64)
+    same = lines.doc[1:] == lines.doc[:-1]
+    before, after = np.full(n, -1), np.full(n, -1)
+    before[1:][same], after[:-1][same] = lines.line[:-1][same], lines.line[1:][same]
+    places = np.unique(np.column_stack([lines.line, before, after]), axis=0)[:, 0]
+    common = np.bincount(places, minlength=int(lines.line.max()) + 1)[lines.line] >= COMMON
+    ends = np.concatenate([[0.0], np.cumsum(lines.in_repeat)])
+    looped = ends[lines.starts[1:]] - ends[lines.starts[:-1]] >= 0.9 * lines.size
+    plain = common | lines.repeated | looped
+    label = y[lines.doc].astype(np.int64)
+    alone = train(features, np.arange(n), label)
+    score = features @ alone.unary
+    clean = (label == 1) | (sigmoid(score[:, 1] - score[:, 0]) >= CLEAN)
+    return (clean & ~plain).astype(np.int64)
+
+
 def train_documents(texts: list[str], y: np.ndarray) -> Field:
-    """The field from documents of up to SAMPLE_LINES lines and their labels."""
-    short = [i for i, t in enumerate(texts) if t.count("\n") < SAMPLE_LINES]
-    if not short:
+    """The field from documents and their labels; each CHAIN lines of a document are a chain of their own."""
+    lines = Lines(pa.array(texts, pa.large_string()))
+    if not len(lines.doc):
         return train(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    lines = Lines(pa.array([texts[i] for i in short], pa.large_string()))
-    return train(lines.features(), lines.doc, y[short][lines.doc])
+    features = lines.features()
+    begins = np.searchsorted(lines.doc, np.arange(len(texts) + 1))
+    chain = (np.arange(len(lines.doc)) - begins[lines.doc]) // CHAIN
+    chain = np.cumsum(np.diff(lines.doc * (chain.max() + 1) + chain, prepend=0) != 0)
+    return train(features, chain, line_labels(lines, features, y))
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Field:
@@ -222,7 +256,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, field: Field | None = None,
 
     ``content_lines`` has the numbers, from 0, of the lines labelled content, counting lines with
     a word.  A text without words (null, empty or blank) has zero counts, share 0, fails the base
-    rule and isn't kept.  Whole texts are read, of any length, repeated rows alike.
+    rule and isn't kept.  Whole texts are read, of any length, repeated rows alike; a tie of two
+    labellings goes to content; an empty table stays empty; other columns pass through.
     """
     kept = docs.drop(*[c for c, _ in COLUMNS], "content_lines")
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels) if field is None else field)
@@ -251,5 +286,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame, field: Field | None = None,
 
 
 def op6_crf_line_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts, content share and verdict of every document; null and empty texts as in :func:`apply_rules`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs, table(spark, sf_dir, "labels")).drop("text")
