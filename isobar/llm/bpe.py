@@ -328,10 +328,10 @@ def count_words(docs: DataFrame) -> DataFrame:
                 n = np.bincount(words.codes, minlength=len(words.vocab)).astype(np.int64)
                 held.append(pa.table({"word": words.vocab.cast(pa.string()), "n": n}))
                 rows += len(n)
-                if rows > 1_000_000:
+                if rows > 400_000:
                     held = [merged()]
                     rows = len(held[0])
-                    if rows > 500_000:
+                    if rows > 200_000:
                         yield from held[0].to_batches()
                         held, rows = [], 0
         if held:

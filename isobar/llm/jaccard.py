@@ -375,7 +375,8 @@ def _pairs_of_blocks(stars: DataFrame, joined: DataFrame) -> DataFrame:
     sets = large.select("b", F.col("a").alias("id"), "n").unionByName(large.select("b", F.col("b").alias("id"), F.col("centre_n").alias("n")).distinct())
     sets = sets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = sets.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("b")
-    sets = durable(sets.join(split, "b", "left_semi"))
+    split = durable(split)
+    sets = durable(sets.join(F.broadcast(split) if split.count() <= BROADCAST_ROWS else split, "b", "left_semi"))
     sizes = sets.groupBy("b", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     # blocks without an owner have sets of several components
     owned = sizes.withColumn("owner", F.when(F.col("m") >= BLOCK, F.col("component")))

@@ -25,7 +25,7 @@ def _shapes(words: pa.Array) -> pa.Array:
     out = words
     for pattern, to in ((r"\p{Lu}+", "X"), (r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "x"), (r"\p{N}+", "d"), (r"!+", "!"), (r"\.+", ".")):
         out = pc.replace_substring_regex(out, pattern, to)
-    return pc.utf8_slice_codeunits(out, 0, 12)
+    return out
 
 
 def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +138,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     """``docs`` with ``score``, the probability of label 1 (0 to 1, also for null and empty texts).
 
     Learns from at most ``sample`` labelled documents outside the held-out fold.  Whole texts of
-    any length are read; equal texts get equal scores.
+    any length are read; equal texts and repeated rows get equal scores.  A text without words has
+    a margin of 0, the curve's middle.  Without labels of both classes the score is one constant.
+    An empty table stays empty; other columns pass through, one named ``score`` is replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label, folds, held, sample, train))
     return with_score(docs, lambda batch: model.value.score(batch))
 
 
 def op2_nbsvm_quality(spark, sf_dir: str) -> DataFrame:
+    """Every document's quality score; null, empty and repeated rows as in :func:`quality_scores`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_scores(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", is_held(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
