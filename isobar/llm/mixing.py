@@ -12,10 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import durable, word_count
+from .shared import durable, free_name, table, word_count
 
-#: Bins of finish time; the bin in which the budget ends is sorted exactly.
-BINS = 4096
+#: Bins of finish time; the bin in which the budget ends is cut into as many until it has so few rows that they are sorted exactly.
+BINS, SORTED = 4096, 100_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
@@ -39,9 +39,9 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
     return full.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(open_level * F.col("weight")).cast("double").alias("target"))
 
 
-def shuffle_key(doc_id: Column, seed: str) -> Column:
-    """The place of a document in its source's shuffled order."""
-    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def shuffle_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """The place of a document in its source's shuffled order, by its id; without one by its text."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")))))))
 
 
 def plan_mix(slim: DataFrame, weights: Sequence[int], share: float, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -67,21 +67,31 @@ def plan_mix(slim: DataFrame, weights: Sequence[int], share: float, cap: int) ->
     rounds = run.where(F.col("target") > 0).select(
         "source", "place", "size", F.explode(F.array(*[F.struct(F.lit(r).alias("round"), ((F.col("upto") + F.col("source_size") * r) / F.col("target")).alias("finish")) for r in range(cap)])).alias("q")
     ).select("source", "place", "size", "q.round", "q.finish")
-    binned = rounds.withColumn("bin", F.floor(F.least(F.col("finish"), F.lit(2.0)) * BINS).cast("int"))
-    ahead = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    filled = binned.groupBy("bin").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     budget = goal.agg(F.sum("target")).first()[0] or 0.0
-    # a single row each: the bin where the budget ends, and the last place taken in it
-    last = filled.where(F.col("before") + F.col("n") > budget).orderBy("bin").limit(1).collect()
+    # scaling by powers of two is exact, so the bins of each level lie within those of the one before
+    inside, before, scale = F.lit(True), 0, 1
+    for _ in range(3):
+        scale *= BINS
+        place_in = F.floor(F.least(F.col("finish"), F.lit(2.0)) * scale)
+        ahead = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+        filled = rounds.where(inside).groupBy(place_in.alias("bin")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
+        filled = filled.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)) + F.lit(before))
+        # one row: the bin where the budget ends
+        last = filled.where(F.col("before") + F.col("n") > budget).orderBy("bin").limit(1).collect()
+        if not last:
+            break
+        inside, before = place_in == last[0]["bin"], last[0]["before"]
+        if last[0]["rows"] <= SORTED:
+            break
     if last:
         line = F.sum("size").over(W.orderBy("finish", "round", "place", F.col("source").asc_nulls_last()))
-        within = binned.where(F.col("bin") == last[0]["bin"]).withColumn("upto", line + F.lit(last[0]["before"]))
+        within = rounds.where(inside).withColumn("upto", line + F.lit(before))
         key = F.struct("finish", "round", "place", F.coalesce(F.col("source"), F.lit("\U0010ffff")).alias("source"))
         first_out = within.where(F.col("upto") > budget).agg(F.min(key).alias("x")).first()["x"]
         out = F.struct(F.lit(first_out["finish"]).alias("finish"), F.lit(first_out["round"]).alias("round"), F.lit(first_out["place"]).alias("place"), F.lit(first_out["source"]).alias("source"))
-        taken = binned.where(key < out)
+        taken = rounds.where(key < out)
     else:
-        taken = binned
+        taken = rounds
     ends = taken.groupBy("source").agg(*[F.max(F.when(F.col("round") == r, F.col("place"))).alias(f"end{r}") for r in range(cap)])
     ends = ends.withColumnRenamed("source", "e")
     sources = durable(goal.join(ends, F.col("source").eqNullSafe(F.col("e")), "left").drop("e"))
@@ -97,7 +107,7 @@ def times_taken(place: Column, cap: int) -> Column:
 
 
 def slim_rows(docs: DataFrame, seed: str) -> DataFrame:
-    return durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("place")))
+    return durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("place")))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
@@ -105,24 +115,27 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 
     Texts are never shuffled: which rows a source gives is decided by the last place taken in
     each round, one small row per source.  A null or empty text has size 0 and is kept once
-    in each round its place is reached; a source with no tokens gives nothing.  Columns
-    beyond doc_id, source and text pass through, whatever their names.
+    in each round its place is reached; a source with no tokens gives nothing.  A null doc_id is
+    placed by its text; rows equal in doc_id (or, without one, in text) have one place and are
+    taken together; ties of finish go by round, place and source.  An empty table stays empty.
+    Columns beyond doc_id, source and text pass through, whatever their names.
     """
     sources, _ = plan_mix(slim_rows(docs, seed), weights, share, cap)
     names = docs.columns
-    ends = sources.select(F.struct("source", *[f"end{r}" for r in range(cap)]).alias("__mix"))
-    joined = docs.join(ends, docs["source"].eqNullSafe(F.col("__mix.source")))
+    taken = {c.lower() for c in names}
+    mixed, copy = free_name("__mix", taken), free_name("__copies", taken)
+    ends = sources.select(F.struct("source", *[f"end{r}" for r in range(cap)]).alias(mixed))
+    joined = docs.join(ends, docs["source"].eqNullSafe(F.col(f"{mixed}.source")))
     times = F.lit(0)
-    place = shuffle_key(docs["doc_id"], seed)
+    place = shuffle_key(docs["doc_id"], docs["text"], seed)
     for r in range(cap):
-        times = times + F.coalesce((place <= F.col(f"__mix.end{r}")).cast("int"), F.lit(0))
-    copies = joined.withColumn("__copies", F.explode(F.array_repeat(F.lit(1), times)))
+        times = times + F.coalesce((place <= F.col(f"{mixed}.end{r}")).cast("int"), F.lit(0))
+    copies = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times)))
     return copies.select(*[docs[c] for c in names])
 
 
 def op1_weighted_fair_mix(spark, sf_dir: str) -> DataFrame:
-    from .shared import table
-
+    """Every document with the words that the mix takes of it; null and empty texts have size 0, cases as in :func:`mix_sources`."""
     cap = 2
     sources, rows = plan_mix(slim_rows(table(spark, sf_dir, "documents"), "mix"), (5, 2, 1), 1.5, cap)
     sources = sources.withColumnRenamed("source", "g")
@@ -133,7 +146,7 @@ def op1_weighted_fair_mix(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH slim AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place FROM documents),
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))) AS place FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM slim GROUP BY source),
 ranked AS (SELECT *, ([5, 2, 1])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, source_size * 2e0 AS most FROM sizes),
 leveled AS (SELECT *, ((sum(source_size) OVER ()) * 1.5e0 - coalesce(sum(most) OVER rise, 0e0)) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER rise, 0)) AS level

@@ -11,9 +11,17 @@ and :func:`pseudonymise` with ``reverse=True`` and the key restores them.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import free_name, table
+
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.isobar.pseudonymKey"
 ROUNDS = 10
+#: Values of seven hexadecimal digits that one keyed digest gives.
+PAD_VALUES = 18
 
 #: Character classes of free positions; a character keeps its class.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
@@ -28,8 +36,8 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])|(?<![0-9A-Za-z+])\+(?=(?:[ .-]?[0-9]){8,15}(?![0-9]|[ .-][0-9]))[0-9]{1,3}(?:[ .-][0-9]{1,12}){1,14}(?![0-9]|[ .-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,63}[0-9])(?=[0-9]{0,63}[A-Za-z])[0-9A-Za-z]{24,64}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){4}[0-9]{1,3}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z+/.:])(?=[A-Za-z0-9]{0,40}[+/])(?=[A-Za-z+/]{0,511}[0-9])(?=[a-z0-9+/]{0,511}[A-Z])(?=[A-Z0-9+/]{0,511}[a-z])[0-9A-Za-z+/]{40,512}+={0,2}(?![0-9A-Za-z+/=])|(?<![0-9A-Za-z])(?=[A-Za-z]{0,511}[0-9])(?=[0-9]{0,511}[A-Za-z])[0-9A-Za-z]{24,512}+(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = tuple(PATTERNS)
@@ -125,6 +133,13 @@ def _feistel(numbers: Column, kind: Column, key: str, reverse: bool) -> Column:
     return _let(numbers, lambda bound: _rounds(bound, kind, key, reverse))
 
 
+def _keyed(text: Column, key: str) -> Column:
+    """HMAC with SHA-512 of a text, as hexadecimal digits."""
+    raw = key.encode() if len(key.encode()) <= 128 else hashlib.sha512(key.encode()).digest()
+    inner, outer = (F.lit(bytes(b ^ c for b in raw.ljust(128, b"\0"))) for c in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 512))), 512)
+
+
 def _rounds(numbers: Column, kind: Column, key: str, reverse: bool) -> Column:
     n = F.size(numbers)
     cut = F.floor((n + 1) / 2).cast("int")
@@ -132,8 +147,9 @@ def _rounds(numbers: Column, kind: Column, key: str, reverse: bool) -> Column:
     sign = -1 if reverse else 1
 
     def turned(half: Column, other: Column, r: Column) -> Column:
-        said = F.concat_ws("|", F.lit(key), kind, n.cast("string"), r.cast("string"), F.concat_ws(",", F.transform(other, lambda x: x["v"].cast("string"))))
-        pad = F.concat(*[F.sha2(F.concat(F.lit(str(part)), said), 512) for part in (0, 1)])
+        said = F.concat_ws("|", kind, n.cast("string"), r.cast("string"), F.concat_ws(",", F.transform(other, lambda x: x["v"].cast("string"))))
+        parts = F.sequence(F.lit(0), F.floor((F.size(half) - 1) / PAD_VALUES).cast("int"))
+        pad = F.array_join(F.transform(parts, lambda part: _keyed(F.concat_ws("|", part.cast("string"), said), key)), "")
         shift = lambda x, i, p: F.pmod(x["v"] + sign * F.conv(F.substr(p, i * 7 + 1, F.lit(7)), 16, 10).cast("long"), x["r"]).cast("int")
         return _let(pad, lambda p: F.transform(half, lambda x, i: F.struct(shift(x, i, p).alias("v"), x["r"].alias("r"))))
 
@@ -194,22 +210,29 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = F
     """``docs`` with every valid candidate in ``text`` replaced by its pseudonym; all else unchanged.
 
     Null and empty texts stay as they are, texts of any length are read whole, and repeated
-    rows get equal results.  ``counts`` adds ``n_<kind>``, the number of values of each kind.
+    rows get equal results.  An empty table stays empty; other columns pass through, whatever
+    their names.  ``counts`` adds ``n_<kind>``, the number of values of each kind, replacing
+    columns of those names.
     """
-    whole = F.col("__text")
-    plain = docs.withColumn("__text", F.col(text)).withColumn("__hits", F.regexp_extract_all(whole, F.lit(ANY), F.lit(0)))
-    done = plain.withColumn("__done", F.when(F.size("__hits") > 0, F.transform("__hits", lambda m: pseudonym(m, key, reverse))))
+    taken = {c.lower() for c in docs.columns}
+    source, hits, made = (free_name(x, taken) for x in ("__text", "__hits", "__done"))
+    whole = F.col(source)
+    plain = docs.withColumn(source, F.col(text)).withColumn(hits, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0)))
+    done = plain.withColumn(made, F.when(F.size(hits) > 0, F.transform(hits, lambda m: pseudonym(m, key, reverse))))
     pieces = F.split(whole, ANY, -1)
-    joined = F.concat_ws("", F.zip_with(pieces, F.transform("__done", lambda d: d["text"]), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))))
-    out = done.withColumn(text, F.when(F.size("__hits") > 0, joined).otherwise(whole))
+    joined = F.concat_ws("", F.zip_with(pieces, F.transform(made, lambda d: d["text"]), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))))
+    out = done.withColumn(text, F.when(F.size(hits) > 0, joined).otherwise(whole))
     if counts:
         for kind in KINDS:
-            out = out.withColumn(f"n_{kind}", F.coalesce(F.size(F.filter(F.transform("__done", lambda d: d["kind"]), _is(kind))), F.lit(0)))
-    return out.drop("__text", "__hits", "__done")
+            out = out.withColumn(f"n_{kind}", F.coalesce(F.size(F.filter(F.transform(made, lambda d: d["kind"]), _is(kind))), F.lit(0)))
+    return out.drop(source, hits, made)
 
 
-def op4_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    """Every document with its pseudonymised text and the number of values of each kind."""
-    from .shared import table
+def configured_key(spark) -> str:
+    """The key of the session's setting KEY_SETTING; a demonstration key where it is unset."""
+    return spark.conf.get(KEY_SETTING, None) or "isobar-demo-key"
+
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "isobar-demo-key", counts=True)
+def op4_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
+    """Every document with its pseudonymised text and the number of values of each kind; cases as in :func:`pseudonymise`."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark), counts=True)

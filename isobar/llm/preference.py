@@ -43,7 +43,8 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     """Rendered pairs from columns chosen_id, rejected_id, chosen, rejected (turn arrays; rejected may be null).
 
     The prefix stops short of either conversation's last turn, so that no completion is empty.
-    Without a rejected conversation the prompt is all but the last turn.
+    Without a rejected conversation the prompt is all but the last turn.  Empty texts are rendered
+    empty; repeated rows give equal pairs, an empty table none; only the four columns are read.
     """
     equal = lambda i: (F.col("chosen")[i]["role"] == F.col("rejected")[i]["role"]) & (F.col("chosen")[i]["text"] == F.col("rejected")[i]["text"])
     most = F.least(F.size("chosen"), F.when(F.col("rejected").isNotNull(), F.size("rejected"))) - 1
@@ -66,9 +67,12 @@ def paired(turns: DataFrame) -> DataFrame:
     In each group they are paired first with second, third with fourth, in the order of conv_id;
     the one of more turns is chosen, a tie goes to the smaller id, and the last of an odd group
     has no partner.  A group of more than GROUP_ROWS is numbered in parts, by hash of conv_id.
+    Rows without a conv_id are left out, repeated turns stay (:func:`gathered`), turns of any length
+    are compared whole, an empty table gives an empty one, and other columns play no part.
     """
     whole = gathered(turns)
-    begun = whole.withColumn("first", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]))
+    # the first turn itself, as a digest that tells different turns apart
+    begun = whole.withColumn("first", F.sha2(F.concat(F.octet_length(F.col("turns")[0]["role"]).cast("string"), F.lit(":"), F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256))
     ids = begun.select("conv_id", "first")
     groups = ids.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cut = ids.join(groups, "first").withColumn("part", F.pmod(F.xxhash64("conv_id"), F.ceil(F.col("n") / GROUP_ROWS)))
@@ -86,6 +90,7 @@ def paired(turns: DataFrame) -> DataFrame:
 
 
 def op8_preference_pairs(spark, sf_dir: str) -> DataFrame:
+    """Every conversation in one pair or alone; cases as in :func:`paired` and :func:`format_pairs`."""
     from .shared import table
 
     return format_pairs(paired(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))

@@ -1,9 +1,7 @@
-"""The corpus queries that ``__spark_entry__`` registers, and their SQL where SQL can express them."""
+"""The corpus queries that ``__spark_entry__`` registers, and their SQL where SQL can express them (it adds the pipeline)."""
 
 from __future__ import annotations
 
-from corpus_pipeline import run as pipeline
-
 from .bpe import op9_bpe_transducer
 from .jaccard import op3_rtree_jaccard
 from .lines import op6_crf_line_rules
@@ -26,7 +24,6 @@ QUERIES = {
     "op8_preference_pairs": op8_preference_pairs,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
-    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {

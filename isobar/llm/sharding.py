@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .shared import free_name, table
+
 #: Rows of one shard that a single window task numbers, at most on average.
 SLOT_ROWS = 50_000
 
@@ -57,7 +59,7 @@ def with_slots(frame: DataFrame, shard: str, order: Sequence[str], out: str = "s
     rows = frame.count() if rows is None else rows
     buckets = max(1, math.ceil(rows / SLOT_ROWS))  # even if one shard has all rows
     taken = {c.lower() for c in frame.columns}
-    bucket, before = (_free(x, taken) for x in ("bucket", "before"))
+    bucket, before = (free_name(x, taken) for x in ("bucket", "before"))
     cut = frame.withColumn(bucket, F.pmod(F.xxhash64(F.lit(7), *order), F.lit(buckets)).cast("int"))
     sizes = cut.groupBy(shard, bucket).agg(F.count(F.lit(1)).alias("n"))
     ahead = W.partitionBy(shard).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
@@ -67,32 +69,25 @@ def with_slots(frame: DataFrame, shard: str, order: Sequence[str], out: str = "s
     return numbered.withColumn(out, (F.col(before) + place - 1).cast("long")).drop(bucket, before)
 
 
-def _free(name: str, taken: set[str]) -> str:
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def shard_rows(frame: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * 40, seed: int = 0) -> DataFrame:
     """All rows of ``frame`` with ``shard`` and ``grown_shard`` (one more shard of weight 1) added.
 
     Columns of those names are replaced.  Null keys all go to one fixed shard; rows with
     equal keys share a shard, whatever their other columns; an empty table stays empty.
     """
-    best = F.col("__best")
     kept = frame.drop("shard", "grown_shard")
+    name = free_name("__best", {c.lower() for c in kept.columns})
+    best = F.col(name)
     return (
-        kept.withColumn("__best", rendezvous(F.col(key), weights, seed))
+        kept.withColumn(name, rendezvous(F.col(key), weights, seed))
         .withColumn("shard", best["shard"])
         .withColumn("grown_shard", grown(best, F.col(key), len(weights), 1.0, seed))
-        .drop("__best")
+        .drop(name)
     )
 
 
 def op10_rendezvous_sharding(spark, sf_dir: str) -> DataFrame:
     """Documents over 40 equal shards by doc_id.  A null text has no bytes and the CRC-32 of no bytes, 0."""
-    from .shared import table
-
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.lit("key").alias("law")

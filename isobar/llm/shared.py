@@ -20,13 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: set[str]) -> str:
+    """``name``, with underscores in front while it is among the lower-case names ``taken``."""
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a folder of its own (tests); on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="isobar-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -1,13 +1,15 @@
 """Exact top-k search by inner product with MaxScore, over shards of integer vectors.
 
-A vector is a document over 2 d terms: the positive and the negative part of each component.
-A query's term for component j has the sign of its own component; only documents with the same
-sign gain from it, at most |q_j| times the shard's largest part (the term's score bound).  Terms
-are put in order of bound; the non-essential ones are those whose bounds together don't exceed
-the query's current threshold.  Documents in no posting of an essential term can't enter; those
-that are in one get their essential gain, stay while gain plus non-essential bound beats the
-threshold, and only then have their remaining components probed.  Every shard keeps a top-k for
-each query of a block; the shards' lists are merged by score, ties to the smaller id.
+A vector is a document over 2 d terms: the positive and the negative part of each component.  A
+shard has a posting list for each term, in the order of falling parts.  A query's term for component
+j has the sign of its own component; only documents with the same sign gain from it, at most |q_j|
+times the term's largest part (its score bound).  A query takes its terms by falling bound; the
+non-essential ones are the last, whose bounds together stay below the current threshold, so that a
+document in no essential posting can't enter.  Essential postings are traversed one after the other;
+a document is dropped as soon as its gains and the bounds still to come stay below the threshold.
+Only for the documents left are products taken, of the essential components first and then of the
+others, in groups, while they are competitive.  Every shard hands its threshold on to the next; the
+shards' lists are merged by score, ties to the smaller id.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Vectors of a stored block, and of a pass of MaxScore.
-BLOCK = 2048
-#: Candidate blocks that one task holds, on average, for a query block.
-RUN = 4
+#: Vectors of a shard, and queries that a task holds.
+BLOCK, QUERIES = 2048, 8192
+#: Shards that a task takes in turn, on average.
+RUN = 16
+#: Non-essential components that are probed at a time.
+PROBE = 8
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -31,41 +35,63 @@ def quantised(vector: Column, scale: int = 64) -> Column:
 
 
 class Shard:
-    """Postings of a block of vectors: signed parts by component, and each term's largest part."""
+    """Vectors with their postings: for each component the documents by falling value, so that the positive part's
+    posting is read from the front and the negative part's from the back."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        self.top = {1: np.maximum(vectors, 0).max(0), -1: np.maximum(-vectors, 0).max(0)}
-        self.columns = np.ascontiguousarray(vectors.T)
+        self.order = np.ascontiguousarray(np.argsort(-vectors, axis=0, kind="stable").T.astype(np.int32))
+        self.sorted = np.ascontiguousarray(np.take_along_axis(vectors, self.order.T, 0).T)
+        self.positive, self.negative = (vectors > 0).sum(0), (vectors < 0).sum(0)
+        self.top = np.maximum(vectors, 0).max(0), np.maximum(-vectors, 0).max(0)
+
+    def posting(self, j: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, parts) of a term, parts falling."""
+        if sign > 0:
+            return self.order[j, : self.positive[j]], self.sorted[j, : self.positive[j]]
+        n = len(self.ids) - self.negative[j]
+        return self.order[j, n:][::-1], -self.sorted[j, n:][::-1]
 
     def search(self, query_id: int, q: np.ndarray, k: int, best: list[np.ndarray]) -> list[np.ndarray]:
         """Merge this shard into ``best`` (scores, ids), sorted by score descending and id ascending."""
-        scores, ids = best
-        theta = scores[k - 1] if len(scores) >= k else None
-        bound = np.where(q > 0, q * self.top[1], -q * self.top[-1])
-        order = np.argsort(bound, kind="stable")
-        order = order[q[order] != 0]
+        bound = np.where(q > 0, q * self.top[0], -q * self.top[1])
+        terms = np.argsort(-bound, kind="stable")
+        terms = terms[bound[terms] > 0]
+        done = np.zeros(len(self.ids), bool)
+        if len(best[0]) < k and len(terms):
+            # no threshold yet: the heads of the strongest postings give one
+            heads = np.unique(np.concatenate([self.posting(j, 1 if q[j] > 0 else -1)[0][: 2 * k] for j in terms[:4]]))
+            best, done[heads] = self._merged(query_id, heads, self.vectors[heads] @ q, k, best), True
+        theta = best[0][k - 1] if len(best[0]) >= k else None
         if theta is None or theta <= 0:
-            # below 1 even a document in no posting may enter, so all terms count
-            rows, score = np.arange(len(self.ids)), self.vectors @ q
-        else:
-            rising = np.cumsum(bound[order])
-            # scores equal to the threshold still enter by a smaller id
-            split = int(np.searchsorted(rising, theta, "left"))
-            essential, other = order[split:], order[:split]
-            spare = rising[split - 1] if split else 0
-            if not len(essential):
-                return best
-            partial = q[essential] @ self.columns[essential]
-            gain = np.zeros(len(self.ids), np.int64)
-            for j in essential[::-1][:4]:  # the strongest postings first: most documents drop out on them
-                gain += np.maximum(self.columns[j] * q[j], 0)
-            left = spare + bound[essential[:-4]].sum()
-            rows = np.flatnonzero(gain + left >= theta)
-            rows = rows[partial[rows] + spare >= theta]
-            score = partial[rows] + self.vectors[np.ix_(rows, other)] @ q[other]
-            enough = score >= theta
+            # a document in no posting has a score of 0 or less and may still enter
+            rows = np.flatnonzero(~done)
+            return self._merged(query_id, rows, self.vectors[rows] @ q, k, best)
+        # bounds of all terms from each place on; a score equal to the threshold still enters by a smaller id
+        rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])
+        split = int(np.argmax(rest < theta))
+        gain = np.zeros(len(self.ids), np.int64)
+        live = ~done
+        for place, j in enumerate(terms[:split].tolist()):
+            docs, parts = self.posting(j, 1 if q[j] > 0 else -1)
+            gain[docs] += parts * abs(int(q[j]))
+            live &= gain + rest[place + 1] >= theta
+        rows = np.flatnonzero(live & (gain > 0))
+        # what the query's zeros and unbounded terms have can only be 0 or negative; it is probed with the rest
+        others = np.setdiff1d(np.flatnonzero(q), terms[:split])
+        others = others[np.argsort(-np.abs(q[others]) * np.maximum(*self.top)[others], kind="stable")]
+        score = self.vectors[np.ix_(rows, terms[:split])] @ q[terms[:split]]
+        for a in range(0, len(others) + 1, PROBE):
+            enough = score + bound[others[a:]].sum() >= theta
             rows, score = rows[enough], score[enough]
+            part = others[a : a + PROBE]
+            if not len(rows) or not len(part):
+                break
+            score = score + self.vectors[np.ix_(rows, part)] @ q[part]
+        enough = score >= theta
+        return self._merged(query_id, rows[enough], score[enough], k, best)
+
+    def _merged(self, query_id: int, rows: np.ndarray, score: np.ndarray, k: int, best: list[np.ndarray]) -> list[np.ndarray]:
         own = self.ids[rows] != query_id
         rows, score = rows[own], score[own]
         if not len(rows):
@@ -73,14 +99,23 @@ class Shard:
         if len(rows) > 4 * k:
             floor = np.partition(score, len(score) - k)[len(score) - k]
             rows, score = rows[score >= floor], score[score >= floor]
-        scores, ids = np.concatenate([scores, score]), np.concatenate([ids, self.ids[rows]])
+        scores, ids = np.concatenate([best[0], score]), np.concatenate([best[1], self.ids[rows]])
         first = np.lexsort((ids, -scores))[:k]
         return [scores[first], ids[first]]
 
 
+def _smallest(vectors: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest signed type that holds them."""
+    for kind in (np.int8, np.int16, np.int32):
+        limits = np.iinfo(kind)
+        if vectors.size and limits.min <= vectors.min() and vectors.max() <= limits.max:
+            return vectors.astype(kind)
+    return vectors
+
+
 def _packed(frame: DataFrame, key: str) -> DataFrame:
     """Rows (id, vector) as one row for each value of ``key``: ids and components as binary."""
-    schema = "part bigint, size int, ids binary, data binary"  # a shorter vector is filled up with zeros
+    schema = "part bigint, size int, wide int, ids binary, data binary"  # a shorter vector is filled up with zeros
 
     def pack(keys: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(groups))
@@ -89,7 +124,9 @@ def _packed(frame: DataFrame, key: str) -> DataFrame:
         vectors = np.zeros((len(listed), max(map(len, listed))), np.int64)
         for row, v in zip(vectors, listed, strict=True):
             row[: len(v)] = v
-        yield pa.RecordBatch.from_pydict({"part": [keys[0].as_py()], "size": [len(ids)], "ids": [ids.tobytes()], "data": [vectors.tobytes()]}, pa.schema([("part", pa.int64()), ("size", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
+        vectors = _smallest(vectors)
+        types = pa.schema([("part", pa.int64()), ("size", pa.int32()), ("wide", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
+        yield pa.RecordBatch.from_pydict({"part": [keys[0].as_py()], "size": [len(ids)], "wide": [vectors.itemsize], "ids": [ids.tobytes()], "data": [vectors.tobytes()]}, types)
 
     return frame.groupBy(key).applyInArrow(pack, schema)
 
@@ -99,30 +136,32 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     Both have id (bigint) and vector (array of bigint, products below 2^63; a shorter vector
     counts as filled up with zeros).  A query's own id is no candidate; null vectors take no part; with fewer than k
-    candidates all are returned; repeated candidate rows count each.  Blocks have about BLOCK
-    rows by id hash; every query block meets every candidate block exactly once, in tasks that
-    take about RUN candidate blocks in turn and carry the thresholds along.
+    candidates all are returned; repeated candidate rows count each.  Without candidates or queries
+    the result is empty; vectors of any length count, other columns play no part.  Shards have about
+    BLOCK rows by id hash, in the smallest integer type.  A task has QUERIES queries and takes RUN
+    shards in turn, carrying the thresholds along: of n rows with m queries, n m / QUERIES shard
+    rows and n m / (BLOCK RUN) query rows are shuffled.
     """
     candidates, queries = (f.where(F.col("vector").isNotNull() & F.col("id").isNotNull()) for f in (candidates, queries))
     n, m = candidates.count(), queries.count()
-    blocks, sets = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
+    blocks, sets = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
     ranges = -(-blocks // RUN)
     part = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "id", "vector"), F.lit(count))
     stored = _packed(candidates.select("id", "vector", part(1, blocks).alias("part")), "part")
     asked = _packed(queries.select("id", "vector", part(2, sets).alias("part")), "part")
-    stored = stored.select("part", "size", "ids", "data", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(sets - 1).cast("bigint"))).alias("set"), (F.col("part") % ranges).alias("range"))
-    asked = asked.select(F.lit(-1).cast("bigint").alias("part"), "size", "ids", "data", F.col("part").alias("set"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ranges - 1).cast("bigint"))).alias("range"))
+    stored = stored.select("part", "size", "wide", "ids", "data", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(sets - 1).cast("bigint"))).alias("set"), (F.col("part") % ranges).alias("range"))
+    asked = asked.select(F.lit(-1).cast("bigint").alias("part"), "size", "wide", "ids", "data", F.col("part").alias("set"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ranges - 1).cast("bigint"))).alias("range"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(keys: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(groups)).sort_by("part").to_pylist()
 
         def read(row: dict) -> tuple[np.ndarray, np.ndarray]:
-            data = np.frombuffer(row["data"], np.int64)
+            data = np.frombuffer(row["data"], f"<i{row['wide']}").astype(np.int64)
             own = data.reshape(row["size"], len(data) // row["size"])
             return np.frombuffer(row["ids"], np.int64), np.pad(own, ((0, 0), (0, width - own.shape[1])))
 
-        width = max(len(r["data"]) // 8 // r["size"] for r in held)
+        width = max(len(r["data"]) // r["wide"] // r["size"] for r in held)
         asked = [r for r in held if r["part"] == -1]
         if not asked:
             return
@@ -142,6 +181,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 
 def op7_maxscore_top20(spark, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for each whose id is divisible by 20; cases as in :func:`top_k`."""
     from .shared import table
 
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("vector"))

@@ -6,7 +6,8 @@ n-grams (3 to 6 long, word edges marked; those at its start apart, also in lower
 learned embedding of its letters.  Words of any length are read whole, long ones in overlapping
 pieces.  A text is cut into overlapping windows of words; in each, a forward and a backward gated recurrent layer read the inputs, attention pools
 their states, and a linear layer gives the window's logit.  The network is trained on documents
-as bags of windows through a smooth maximum, by back-propagation and Adam; a document's score
+as bags of windows through a smooth maximum, by back-propagation and Adam: of a training document,
+all windows are searched for evidence and the BAG strongest are the bag.  A document's score
 comes from its largest window logit, with a curve that allows for the number of windows.
 """
 
@@ -31,6 +32,10 @@ STEP = READ + 2 - 5
 #: Rows whose n-grams are held at a time.
 ROWS = 10_000
 HIDDEN, LETTERS, LETTER_SIZE, STATS = 8, 64, 4, 7
+#: Windows of a labelled document, those of the largest evidence among all of its windows, that the network is fitted on.
+BAG = 3
+#: Documents that the fit goes through at least, in all its epochs together, and epochs at most.
+PASSES, EPOCHS = 12_000, 60
 #: Logit of a text without words.
 NOTHING = -4.0
 #: Words whose inputs a Python worker remembers.
@@ -448,12 +453,12 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = 8, seed:
     parts = []
     for h, inputs in enumerate(others):
         mine = np.flatnonzero(half == h)
-        parts.append((mine, *_bags([texts[i] for i in mine], inputs, 3)))
+        parts.append((mine, *_bags([texts[i] for i in mine], inputs, BAG)))
     shift = len(parts[0][1])
     stats, letters = np.vstack([parts[0][1], parts[1][1]]), np.vstack([parts[0][2], parts[1][2]])
     bags = np.concatenate([parts[0][3], np.where(parts[1][3] >= 0, parts[1][3] + shift, -1)])
     order = np.concatenate([parts[0][0], parts[1][0]])
-    rounds = max(epochs, min(60, epochs * 1500 // len(y)))
+    rounds = max(epochs, min(EPOCHS, PASSES // len(y)))
     fit(weights, stats, letters, bags, y[order], rounds, rng)
     net = Network(weights, Inputs(*class_odds(tuple(a + b for a, b in zip(*tallies, strict=True)), now)), np.zeros(3))
     # the curve: documents under the other half's statistics, weighted to the true share by its intercept
@@ -480,13 +485,16 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE, name: str = "score") -> DataFrame:
     """``docs`` with ``score`` (or ``name``), the probability of label 1 (0 to 1, also for null and empty texts).
 
-    All overlapping windows of every text are scored, however long; equal texts get equal scores.
+    All overlapping windows of every text are scored, however long; equal texts and repeated rows
+    get equal scores.  Without labels of both classes the score is one constant.  An empty table
+    stays empty; other columns pass through, one of that name is replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, label, folds, held, sample))
     return with_score(docs, lambda batch: model.value.score(batch), name, block=6_000_000)
 
 
 def op5_bigru_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; null, empty and repeated rows as in :func:`toxicity_scores`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", is_held(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

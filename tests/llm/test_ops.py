@@ -160,6 +160,37 @@ def test_op10_sizes(spark, data):
         assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 16, zlib.crc32(raw), "key")
 
 
+def test_op10_by_brute_force(spark, data):
+    """Shards, moves and slots from the definition: the same hash chain, computed apart."""
+    import struct
+
+    import xxhash
+
+    def draw(key, shard):
+        h = 42
+        for part in (struct.pack("<i", 0), key.encode(), struct.pack("<i", shard)):
+            h = xxhash.xxh64_intdigest(part, h)
+        return math.log(((h >> 11) + 0.5) / 2**53)
+
+    got = sharding.op10_rendezvous_sharding(spark, data).collect()
+    slots = defaultdict(list)
+    for r in got:
+        score = [draw(str(r["doc_id"]), s) for s in range(41)]
+        best = max(range(40), key=lambda s: (score[s], -s))
+        assert (r["shard"], r["grown_shard"]) == (best, 40 if score[40] > score[best] else best)
+        slots[best].append((r["doc_id"], r["slot"]))
+    for own in slots.values():  # one bucket at this size, so in the order of doc_id
+        assert [s for _, s in sorted(own)] == list(range(len(own)))
+
+
+def test_sharding_of_long_repeated_and_clashing_rows(spark):
+    odd = [(1, "x" * 2_000_000, 0.5), (2, "same", 0.5), (2, "same", 0.5), (None, None, 0.5), (None, "", 0.5)]
+    frame = spark.createDataFrame(odd, "doc_id bigint, text string, __best double")
+    got = sharding.with_slots(sharding.shard_rows(frame), "shard", ["doc_id", "text"]).collect()
+    assert len(got) == 5 and all(r["__best"] == 0.5 for r in got)
+    assert len({r["shard"] for r in got if r["doc_id"] == 2}) == 1 and len({r["shard"] for r in got if r["doc_id"] is None}) == 1
+
+
 # -- personal data
 
 CASES = [
@@ -204,6 +235,66 @@ def test_pseudonyms_of_other_groupings(spark):
     assert [r["text"] for r in back.collect()] == cases
 
 
+def test_pseudonyms_of_long_secrets_and_cards_of_19(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("0123456789abcdefXYZ") for _ in range(128))
+    base = "".join(rng.choice("ABCDabcd0189+/") for _ in range(62)) + "+/=="
+    card = "4539148803436467123"
+    card = next(c for c in (card[:-1] + str(d) for d in range(10)) if luhn(c))
+    cases = [f"key {long} end", f"key={base} end", f"card {' '.join(card[i : i + 4] for i in range(0, 19, 4))}.", "http://example.com/a/path/of/Many/Parts/with/Some/letters/1/2", "a" * 100_000 + " " + "b1" * 300, "c2" * 256]
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(cases)], "doc_id int, text string, __text string, __done string")
+    made = pii.pseudonymise(frame, "k", counts=True).orderBy("doc_id").collect()
+    assert [(r["n_secret"], r["n_card"]) for r in made] == [(1, 0), (1, 0), (0, 1), (0, 0), (0, 0), (1, 0)]
+    assert all(r["__text"] == "x" and r["__done"] == "y" for r in made)
+    for k in (0, 1, 2):
+        assert made[k]["text"] != cases[k] and len(made[k]["text"]) == len(cases[k])
+    assert made[1]["text"].endswith("== end") and luhn(made[2]["text"])
+    assert sum(a != b for a, b in zip(made[0]["text"], cases[0], strict=True)) > 90
+    back = pii.pseudonymise(pii.pseudonymise(frame, "k"), "k", reverse=True).orderBy("doc_id")
+    assert [r["text"] for r in back.collect()] == cases
+
+
+def test_pseudonyms_by_an_independent_feistel(spark):
+    import hmac
+
+    key = "k"
+
+    def feistel(kind, values, radices):
+        n, cut = len(values), (len(values) + 1) // 2
+        a, b = list(zip(values, radices, strict=True))[:cut], list(zip(values, radices, strict=True))[cut:]
+        for r in range(pii.ROUNDS):
+            half, other = (a, b) if r % 2 == 0 else (b, a)
+            said = "|".join([kind, str(n), str(r), ",".join(str(v) for v, _ in other)])
+            pad = "".join(hmac.new(key.encode(), f"{p}|{said}".encode(), hashlib.sha512).hexdigest() for p in range((len(half) - 1) // pii.PAD_VALUES + 1))
+            half = [((v + int(pad[7 * i : 7 * i + 7], 16)) % x, x) for i, (v, x) in enumerate(half)]
+            a, b = (half, b) if r % 2 == 0 else (a, half)
+        return [v for v, _ in a + b]
+
+    ips = [f"10.{i}.7.{255 - i}" for i in range(0, 200, 17)]
+    cards = [c for i in range(400) if luhn(c := f"45391488034{i:05d}")][:10]
+    days = ["1900-01-01", "2099-12-31", "2024-02-29", "1987-06-05"]
+    frame = spark.createDataFrame([(t,) for t in ips + cards + days], "text string")
+    got = [r["text"] for r in pii.pseudonymise(frame, key).collect()]
+    import datetime
+
+    begin = datetime.date(1900, 1, 1)
+    want = [".".join(map(str, feistel("ip", [int(o) for o in t.split(".")], [256] * 4))) for t in ips]
+    for c in cards:
+        body = "".join(map(str, feistel("card", [int(d) for d in c[:-1]], [10] * 15)))
+        want.append(next(body + str(d) for d in range(10) if luhn(body + str(d))))
+    for d in days:
+        n = (datetime.date.fromisoformat(d) - begin).days
+        hi, lo = feistel("date", [n // pii.DATE_RADIX[1], n % pii.DATE_RADIX[1]], pii.DATE_RADIX)
+        want.append(str(begin + datetime.timedelta(hi * pii.DATE_RADIX[1] + lo)))
+    assert sorted(got) == sorted(want)
+
+
+def test_pseudonyms_of_nothing_and_of_repeated_rows(spark, empty):
+    assert pii.pseudonymise(empty, "k", counts=True).count() == 0
+    frame = spark.createDataFrame([(1, "mail jo.81@mail7.example.com")] * 3, "doc_id int, text string")
+    assert pii.pseudonymise(frame, "k").distinct().count() == 1
+
+
 def test_pseudonyms_are_a_permutation_and_plans_have_no_python(spark):
     ips = spark.range(300).select(F.concat(F.lit("10.0."), (F.col("id") / 256).cast("int").cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("text"))
     out = pii.pseudonymise(ips, "k", counts=True)
@@ -362,6 +453,47 @@ def test_quality_learns_and_scores_everything(spark, data, docs, labels, empty):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
 
 
+def test_quality_scores_by_hand(spark, data):
+    """Scores of the registered query from a plain reading of its features, one document at a time."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    from isobar.llm.shared import fitted
+
+    model = fitted(docs, labels, "quality", 3, 1, quality.SAMPLE, quality.train)
+    got = {r["doc_id"]: r for r in quality.op2_nbsvm_quality(spark, data).collect()}
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def shape(word):
+        import regex
+
+        for pattern, to in ((r"\p{Lu}+", "X"), (r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "x"), (r"\p{N}+", "d"), ("!+", "!"), (r"\.+", ".")):
+            word = regex.sub(pattern, to, word)
+        return word
+
+    for r in docs.limit(60).collect():
+        words = WORD.findall(r["text"] or "")
+        w = [xxhash.xxh3_64_intdigest(x.lower()) for x in words]
+        s = [xxhash.xxh3_64_intdigest(shape(x)) ^ (0x5555 if k and words[k - 1] == x else 0) for k, x in enumerate(words)]
+        grams = set(w) | {(x * 3 + 1) & mask for x in s}
+        grams |= {mix((a * 5 + b) & mask) for a, b in zip(w, w[1:], strict=False)} | {mix((a * 7 + b) & mask) for a, b in zip(s, s[1:], strict=False)}
+        own = sorted({g >> 44 for g in grams})
+        x = model.ratios[own]
+        margin = float(x @ model.weights[own]) / math.sqrt(max(float(x @ x), 1e-12))
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-(margin * model.curve[0] + model.curve[1]))), abs=1e-6)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_shapes_are_whole():
+    a, b = (quality._shapes(pa.array([w]))[0].as_py() for w in ("a1-b2-c3-d4-e5-f6-G7", "a1-b2-c3-d4-e5-f6-g7"))
+    assert a != b
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     features = [np.unique(np.concatenate([rng.integers(0, 50, 8), [100 + int(v)]])) for v in rng.integers(0, 2, 200)]
@@ -373,6 +505,38 @@ def test_dual_descent_separates():
     assert ((model.margins(flat, starts) > 0) == (target == 1)).all()
 
 
+def test_toxicity_scores_by_a_plain_forward_pass(docs, labels):
+    """Each window of a text on its own, word by word, with the formulas of a gated recurrent unit."""
+    net = toxicity.trained(docs, labels)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def layer(inputs, u):
+        h, out, n = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for p in inputs:
+            z, r = sig(p[:n] + h @ u[:, :n]), sig(p[n : 2 * n] + h @ u[:, n : 2 * n])
+            c = np.tanh(p[2 * n :] + (r * h) @ u[:, 2 * n :])
+            h = (1 - z) * h + z * c
+            out.append(h)
+        return out
+
+    for text in [r[1] for r in rows() if r[1]][:12] + ["one two three four five " * 31]:
+        words = WORD.findall(text)
+        best, count, first = -np.inf, 0, 0
+        while words:
+            part = words[first : first + toxicity.WINDOW]
+            stats, letters = net.inputs.of(pa.array(part))
+            _, f, b = net.projected(stats, letters)
+            states = np.hstack([layer(f, net.w["uf"]), layer(b[::-1], net.w["ub"])[::-1]])
+            weight = np.exp(np.tanh(states @ net.w["att"]) @ net.w["pick"])
+            best, count = max(best, (weight / weight.sum()) @ states @ net.w["out"] + net.w["bias"][0]), count + 1
+            if first + toxicity.WINDOW >= len(words):
+                break
+            first += toxicity.STRIDE
+        logit = best if words else toxicity.NOTHING
+        want = sig(np.array([logit, min(math.log(max(count, 1)), net.longest), 1]) @ net.curve)
+        assert net.score(pa.array([text]))[0] == pytest.approx(want, abs=1e-4)
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(2)
     w = {k: rng.normal(0, 0.3, s).astype(np.float64) for k, s in toxicity.SHAPES.items()}
@@ -512,6 +676,53 @@ def test_line_rules(spark, docs, labels, empty):
     assert lines.apply_rules(docs, labels).columns[:5] == docs.columns
 
 
+def test_line_labels_differ_within_documents():
+    rng = random.Random(4)
+    sentence = lambda n=12: " ".join("".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 7))) for _ in range(n)).capitalize() + "."
+    junk = lambda n=12: " ".join(w + "###" for w in sentence(n).split())
+    texts, y = [], []
+    for k in range(40):
+        license = "All rights reserved worldwide by the owners"
+        texts.append("\n".join([sentence(), license, sentence(), sentence(), license]))
+        texts.append("\n".join([junk(), junk(), sentence(), junk()]))
+        y += [1, 0]
+    texts.append("\n".join(sentence() for _ in range(2 * lines.CHAIN + 7)))
+    y = np.array([*y, 1])
+    found = lines.Lines(pa.array(texts))
+    label = lines.line_labels(found, found.features(), y)
+    by_line = dict(zip([t for text in texts for t in text.split("\n")], label.tolist(), strict=True))
+    assert not any(v for t, v in by_line.items() if t.startswith("All rights"))
+    assert not any(v for t, v in by_line.items() if "###" in t)
+    assert np.mean([v for t, v in by_line.items() if "###" not in t and not t.startswith("All")]) > 0.9
+    field = lines.train_documents(texts, y)
+    decoded = field.decode(found.features(), found.doc)
+    share = np.bincount(found.doc, decoded) / np.bincount(found.doc)
+    # every label-1 document of the license kind has both labels, its license lines being boilerplate
+    assert share[:80:2].tolist() == [0.6] * 40 and share[-1] == 1
+
+
+def test_line_verdict_by_brute_force(spark, data):
+    """``kept`` from the best of all labellings, worked out line by line for each document."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    field = lines.trained(docs, labels)
+    got = {r["doc_id"]: r for r in lines.apply_rules(docs, labels, field).drop("text").collect()}
+    for r in docs.select("doc_id", "text").collect():
+        text = r["text"] or ""
+        words, own = WORD.findall(text), got[r["doc_id"]]
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        again = {i + j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(3)}
+        assert (own["n_words"], own["n_repeat_words"]) == (len(words), len(again))
+        failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        found = lines.Lines(pa.array([text]))
+        ways = [(0.0, []), (0.0, [])]
+        for k, score in enumerate(found.features() @ field.unary):
+            ways = [max(((w + (field.pair[b, c] if k else 0.0) + score[c], [*way, c]) for b, (w, way) in enumerate(ways)), key=lambda x: (x[0], x[1][-2:])) for c in (0, 1)]
+        best = max(ways, key=lambda x: (x[0], x[1][-1:]))[1]
+        share = sum(n for n, c in zip(found.size, best, strict=False) if c) / max(len(words), 1)
+        assert abs(share - own["content_share"]) < 1e-12
+        assert own["base_failed"] == failed and own["kept"] == (not failed and share >= lines.KEEP)
+
+
 def test_viterbi_against_all_sequences():
     import itertools
 
@@ -560,6 +771,35 @@ def test_top_k_against_brute_force(spark, monkeypatch, scale):
     assert topk.top_k(frame.limit(0), frame.limit(0), 3).count() == 0
 
 
+def test_top_k_of_nothing_of_repeats_and_of_extra_columns(spark):
+    frame = spark.createDataFrame([(i, [i % 7 - 3, 2, -i % 5], "x", i) for i in range(40)] + [(5, [2, 2, 0], "x", 1)] * 3, "id bigint, vector array<bigint>, part string, score bigint")
+    got = topk.top_k(frame, frame.where("id = 0"), 50).collect()
+    assert len(got) == 42 and sum(r["vec_id"] == 5 for r in got) == 4
+    assert topk.top_k(frame.limit(0), frame, 5).count() == 0 and topk.top_k(frame, frame.limit(0), 5).count() == 0
+
+
+def test_max_score_drops_documents_before_products():
+    rng = np.random.default_rng(1)
+    vectors = np.floor(64 * rng.normal(size=(2000, 16)) * (rng.random((2000, 16)) < 0.2)).astype(np.int64)
+    taken = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            out = np.ndarray.__getitem__(self, key)
+            if isinstance(key, tuple) and len(key) == 2 and np.ndim(out) == 2:
+                taken.append(len(out))
+            return np.asarray(out)
+
+    shard = topk.Shard(np.arange(2000), vectors)
+    shard.vectors = vectors.view(Counted)
+    q = vectors[vectors.any(1)][3]
+    scores, ids = shard.search(-1, q, 10, [np.zeros(0, np.int64)] * 2)
+    exact = vectors @ q
+    want = np.lexsort((np.arange(2000), -exact))[:10]
+    assert ids.tolist() == want.tolist() and scores.tolist() == exact[want].tolist()
+    assert taken and max(taken) < 600
+
+
 def test_top_k_of_ragged_vectors(spark):
     data = [(0, [1, 2]), (1, [3]), (2, []), (3, [1, 1, 5])]
     frame = spark.createDataFrame(data, "id bigint, vector array<bigint>")
@@ -596,6 +836,37 @@ def test_preference_pairs(spark):
 # -- tokens
 
 
+def test_preference_pairs_with_gaps(spark):
+    schema = "conv_id bigint, turn int, role string, text string, pair string, first string"
+    assert preference.format_pairs(preference.paired(spark.createDataFrame([], schema))).count() == 0
+    long = "word " * 200_000
+    turns = [(1, 0, "user", long, "a", "b"), (1, 1, "assistant", "yes", "a", "b"), (2, 0, "user", long, "a", "b"), (2, 1, "assistant", "no", "a", "b"), (2, 1, "assistant", "no", "a", "b")]
+    turns += [(3, 0, None, None, "a", "b"), (None, 0, "user", "x", "a", "b"), (4, 0, "user", long + "!", "a", "b"), (4, 1, "assistant", "alone", "a", "b")]
+    got = {r["chosen_id"]: r for r in preference.format_pairs(preference.paired(spark.createDataFrame(turns, schema))).collect()}
+    assert set(got) == {2, 3, 4} and got[2]["rejected_id"] == 1 and got[3]["rejected_id"] is None
+    assert got[2]["n_prompt_turns"] == 1 and len(got[2]["prompt"]) > 1_000_000
+    assert got[2]["chosen"].count("no<|end|>") == 2 and got[2]["rejected"].count("yes") == 1
+    assert got[3]["chosen"] == "<|unknown|>\n<|end|>\n"
+
+
+def test_mix_of_null_ids_and_of_a_crowded_last_bin(spark, monkeypatch):
+    rng = random.Random(9)
+    data = [(None if i % 3 == 0 else i, " ".join([f"w{i}"] * rng.randint(1, 9)), f"s{i % 3}", "m", 0.0) for i in range(400)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    plain = sorted(map(str, mixing.mix_sources(docs).collect()))
+    size = Counter()
+    for _, t, s, *_ in data:
+        size[s] += len(t.split())
+    got = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        got[r["source"]] += len(r["text"].split())
+    for s in mixing.plan_mix(mixing.slim_rows(docs, "mix"), (5, 2, 1), 1.5, 2)[0].collect():
+        assert abs(got[s["source"]] - s["target"]) < 40
+    monkeypatch.setattr(mixing, "BINS", 2)
+    monkeypatch.setattr(mixing, "SORTED", 3)
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == plain
+
+
 def test_bpe_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
