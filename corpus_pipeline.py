@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from isobar.llm.bpe import encode, tokenizer_path
 from isobar.llm.jaccard import BROADCAST_ROWS, linked
 from isobar.llm.mixing import mix_sources
-from isobar.llm.pii import pseudonymise
+from isobar.llm.pii import configured_key, pseudonymise
 from isobar.llm.shared import WORD_PATTERN, durable, stored, table
 from isobar.llm.toxicity import toxicity_scores
 
@@ -58,21 +58,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms for personal data; ``n_chars`` follows the text."""
+    """Texts with pseudonyms for personal data, null and empty ones as they are; ``n_chars`` follows the text."""
     names = docs.columns
-    out = pseudonymise(docs, "isobar-demo-key")
+    out = pseudonymise(docs, configured_key(spark))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to weights 5, 2, 1 and 150 % of all words; a row appears as often as it is taken."""
+    """Sources mixed to weights 5, 2, 1 and 150 % of all words; a row appears as often as it is taken.
+
+    Null and empty texts have no words and cost nothing; an empty table stays empty.
+    """
     return mix_sources(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row and the text they decode to: doc_id, source, n_tokens, ids (little-endian unsigned 32-bit) and decoded."""
+    """Token ids of every row and the text they decode to: doc_id, source, n_tokens, ids (little-endian unsigned 32-bit) and decoded.
+
+    Null and empty texts have no ids and decode to an empty text.
+    """
     coded = encode(docs.select("doc_id", "source", "text"), tokenizer_path(), decoded=True)
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
