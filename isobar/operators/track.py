@@ -89,6 +89,7 @@ class Tracker:
         self.last: dict[int, Row] = {}
         self.parents: dict[int, int | None] = {}
         self.next = 0
+        self.time: float | None = None
         self.out_rows: list[tuple] = []
         self.out_events: list[tuple] = []
         self.events: list[list] = []
@@ -147,38 +148,48 @@ class Tracker:
 
     # -- a step
 
-    def step(self, centers: list[Center]) -> None:
-        """Advance to the next time step; ``centers`` come in the order of id, which is their place."""
-        time = centers[0].time if centers else None
-        self.rows, self.events = {}, []
+    def step(self, centers: list[Center], time: float | None = None) -> None:
+        """Advance to the next time step; ``centers`` come in the order of id, which is their place.
+
+        An empty step (its ``time`` has to be given) ends all tracks.  So does a gap: where ``centers``
+        come later than one step after the latest, the step in between counts as empty.
+        """
+        time = centers[0].time if centers else time
+        if time is None:
+            raise ValueError("an empty step needs its time")
+        due = None if self.time is None else self.time + self.settings.hours / 24
+        if due is not None and centers and time > due + self.settings.hours / 48:
+            self._step([], due)
+        self._step(centers, time)
+
+    def _step(self, centers: list[Center], time: float) -> None:
+        self.rows, self.events, self.time = {}, [], time
         before, self.centers = self.centers, centers
-        if not before and not self.last:
+        if not self.last:
             for c in centers:
                 self._new(c, BOTH if c.type != 2 else CENTER, None)
             for c in centers:  # a system's parent is its primary's track
                 self.parents[c.tid] = self.rows[c.tid].ptid = centers[c.parent].tid
-            self._finish(time)
-            return
-        if time is None:
-            return
-        came, spare = self._match(before, centers, time)
-        self._merges(before, centers, came, spare)
-        self._beginnings(before, centers, came, spare)
-        self._area_events(before, centers)
-        self._shared_parents(before, centers)
-        tids = [c.tid for c in centers]
-        if len(set(tids)) != len(tids):
-            raise RuntimeError("two centres share a track")
+        else:
+            came, ways = self._match(before, centers, time)
+            self._seat(before, centers, came, ways)
+            self._beginnings(before, centers, came, ways)
+            self._regroup(before, centers)
+            self._primaries(centers)
+            tids = [c.tid for c in centers]
+            if len(set(tids)) != len(tids):
+                raise RuntimeError("two centres share a track")
         self._finish(time)
 
-    def _match(self, before: list[Center], centers: list[Center], time: float):
+    def _match(self, before: list[Center], centers: list[Center], time: float) -> tuple[list[list[int]], dict[int, list[tuple[float, int]]]]:
+        """(the former centres that each centre is nearest to, by projection; the other places each former centre could go, nearest first)."""
         came: list[list[int]] = [[] for _ in centers]
-        spare: list[dict[int, float]] = [{} for _ in centers]
+        ways: dict[int, list[tuple[float, int]]] = {}
+        reach = self.settings.reach
         for i, c in enumerate(before):
-            lat, lon = self._projected(c)
-            to_place = [distance(c.lat, d.lat, c.lon, d.lon) for d in centers]
-            to_guess = [distance(lat, d.lat, lon, d.lon) for d in centers]
-            fits = sum(a <= self.settings.reach and b <= self.settings.reach for a, b in zip(to_place, to_guess, strict=True))
+            guess = self._projected(c)
+            moves = [(distance(guess[0], d.lat, guess[1], d.lon), distance(c.lat, d.lat, c.lon, d.lon)) for d in centers]
+            fits = sum(max(m) <= reach for m in moves)
             if not fits:
                 gone = copy.copy(c)
                 gone.time = time
@@ -186,131 +197,133 @@ class Tracker:
                 self._bury(c.tid, c.tid)
                 self._event(c.tid, gone, LY, BOTH)
                 continue
-            best = min(range(len(centers)), key=lambda k: (to_guess[k], k))
+            best = min(range(len(centers)), key=lambda k: (moves[k][0], k))
             self._extend(c.tid, centers[best])
             came[best].append(i)
-            others = sorted((k for k in range(len(centers)) if k != best), key=lambda k: (to_place[k], k))
-            for k in others[: fits - 1]:
-                spare[k][i] = to_place[k]
-        for k, who in enumerate(came):
-            if who:
-                spare[k] = {}
-        return came, spare
-
-    def _merges(self, before, centers, came, spare) -> None:
+            ways[i] = sorted((m[1], k) for k, m in enumerate(moves) if k != best)[: fits - 1]
+        return came, ways
+
+    def _seat(self, before: list[Center], centers: list[Center], came: list[list[int]], ways: dict) -> None:
+        """Of several former centres at one place, one stays; the others go to a free place they could reach, or merge."""
         for k, here in enumerate(centers):
             if len(came[k]) < 2:
                 continue
-            away = {i: distance(before[i].lat, here.lat, before[i].lon, here.lon) for i in came[k]}
-            nearest = [i for i in came[k] if away[i] == min(away.values())]
-            first = nearest[0] if len(nearest) == 1 else max(came[k], key=lambda i: (before[i].depth, -i))
-            parent = self.last[before[first].tid].ptid
-            for i in came[k]:
-                if before[i].tid == parent and i != first:
-                    first = i
-                    break
-            here.tid = before[first].tid
-            for i in [j for j in came[k] if j != first]:
-                options = {m: d[i] for m, d in enumerate(spare) if i in d}
-                if options:
-                    to = min(options, key=lambda m: (options[m], m))
-                    self._extend(before[i].tid, centers[to])
-                    came[to].append(i)
+            stays = self._survivor(before, came[k], here)
+            here.tid = before[stays].tid
+            for i in [j for j in came[k] if j != stays]:
+                free = next((to for _, to in ways.get(i, ()) if not came[to]), None)
+                if free is not None:
+                    self._extend(before[i].tid, centers[free])
+                    came[free].append(i)
                     came[k].remove(i)
-                    spare[to] = {}
-                    continue
-                etype = CENTER if before[i].parent == before[first].parent else BOTH
-                self._event(before[first].tid, here, MG, etype, before[i].tid)
-                self._event(before[i].tid, here, MG, etype, before[first].tid)
-                self._event(before[i].tid, here, LY, etype)
-                self._bury(before[i].tid, before[first].tid)
-            here.tid = before[first].tid
-
-    def _beginnings(self, before, centers, came, spare) -> None:
+                else:
+                    self._merge(before[i], before[stays], here)
+            here.tid = before[stays].tid
+
+    def _survivor(self, before: list[Center], arrivals: list[int], here: Center) -> int:
+        """The nearest arrival, or the deepest if two are nearest; its parent track instead, if that arrives as well."""
+        away = sorted((distance(before[i].lat, here.lat, before[i].lon, here.lon), i) for i in arrivals)
+        tie = away[0][0] == away[1][0]
+        first = min(arrivals, key=lambda i: (-before[i].depth, i)) if tie else away[0][1]
+        heads = {before[i].tid: i for i in arrivals if i != first}
+        return heads.get(self.last[before[first].tid].ptid, first)
+
+    def _merge(self, lost: Center, into: Center, here: Center) -> None:
+        etype = CENTER if lost.parent == into.parent else BOTH
+        for a, b in ((into.tid, lost.tid), (lost.tid, into.tid)):
+            self._event(a, here, MG, etype, b)
+        self._event(lost.tid, here, LY, etype)
+        self._bury(lost.tid, into.tid)
+
+    def _beginnings(self, before: list[Center], centers: list[Center], came: list[list[int]], ways: dict) -> None:
+        """Tracks of the centres that no former one came to: split off from the nearest that could have, or born."""
+        sources: dict[int, list[tuple[float, int]]] = {}
+        for i, places in ways.items():
+            for d, k in places:
+                if not came[k]:
+                    sources.setdefault(k, []).append((d, i))
         for k, here in enumerate(centers):
             if came[k]:
                 continue
-            if spare[k]:
-                source = before[min(spare[k], key=lambda i: (spare[k][i], i))]
-                tid, self.next = self.next, self.next + 1
-                # the new track begins a step earlier, as a placeholder where it split off
-                start = Row(copy.copy(source), source.tid, dead=True)
-                self.last[tid], self.parents[tid] = start, source.tid
-                self._emit(tid, start)
-                self._extend(tid, here)
-                other = centers[self.rows[source.tid].center.id] if not self.rows[source.tid].dead else here
-                same = other.parent == here.parent and other is not here
-                etype = CENTER if same else BOTH
-                self._event(tid, here, GE, etype)
-                self._event(source.tid, other, SP, etype, tid)
-                self._event(tid, here, SP, etype, source.tid)
-                if not same:
-                    self.parents[tid] = self.rows[tid].ptid = tid
+            if k in sources:
+                self._split(before[min(sources[k])[1]], here, centers)
                 continue
             mates = [m for m, c in enumerate(centers) if c.parent == here.parent]
-            alone = len(mates) == 1
-            known = any(came[m] or spare[m] for m in mates)
-            whole = alone or not (known or here.type == 2)
-            tid = self._new(here, BOTH if whole else CENTER, None)
-            if whole:
+            joins = len(mates) > 1 and (here.type == 2 or any(came[m] or m in sources for m in mates))
+            tid = self._new(here, CENTER if joins else BOTH, None)
+            if not joins:
                 self.parents[tid] = self.rows[tid].ptid = tid
 
-    def _area_events(self, before, centers) -> None:
-        old = {c.tid: c for c in before}
-        new = {c.tid: c for c in centers}
-        for c in centers:
-            if c.centers == 1 or not self._alive(c.tid, self.last) or c.tid not in old:
-                continue
-            for m in centers:
-                if m.parent == c.parent and m.id != c.id and m.tid in old and old[m.tid].parent != old[c.tid].parent:
-                    self._event(c.tid, c, MG, AREA, m.tid)
+    def _split(self, source: Center, here: Center, centers: list[Center]) -> None:
+        tid, self.next = self.next, self.next + 1
+        # the new track begins a step earlier, as a placeholder where it split off
+        start = Row(copy.copy(source), source.tid, dead=True)
+        self.last[tid], self.parents[tid] = start, source.tid
+        self._emit(tid, start)
+        self._extend(tid, here)
+        other = here if self.rows[source.tid].dead else centers[self.rows[source.tid].center.id]
+        same = other is not here and other.parent == here.parent
+        etype = CENTER if same else BOTH
+        self._event(tid, here, GE, etype)
+        self._event(source.tid, other, SP, etype, tid)
+        self._event(tid, here, SP, etype, source.tid)
+        if not same:
+            self.parents[tid] = self.rows[tid].ptid = tid
+
+    def _regroup(self, before: list[Center], centers: list[Center]) -> None:
+        """Events of areas, from which tracks shared a system before and which share one now."""
+        was, now = ({c.tid: c for c in step} for step in (before, centers))
+        go_on = [t for t in now if t in was]
+
+        def pairs(own: dict[int, Center], other: dict[int, Center]) -> Iterator[tuple[int, int]]:
+            """Ordered pairs of lasting tracks that share a system in ``own`` and don't in ``other``."""
+            systems: dict[int, list[int]] = {}
+            for t in go_on:
+                systems.setdefault(own[t].parent, []).append(t)
+            return ((a, b) for mates in systems.values() for a in mates for b in mates if a != b and other[a].parent != other[b].parent)
+
+        for a, b in pairs(now, was):
+            self._event(a, now[a], MG, AREA, b)
+        for a, b in pairs(was, now):
+            self._event(a, now[a], SP, AREA, b)
+            if self.last[a].ptid != a:
+                self._own(a, GE, AREA)
         for c in before:
-            if c.centers == 1:
+            if c.centers == 1 or c.tid in now:
                 continue
-            primary = self.last[c.tid].ptid
-            mates = [m for m in before if m.parent == c.parent]
-            if not self._alive(c.tid, self.rows):
-                if c.tid != primary:
-                    self.rows[c.tid].flags["ely"] = CENTER
-                    for e in self.events:
-                        if e[0] == c.tid and e[2] == LY:
-                            e[3] = CENTER
-                    continue
-                alive = [m for m in mates if self._alive(m.tid, self.rows)]
-                if alive:
-                    heir = min(alive, key=lambda m: (self.rows[m.tid].center.p_cent, mates.index(m)))
-                    row = self.rows[heir.tid]
-                    self._event(heir.tid, row.center, GE, AREA)
-                    self._event(heir.tid, row.center, RG, AREA, c.tid)
-                    row.ptid = self.parents[heir.tid] = heir.tid
+            if self.last[c.tid].ptid != c.tid:
+                # a secondary's end is one of its centre alone
+                self.rows[c.tid].flags[FLAGS[LY]] = CENTER
+                for e in self.events:
+                    if e[0] == c.tid and e[2] == LY:
+                        e[3] = CENTER
                 continue
-            for m in mates:
-                if m.id == c.id or not self._alive(m.tid, self.rows):
-                    continue
-                if new[m.tid].parent != new[c.tid].parent:
-                    self._event(c.tid, new[c.tid], SP, AREA, m.tid)
-                    if primary != c.tid:
-                        self.rows[c.tid].ptid = self.parents[c.tid] = c.tid
-                        self._event(c.tid, new[c.tid], GE, AREA)
-
-    def _shared_parents(self, before, centers) -> None:
+            left = [m.tid for m in before if m.parent == c.parent and m.tid in now]
+            if left:
+                heir = min(left, key=lambda t: (now[t].p_cent, was[t].id))
+                self._own(heir, GE, AREA)
+                self._event(heir, now[heir], RG, AREA, c.tid)
+
+    def _own(self, tid: int, event: str, etype: int) -> None:
+        """A track heads a system of its own from here on."""
+        self.rows[tid].ptid = self.parents[tid] = tid
+        self._event(tid, self.rows[tid].center, event, etype)
+
+    def _primaries(self, centers: list[Center]) -> None:
+        """The parent of each system's tracks: of those that lasted, the deepest one's; of new ones the deepest itself."""
+        systems: dict[int, list[Center]] = {}
         for c in centers:
             if c.centers > 1:
-                mates = [m for m in centers if m.parent == c.parent]
-                known = [m for m in mates if self._alive(m.tid, self.last)]
-                if not known:
-                    primary = max(mates, key=lambda m: (m.depth, -m.id)).tid
-                elif len(known) == 1:
-                    primary = known[0].tid
-                else:
-                    deepest = max(known, key=lambda m: (m.depth, -m.id)).tid
-                    primary = self.rows[deepest].ptid if self.rows[deepest].ptid is not None else deepest
-                for m in mates:
-                    self.rows[m.tid].ptid = self.parents[m.tid] = primary
-                    if m.tid != primary and self.rows[m.tid].flags.get("emg") == AREA and self.rows[m.tid].flags.get("ely") != AREA:
-                        self._event(m.tid, m, LY, AREA, primary)
-            if self.rows[c.tid].flags.get("ely") == CENTER and c.tid in self.last:
-                self.rows[c.tid].ptid = self.parents[c.tid] = self.last[c.tid].ptid
+                systems.setdefault(c.parent, []).append(c)
+        for mates in systems.values():
+            lasted = [m for m in mates if self._alive(m.tid, self.last)]
+            deepest = min(lasted or mates, key=lambda m: (-m.depth, m.id)).tid
+            primary = deepest if len(lasted) < 2 or self.rows[deepest].ptid is None else self.rows[deepest].ptid
+            for m in mates:
+                row = self.rows[m.tid]
+                row.ptid = self.parents[m.tid] = primary
+                if m.tid != primary and row.flags.get(FLAGS[MG]) == AREA and row.flags.get(FLAGS[LY]) != AREA:
+                    self._event(m.tid, m, LY, AREA, primary)
 
     def _emit(self, tid: int, r: Row) -> None:
         c, dead = r.center, r.dead
@@ -354,9 +367,9 @@ def centers_of(frame: pd.DataFrame) -> list[Center]:
 def track(centers: DataFrame, settings: Settings | None = None, grid: str = "grid") -> tuple[DataFrame, DataFrame]:
     """(observations, events) of all tracks; columns of OBS_SCHEMA and EVENT_SCHEMA.
 
-    centers: grid, time and the columns of a typed centre.  Steps of a grid follow each other and
-    are read in time order, one step in memory at a time; grids (regions, data sets, members) are
-    independent and run in parallel.
+    centers: grid, time and the columns of a typed centre.  Steps of a grid follow each other every
+    ``hours``; one that is missing ends all tracks.  They are read in time order, one step in memory
+    at a time; grids (regions, data sets, members) are independent and run in parallel.
     """
     rows_of, events_of = (_tracked(centers, settings or Settings(), grid, part) for part in (0, 1))
     return rows_of, events_of
@@ -369,11 +382,12 @@ def _tracked(centers: DataFrame, settings: Settings, grid: str, part: int) -> Da
         tracker, held = None, pd.DataFrame()
         for batch in batches:
             held = pd.concat([held, batch]) if len(held) else batch
-            keys = held[["grid", "time"]].apply(tuple, axis=1) if len(held) else pd.Series(dtype=object)
-            last = keys.iloc[-1] if len(keys) else None
-            for key, step in held[keys != last].groupby(["grid", "time"], sort=False):
+            if not len(held):
+                continue
+            latest = (held["grid"] == held["grid"].iloc[-1]) & (held["time"] == held["time"].iloc[-1])
+            for key, step in held[~latest].groupby(["grid", "time"], sort=False):
                 tracker = _stepped(tracker, key[0], step, settings)
-            held = held[keys == last]
+            held = held[latest]
             if tracker is not None:
                 yield tracker.take()[part]
         if len(held):
@@ -453,10 +467,12 @@ def _runs(keyed: DataFrame) -> DataFrame:
     return kept.withColumn("closes", F.col("_own") == 0).drop("_own", "_before")
 
 
-def _chains(links: DataFrame, longest: int = 8) -> DataFrame:
-    """dead_sid, heir, at with heirs that died and were revived themselves resolved, up to so many in a row."""
+def _chains(links: DataFrame) -> DataFrame:
+    """dead_sid, heir, at with heirs that died and were revived themselves resolved, by doubling until no heir is dead."""
     out = links
-    for _ in range(longest.bit_length()):
+    while True:
         further = out.select(F.col("dead_sid").alias("heir"), F.col("heir").alias("next"))
+        if out.join(further, "heir", "left_semi").isEmpty():
+            return out
         out = out.join(further, "heir", "left").select("dead_sid", F.coalesce("next", "heir").alias("heir"), "at")
-    return out
+        out = out.checkpoint() if out.sparkSession.sparkContext.getCheckpointDir() else out

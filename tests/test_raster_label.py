@@ -171,3 +171,62 @@ def test_precipitation_goes_to_the_nearest_area(spark):
     got = L.attribute_precipitation(rain, areas, centers, shape, 0.5, 1.0).collect()
     assert {(r["x"], r["id"]) for r in got if r["y"] == 2} == {(x, 0) for x in range(5)} | {(x, 1) for x in range(5, 9)}
     assert len(got) == 9
+
+
+def test_closed_areas_contour_by_contour():
+    """The rule read literally: each contour's area is a component of the cells below it, one contour after the other."""
+    import pandas as pd
+
+    from isobar.operators import label as L
+
+    def areas(field, centers, interval, ratio, reach, maxima):
+        n = len(centers)
+        left = dict.fromkeys(range(n), (0, None, 0, None))
+        cell = list(zip(centers["y"], centers["x"], strict=True))
+        for me in sorted(range(n), key=lambda i: (centers["p_cent"][i], i)):
+            if left[me][0]:
+                continue
+            near = {i for i in range(n) if i != me and not left[i][0] and L._distance(centers["lat"][me], centers["lat"][i], centers["lon"][me], centers["lon"][i]) <= reach}
+            rise, level = [], centers["p_cent"][me]
+            while level < np.nanmax(field):
+                level += interval
+                labels = L.label_grid(np.nan_to_num(field, nan=np.inf) < level)
+                area = labels == labels[cell[me]]
+                inside = {i for i in range(n) if i != me and area[cell[i]]}
+                rise.append((level, inside, int(area.sum())))
+                if (area & maxima).any() or inside - near:
+                    break
+            inside = rise[-1][1] if rise else set()
+            kept, mates = rise[:-1], set()
+            if near and len(rise) > 1 and (len(inside) > 1 or inside & near):
+                while kept and kept[-1][1]:
+                    late = min(kept[-1][1], key=lambda i: (sum(i in r[1] for r in kept), i))
+                    at = min(k for k, r in enumerate(kept) if late in r[1])
+                    if at < ratio * len(kept):
+                        mates = kept[-1][1]
+                        break
+                    kept = kept[:at]
+            count = len(kept) if rise else -1
+            size = max(kept[-1][2] if kept else 0, 1)
+            for i in {me} | mates:
+                left[i] = (1 if i == me else 2, centers["p_cent"][me] + count * interval, size, me)
+        return left
+
+    seen = set()
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        field = rng.normal(size=(14, 14))
+        for _ in range(2):
+            field = (field + np.roll(field, 1, 0) + np.roll(field, -1, 0) + np.roll(field, 1, 1) + np.roll(field, -1, 1)) / 5
+        field = np.round(field / np.abs(field).max() * 2000 + 100000, 1)
+        around = np.stack([np.pad(field, 1, constant_values=np.nan)[1 + a : 15 + a, 1 + b : 15 + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+        y, x = np.nonzero(field < np.nanmin(around, 0))
+        maxima = (field > np.nanmax(around, 0)) & (seed % 4 > 0)
+        centers = pd.DataFrame({"id": range(len(y)), "y": y, "x": x, "lat": 45 + y * 0.9, "lon": -20 + x * 1.5, "p_cent": field[y, x]})
+        got, _ = L.closed_areas(field, centers, 150.0, 0.6, 900e3, maxima)
+        want = areas(field, centers, 150.0, 0.6, 900e3, maxima)
+        for r in got.itertuples():
+            assert (r.type, r.area, r.parent) == (want[r.id][0], want[r.id][2], want[r.id][3])
+            assert r.p_edge == pytest.approx(want[r.id][1])
+            seen.add(r.type)
+    assert seen == {1, 2}

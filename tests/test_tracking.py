@@ -146,3 +146,27 @@ def test_stream_equals_batch(spark, tmp_path):
     want = batch.select("time", "lon").orderBy("time").toPandas()
     assert len(got) >= len(want) - 2
     pd.testing.assert_frame_equal(got, want.head(len(got)))
+
+
+def test_gap_and_empty_step_end_all_tracks(spark):
+    obs, events = run(spark, [center(0, 0, 0.0), center(1, 0, 1.0), center(8, 0, 1.5)])
+    assert obs["tid"].nunique() == 2
+    first = obs[obs["tid"] == 0]
+    assert first["time"].tolist() == [0.0, 0.25, 0.5] and first["type"].tolist() == [1, 1, 0]
+    assert kinds(events, 0) == {("ge", 3): 1, ("ly", 3): 1} and kinds(events, 1) == {("ge", 3): 1}
+    tracker = T.Tracker(T.Settings(reach=500_000.0), "g")
+    make = lambda step: [T.Center(step * 0.25, 0, 10, 1, 60.0, 1.0, 98000.0, 1e5, 20, 0.5, 1, 0, 1)]
+    tracker.step(make(0))
+    tracker.step([], 0.25)
+    tracker.step([], 0.5)
+    tracker.step(make(3))
+    rows, marks = tracker.take()
+    assert rows[["tid", "time", "type"]].values.tolist() == [[0, 0.0, 1], [0, 0.25, 0], [1, 0.75, 1]]
+    assert [(r.tid, r.time, r.event) for r in marks.itertuples()] == [(0, 0.0, "ge"), (0, 0.25, "ly"), (1, 0.75, "ge")]
+    with pytest.raises(ValueError):
+        tracker.step([])
+
+
+def test_long_chains_of_revivals(spark):
+    links = spark.createDataFrame([(f"g:{i}:0", f"g:{i + 1}:0", float(i)) for i in range(40)], "dead_sid string, heir string, at double")
+    assert {r["heir"] for r in T._chains(links).collect()} == {"g:40:0"}
