@@ -55,6 +55,25 @@ def expanded_year(suffix: Column, now_suffix: int, century: int = 2000) -> Colum
     return F.when(suffix > now_suffix, F.lit(century - 100) + suffix).otherwise(F.lit(century) + suffix)
 
 
+def fixed_calendar_days(year: Column, month: Column, day: Column, days_per_year: int = 365) -> Column:
+    """Days from the start of year 1 in a calendar of 365 (no leap years) or 360 days (months of 30) a year; no year 0."""
+    y = F.when(year > 0, year - 1).otherwise(year)
+    before = F.element_at(F.array(*[F.lit(sum(MONTH_DAYS[:m])) for m in range(12)]), month.cast("int")) if days_per_year == 365 else (month - 1) * 30
+    return (y * days_per_year + before + day - 1).cast("bigint")
+
+
+def fixed_calendar_date(days: Column, days_per_year: int = 365) -> Column:
+    """Struct (year, month, day) of such days; the inverse of :func:`fixed_calendar_days`."""
+    y, rest = F.floor(days / days_per_year), F.pmod(days, F.lit(days_per_year)).cast("int")
+    if days_per_year == 365:
+        starts = F.array(*[F.lit(sum(MONTH_DAYS[:m])) for m in range(12)])
+        month = F.size(F.filter(starts, lambda s: s <= rest))
+        day = rest - F.element_at(starts, month) + 1
+    else:
+        month, day = F.floor(rest / 30).cast("int") + 1, rest % 30 + 1
+    return F.struct(F.when(y >= 0, y + 1).otherwise(y).cast("int").alias("year"), month.alias("month"), day.cast("int").alias("day"))
+
+
 def _leap(year: int) -> bool:
     """Gregorian; years before 1 AD are counted without a year 0."""
     y = year if year > 0 else year + 1

@@ -306,6 +306,18 @@ def bilinear_weights(src_y: Sequence[float], src_x: Sequence[float], dst: Sequen
     return out
 
 
+def nearest_weights(src_y: Sequence[float], src_x: Sequence[float], dst: Sequence[tuple[int, int, float, float]], periodic: float | None = None) -> list[tuple[int, int, int, int, float]]:
+    """As :func:`bilinear_weights`, with the whole weight on the nearest cell of each axis, the first on ties; cells outside get the edge."""
+
+    def place(value: float, axis: Sequence[float], period: float | None) -> int:
+        away = [abs((value - a + period / 2) % period - period / 2) if period else abs(value - a) for a in axis]
+        return away.index(min(away))
+
+    rows = {y: place(y, src_y, None) for y in {d[2] for d in dst}}
+    cols = {x: place(x, src_x, periodic) for x in {d[3] for d in dst}}
+    return [(row, col, rows[y], cols[x], 1.0) for row, col, y, x in dst]
+
+
 def regrid(field: DataFrame, weights: DataFrame) -> DataFrame:
     """The field on another grid by sparse weights (dst_y, dst_x, src_y, src_x, w); null where a source cell is missing."""
     joined = field.withColumnsRenamed({"y": "src_y", "x": "src_x"}).join(weights, ["src_y", "src_x"])

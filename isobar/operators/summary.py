@@ -213,9 +213,9 @@ def compare_tracks(first: DataFrame, second: DataFrame, min_match: float = 0.6,
 def match_step(before: DataFrame, after: DataFrame, reach_km: float, red: float = 0.75) -> DataFrame:
     """One tracking step as a join: centres (t, id, lat, lon[, u, v in km/h, hours]) against those of the next t.
 
-    A pair is a candidate if both the position and its projection are within reach; each centre
-    goes to the candidate nearest to its projection, ties by id.  Latitude bands of the reach's
-    width are the join key, so that only neighbouring bands meet.
+    A centre goes on if some centre is within reach of both its position and its projection; it then
+    goes to the one nearest to the projection of all, ties by id.  Latitude bands of the reach's
+    width around the projection are the join key, so that only neighbouring bands meet.
     """
     from isobar.functions.geo import add_lat, add_long, dist2lat, dist2long
 
@@ -224,12 +224,14 @@ def match_step(before: DataFrame, after: DataFrame, reach_km: float, red: float
     lat_q, lon_q = add_lat(F.col("lat"), dist2lat(move("v"))), add_long(F.col("lon"), F.coalesce(dist2long(move("u"), F.col("lat"), F.col("lat")), F.lit(0.0)))
     width = reach_km / 6371.0 * 180 / math.pi
     band = F.floor((F.col("lat") + 90) / width).cast("int")
-    left = before.select("t", F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), lat_q.alias("latq"), lon_q.alias("lonq"), band.alias("b"))
+    left = before.select("t", F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), lat_q.alias("latq"), lon_q.alias("lonq"))
+    left = left.withColumn("b", F.floor((F.col("latq") + 90) / width).cast("int"))
     left = left.withColumn("band", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).drop("b")
     right = after.select((F.col("t") - 1).alias("t"), F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("band"))
     pairs = left.join(right, ["t", "band"])
     d = haversine(F.col("lat1"), F.col("lat2"), F.col("lon1"), F.col("lon2"), "km")
     dq = haversine(F.col("latq"), F.col("lat2"), F.col("lonq"), F.col("lon2"), "km")
-    near = pairs.withColumns({"distance": d, "projected": dq}).where((F.col("distance") <= reach_km) & (F.col("projected") <= reach_km))
-    first = W.partitionBy("t", "id1").orderBy("projected", "id2")
-    return near.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("t", "id1", "id2", "distance", "projected")
+    near = pairs.withColumns({"distance": d, "projected": dq}).where(F.col("projected") <= reach_km)
+    # the nearest to the projection is among these, as there is one within reach of it
+    best = near.groupBy("t", "id1").agg(F.min(F.struct("projected", "id2", "distance")).alias("b"), F.min("distance").alias("least"))
+    return best.where(F.col("least") <= reach_km).select("t", "id1", F.col("b.id2").alias("id2"), F.col("b.distance").alias("distance"), F.col("b.projected").alias("projected"))

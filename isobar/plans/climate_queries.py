@@ -47,6 +47,15 @@ def weighted_climatology(spark, sf_dir):
     return C.pooled_climatology(months(spark, sf_dir), ["region"], 1996, 2000, "n").withColumn("clim", F.round("clim", 5))
 
 
+def p_value(t: str, df: str) -> str:
+    """DuckDB text of the two-sided p of t at a whole number of degrees of freedom, by the finite series in the angle."""
+    angle = f"atan(abs({t})/sqrt({df}))"
+    log_cos = f"(-0.5e0*ln(1 + ({t})*({t})/({df})))"
+    even = f"sin({angle})*list_sum(list_transform(range(0, CAST({df} AS BIGINT)//2), lambda j: exp(lgamma(j + 0.5e0) - lgamma(0.5e0) - lgamma(j + 1e0) + 2*j*{log_cos})))"
+    odd = f"2/pi()*({angle} + sin({angle})*coalesce(list_sum(list_transform(range(0, (CAST({df} AS BIGINT) - 1)//2), lambda j: exp(lgamma(j + 1e0) + lgamma(1.5e0) - lgamma(j + 1.5e0) + (2*j + 1)*{log_cos}))), 0))"
+    return f"CASE WHEN {df} > 0 THEN 1 - CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END END"
+
+
 def _trend(rows: str, keys: str, y: str) -> str:
     return f"""SELECT {keys}, n, CASE WHEN n >= 5 THEN round(b, 4) END AS trend, CASE WHEN n >= 5 THEN round(a, 0) END AS yint, CASE WHEN n >= 5 THEN round(r, 7) END AS r2, CASE WHEN n >= 5 AND n > 2 THEN round(sqrt(greatest((1 - r)*syy/sxx/(n - 2), 0)), 4) END AS stderr
  FROM (SELECT {keys}, regr_count({y}, year) AS n, regr_slope({y}, year) AS b, regr_intercept({y}, year) AS a, regr_r2({y}, year) AS r, regr_sxx({y}, year) AS sxx, regr_syy({y}, year) AS syy FROM {rows} GROUP BY {keys})"""
@@ -66,9 +75,12 @@ def monthly_trend(spark, sf_dir):
     return _round_trend(C.monthly_trend(months(spark, sf_dir), ["region"], "mean", 5))
 
 
-@query()
+@query(f"""WITH {ROLL_SQL}, g AS (SELECT region, month, regr_count(season_total, year) AS n, regr_slope(season_total, year) AS b, regr_r2(season_total, year) AS r, regr_sxx(season_total, year) AS sxx, regr_syy(season_total, year) AS syy FROM ro GROUP BY ALL),
+ e AS (SELECT *, b/nullif(sqrt(greatest((1 - r)*syy/nullif(sxx, 0)/nullif(n - 2, 0), 0)), 0) AS tt FROM g)
+ SELECT region, month, n, CASE WHEN n >= 5 THEN round(b, 4) END AS trend, CASE WHEN n >= 5 THEN round({p_value('tt', '(n - 2)')}, 7) END AS pvalue FROM e""")
 def trend_p_values(spark, sf_dir):
-    return C.seasonal_trend(months(spark, sf_dir), ["region"], 5, p_values=True)
+    made = C.seasonal_trend(months(spark, sf_dir), ["region"], 5, p_values=True)
+    return made.select("region", "month", "n", F.round("trend", 4).alias("trend"), F.round("pvalue", 7).alias("pvalue"))
 
 
 @query(f"""WITH {SEASON_SQL}, r AS (SELECT region, rank() OVER (PARTITION BY region ORDER BY value) + (count(*) OVER (PARTITION BY region, value) - 1)/2e0 AS rx, rank() OVER (PARTITION BY region ORDER BY bal) + (count(*) OVER (PARTITION BY region, bal) - 1)/2e0 AS ry FROM sy)
@@ -77,15 +89,34 @@ def spearman_rank(spark, sf_dir):
     return spearman(season_rows(spark, sf_dir), ["region"], "value", "bal").withColumn("rho", F.round("rho", 9))
 
 
-@query()
+@query(f"""WITH {SEASON_SQL}, r AS (SELECT region, rank() OVER (PARTITION BY region ORDER BY value) + (count(*) OVER (PARTITION BY region, value) - 1)/2e0 AS rx, rank() OVER (PARTITION BY region ORDER BY bal) + (count(*) OVER (PARTITION BY region, bal) - 1)/2e0 AS ry FROM sy),
+ c AS (SELECT region, corr(rx, ry) AS rho, count(*) AS n FROM r GROUP BY region), e AS (SELECT *, rho*sqrt((n - 2)/nullif(1 - rho*rho, 0)) AS tt FROM c)
+ SELECT region, round(rho, 9) AS rho, n, round({p_value('tt', '(n - 2)')}, 6) AS pvalue FROM e""")
 def spearman_p_values(spark, sf_dir):
-    return spearman(season_rows(spark, sf_dir), ["region"], "value", "bal", p_values=True)
+    made = spearman(season_rows(spark, sf_dir), ["region"], "value", "bal", p_values=True)
+    return made.select("region", F.round("rho", 9).alias("rho"), "n", F.round("pvalue", 6).alias("pvalue"))
 
 
-@query()
+@query(f"""WITH {SEASON_SQL}, s AS (SELECT region, count(*) AS n, corr(bal, year) AS a, corr(bal, month) AS b, corr(year, month) AS c, corr(bal, value) AS p, corr(year, value) AS q, corr(month, value) AS r FROM sy GROUP BY region),
+ d AS (SELECT *, 1 + 2*a*b*c - a*a - b*b - c*c AS det FROM s),
+ f AS (SELECT region, n, (1 - c*c)/det AS i1, (1 - b*b)/det AS i2, (1 - a*a)/det AS i3, (p*(1 - c*c) + q*(b*c - a) + r*(a*c - b))/det AS b1, (p*(b*c - a) + q*(1 - b*b) + r*(a*b - c))/det AS b2, (p*(a*c - b) + q*(a*b - c) + r*(1 - a*a))/det AS b3, p, q, r FROM d),
+ g AS (SELECT *, (n - (b1*p + b2*q + b3*r)*n)/(n - 3) AS s2 FROM f),
+ h AS (SELECT region, n, 1 - s2 AS adj_r2, unnest(['bal', 'year', 'month']) AS term, unnest([b1, b2, b3]) AS coef, unnest([b1/sqrt(i1/n*s2), b2/sqrt(i2/n*s2), b3/sqrt(i3/n*s2)]) AS tt FROM g)
+ SELECT region, term, round(coef, 7) AS coef, n, round(adj_r2, 7) AS adj_r2, round({p_value('tt', '(n - 3)')}, 6) AS pvalue FROM h""")
 def multi_ols_zscore(spark, sf_dir):
-    rows = season_rows(spark, sf_dir).withColumn("year", F.col("year").cast("double")).withColumn("bal_year", F.col("bal") * F.col("year"))
-    return multi_ols(rows, ["region"], "value", ["bal", "year", "bal_year"])
+    rows = season_rows(spark, sf_dir).withColumns({"year": F.col("year").cast("double"), "month": F.col("month").cast("double")})
+    made = multi_ols(rows, ["region"], "value", ["bal", "year", "month"])
+    return made.select("region", "term", F.round("coef", 7).alias("coef"), "n", F.round("adj_r2", 7).alias("adj_r2"), F.round("pvalue", 6).alias("pvalue"))
+
+
+@query(f"""WITH {SEASON_SQL}, w AS (SELECT region, bal, year, bal*(year - 1995) AS z, value AS y FROM sy),
+ s AS (SELECT region, count(*) AS n, var_pop(bal) AS aa, var_pop(z) AS zz, covar_pop(bal, z) AS az, covar_pop(bal, y) AS ay, covar_pop(z, y) AS zy FROM w GROUP BY region)
+ SELECT region, unnest(['bal', 'bal_year']) AS term, unnest([round((ay*zz - zy*az)/(aa*zz - az*az), 3), round((zy*aa - ay*az)/(aa*zz - az*az), 6)]) AS coef, n FROM s""")
+def interaction_ols(spark, sf_dir):
+    """A fit with an interaction term, the product of a variable and the years from 1995."""
+    rows = season_rows(spark, sf_dir).withColumn("bal_year", F.col("bal") * (F.col("year") - 1995))
+    made = multi_ols(rows, ["region"], "value", ["bal", "bal_year"], scaled=False, constant=True).where("term <> 'const'")
+    return made.select("region", "term", F.when(F.col("term") == "bal", F.round("coef", 3)).otherwise(F.round("coef", 6)).alias("coef"), "n")
 
 
 @query(f"""WITH {SEASON_SQL}, s AS (SELECT region, count(*) AS n, avg(value) AS my, avg(year) AS m1, avg(month) AS m2, var_pop(year) AS s11, var_pop(month) AS s22, covar_pop(year, month) AS s12, covar_pop(year, value) AS s1y, covar_pop(month, value) AS s2y FROM sy GROUP BY region)

@@ -67,7 +67,14 @@ def pointwise_stats(spark, sf_dir):
     return rounded(G.pointwise(obs(spark, sf_dir), STEPS), "y", "x", digits=4, shift=SHIFT).drop("uvdi")
 
 
-@query()
+DIRECTION = "CASE WHEN u = 0 AND v = 0 THEN 0 WHEN 90 - degrees(atan2(-v, -u)) <= 0 THEN 450 - degrees(atan2(-v, -u)) ELSE 90 - degrees(atan2(-v, -u)) END"
+
+
+@query(f"""WITH RECURSIVE {KIN_SQL}, r AS (SELECT * FROM kin QUALIFY row_number() OVER (PARTITION BY tid ORDER BY time DESC) > 1), cells AS (SELECT DISTINCT y, x FROM r),
+ d AS (SELECT y, x, tid, sum({DIRECTION}) AS v FROM r WHERE uv IS NOT NULL GROUP BY ALL HAVING sum({DIRECTION}) <> 0), o AS (SELECT y, x, v, row_number() OVER (PARTITION BY y, x ORDER BY v DESC) AS i FROM d),
+ f(y, x, i, mean) AS (SELECT y, x, i, CAST(v AS DOUBLE) FROM o WHERE i = 1 UNION ALL SELECT y, x, i, CASE WHEN m < 0 THEN 360 + m WHEN m > 360 THEN m - 360 ELSE m END
+  FROM (SELECT o.y, o.x, o.i, f.mean*(o.i - 1)/o.i + (CASE WHEN (f.mean - o.v)/360 < 0.5e0 THEN o.v ELSE o.v + 360 END)/o.i AS m FROM f JOIN o ON o.y = f.y AND o.x = f.x AND o.i = f.i + 1))
+ SELECT c.y, c.x, round(CASE WHEN l.mean = 0 THEN 360 ELSE l.mean END, 5) AS uvdi FROM cells c LEFT JOIN (SELECT y, x, arg_max(mean, i) AS mean FROM f GROUP BY y, x) l USING (y, x)""")
 def pointwise_direction(spark, sf_dir):
     return G.pointwise(obs(spark, sf_dir), STEPS).select("y", "x", F.round("uvdi", 5).alias("uvdi"))
 

@@ -56,6 +56,45 @@ def nearest_area_join(spark, sf_dir):
     return M.nearest_area(field_points(spark, sf_dir), areas, 4).withColumn("distance", F.round("distance", 9))
 
 
+@query(f"""WITH {OBS_SQL}, s AS (SELECT DISTINCT id % 40 AS target, 25 + (id % 40)*0.3e0 AS lat, (id % 40)*2e0 - 180 AS lon FROM obs)
+ SELECT o.id, arg_min(s.target, {{'d': {hav('o.lat', 's.lat', 'o.lon', 's.lon')}, 't': s.target}}) AS target, round(min({hav('o.lat', 's.lat', 'o.lon', 's.lon')}), 5) AS distance FROM obs o JOIN s ON true GROUP BY o.id""")
+def nearest_point_anywhere(spark, sf_dir):
+    """The nearest of stations that are far from most points: no bound on the distance."""
+    stations = spark.range(40).select(F.col("id").alias("target"), (F.col("id") * 0.3 + 25.0).alias("lat"), (F.col("id") * 2.0 - 180).alias("lon"))
+    got = M.nearest_point(obs(spark, sf_dir).select("id", "lat", "lon"), stations)
+    return got.select("id", "target", F.round("distance", 5).alias("distance"))
+
+
+@query(f"""WITH {FIELD_SQL}, {POINTS_SQL}, l AS (SELECT t, y, x, y*32 + x AS label FROM field WHERE v < -0.3e0), b AS (SELECT p.t, p.y, p.x, min((l.y - p.y)**2 + (l.x - p.x)**2) AS d2, arg_min(label, {{'d': (l.y - p.y)**2 + (l.x - p.x)**2, 'k': label}}) AS label FROM (SELECT DISTINCT * FROM pts) p JOIN l ON l.t = p.t GROUP BY ALL)
+ SELECT p.t, p.y, p.x, CAST(label AS INTEGER) AS label, round(sqrt(d2), 9) AS distance FROM pts p LEFT JOIN b USING (t, y, x)""")
+def nearest_area_anywhere(spark, sf_dir):
+    areas = field(spark, sf_dir).where("v < -0.3").select("t", "y", "x", (F.col("y") * 32 + F.col("x")).alias("label"))
+    return M.nearest_area(field_points(spark, sf_dir), areas, shape=SHAPE).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"WITH {OBS_SQL} SELECT DISTINCT y, x FROM obs WHERE type = 1 EXCEPT SELECT y, x FROM obs WHERE type = 2")
+def cells_except(spark, sf_dir):
+    rows = obs(spark, sf_dir)
+    return rows.where("type = 1").select("y", "x").subtract(rows.where("type = 2").select("y", "x"))
+
+
+@query(f"WITH {OBS_SQL} SELECT y, x FROM obs WHERE type = 1 INTERSECT SELECT y, x FROM obs WHERE type = 2")
+def cells_intersect(spark, sf_dir):
+    rows = obs(spark, sf_dir)
+    return rows.where("type = 1").select("y", "x").intersect(rows.where("type = 2").select("y", "x"))
+
+
+@query(f"WITH {OBS_SQL} SELECT tid, k, time, lat, lon FROM obs QUALIFY row_number() OVER (PARTITION BY tid ORDER BY time DESC) = 1")
+def latest_rows(spark, sf_dir):
+    return M.latest_of(obs(spark, sf_dir), ["tid"], "time").select("tid", "k", "time", "lat", "lon")
+
+
+@query(f"WITH {FIELD_SQL} SELECT t, y, x, v FROM field WHERE y BETWEEN 2 AND 29")
+def rows_trimmed(spark, sf_dir):
+    """A field without its outermost rows of latitude."""
+    return M.trim_rows(field(spark, sf_dir), SHAPE[0], 2, 2)
+
+
 @query(f"WITH {OBS_SQL} SELECT tid, time, lat, lon, p_cent FROM obs WHERE tid = 3")
 def storm_extract(spark, sf_dir):
     return M.storm_rows(obs(spark, sf_dir), F.col("tid") == 3, ["tid", "time", "lat", "lon", "p_cent"])

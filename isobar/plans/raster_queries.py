@@ -8,6 +8,7 @@ from isobar.operators import label as L, raster as R, track as T
 from isobar.plans.adapters import FIELD_SQL, SHAPE, field
 from isobar.plans.grid_queries import rounded
 from isobar.plans.registry import query
+from isobar.plans.track_queries import hav
 
 KEYS = ("t", "y", "x")
 
@@ -139,6 +140,43 @@ def regrid_weights(spark, sf_dir):
     return rounded(R.regrid(field(spark, sf_dir), regrid_table(spark)), *KEYS, digits=8)
 
 
+@query(f"""WITH {FIELD_SQL}, p AS (SELECT r, c, 0.4e0 + 1.9e0*r AS py, 0.7e0 + 1.7e0*c AS px FROM range(16) a(r), range(18) b(c))
+ SELECT t, CAST(r AS INTEGER) AS y, CAST(c AS INTEGER) AS x, round(v, 8) AS v FROM p JOIN field f ON f.y = least(greatest(CAST(ceil(py - 0.5e0) AS INTEGER), 0), 31) AND f.x = least(greatest(CAST(ceil(px - 0.5e0) AS INTEGER), 0), 31)""")
+def regrid_nearest(spark, sf_dir):
+    dst = [(r, c, 0.4 + 1.9 * r, 0.7 + 1.7 * c) for r in range(16) for c in range(18)]
+    table = spark.createDataFrame(R.nearest_weights(list(range(32)), list(range(32)), dst), "dst_y int, dst_x int, src_y int, src_x int, w double")
+    return rounded(R.regrid(field(spark, sf_dir), table), *KEYS, digits=8)
+
+
+def latlong_grid(spark):
+    """y, x, lat, lon of the field's cells: rows 0.9 degrees apart from 45 N, columns 1.5 degrees from 20 W."""
+    cells = spark.range(SHAPE[0] * SHAPE[1]).select((F.col("id") / SHAPE[1]).cast("int").alias("y"), (F.col("id") % SHAPE[1]).cast("int").alias("x"))
+    return cells.withColumns({"lat": F.lit(45.0) + F.col("y") * 0.9, "lon": F.lit(-20.0) + F.col("x") * 1.5})
+
+
+def slope_sql(source: str, out: str) -> str:
+    """DuckDB text of the gradient per kilometre of ``source`` (t, y, x, v) on that grid; null next to an edge or a missing value."""
+    lat = lambda y: f"(45e0 + ({y})*0.9e0)"
+    sums = f"{out}_s AS (SELECT t, y - dy AS y, x - dx AS x, sum(v*wy)/8e0 AS sy, sum(v*wx)/8e0 AS sx, count(v) AS n FROM {source}, sb WHERE y - dy BETWEEN 0 AND 31 AND x - dx BETWEEN 0 AND 31 GROUP BY 1, 2, 3)"
+    return f"{sums}, {out} AS (SELECT t, y, x, CASE WHEN n = 9 THEN sy/({hav(lat('y - 1'), lat('y + 1'), '0e0', '0e0')}/2) END AS gy, CASE WHEN n = 9 THEN sx/({hav(lat('y'), lat('y'), '0e0', '3e0')}/2) END AS gx FROM {out}_s)"
+
+
+@query(f"WITH {FIELD_SQL}, {SOBEL_SQL}, {slope_sql('field', 'a')} SELECT t, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(gy, 10) AS gy, round(gx, 10) AS gx, round(sqrt(gy*gy + gx*gx), 10) AS magnitude FROM a")
+def slope_latlong(spark, sf_dir):
+    return rounded(R.slope_latlong(field(spark, sf_dir), latlong_grid(spark), SHAPE), *KEYS, digits=10)
+
+
+@query(f"""WITH {FIELD_SQL}, {SOBEL_SQL}, {slope_sql('field', 'a')}, ax AS (SELECT t, y, x, gx AS v FROM a), ay AS (SELECT t, y, x, gy AS v FROM a), {slope_sql('ax', 'b')}, {slope_sql('ay', 'c')}
+ SELECT t, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(b.gx + c.gy, 12) AS v FROM b JOIN c USING (t, y, x)""")
+def laplacian_latlong(spark, sf_dir):
+    return rounded(R.laplacian_latlong(field(spark, sf_dir), latlong_grid(spark), SHAPE), *KEYS, digits=12)
+
+
+@query("WITH o AS (SELECT dy, dx, sqrt(pow(dy*25e0, 2) + pow(dx*30e0, 2)) AS w FROM range(-8, 9) a(dy), range(-8, 9) b(dx)) SELECT CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, round(w, 9) AS w FROM o WHERE w > 172.5e0 AND w <= 200e0")
+def ring_by_distance(spark, sf_dir):
+    return spark.createDataFrame(R.ring_distance(25.0, 30.0, 200.0), "dy int, dx int, w double").withColumn("w", F.round("w", 9))
+
+
 @query(f"""WITH {FIELD_SQL} SELECT CASE WHEN v >= -0.2e0 AND v < -0.1e0 THEN 1 WHEN v >= -0.1e0 AND v < 0 THEN 2 WHEN v >= 0 AND v < 0.1e0 THEN 3 WHEN v >= 0.1e0 AND v <= 0.2e0 THEN 4 END AS bin, count(*) AS n FROM field GROUP BY 1""")
 def discretise(spark, sf_dir):
     bins = R.discretise(F.col("v"), [-0.2, -0.1, 0.0, 0.1, 0.2])

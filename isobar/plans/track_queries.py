@@ -158,10 +158,15 @@ def compare_tracks(spark, sf_dir):
     return S.compare_tracks(first, second).withColumns({"separation": F.round("separation", 5), "dp": F.round("dp", 5)})
 
 
-@query(f"""WITH {OBS_SQL}, c AS (SELECT k AS t, tid AS id, lat, lon FROM obs WHERE type <> 0), p AS (SELECT a.t, a.id AS id1, b.id AS id2, {hav('a.lat', 'b.lat', 'a.lon', 'b.lon')} AS distance FROM c a JOIN c b ON b.t = a.t + 1)
- SELECT t, id1, id2, round(distance, 5) AS distance, round(distance, 5) AS projected FROM (SELECT *, row_number() OVER (PARTITION BY t, id1 ORDER BY distance, id2) AS r FROM p WHERE distance <= 600) WHERE r = 1""")
+PROJECTED_SQL = """q AS (SELECT k AS t, tid AS id, lat, lon, CASE WHEN tv > 90 THEN 180 - tv WHEN tv < -90 THEN -180 - tv ELSE tv END AS latq, CASE WHEN tu > 180 THEN tu - 360 WHEN tu < -180 THEN tu + 360 ELSE tu END AS lonq
+  FROM (SELECT *, lat + degrees(coalesce(v, 0)*0.75e0*6e0/6371e0) AS tv, lon + coalesce(CASE WHEN s <= 1 THEN degrees(2*asin(sqrt(s))) END, 0) AS tu
+   FROM (SELECT *, pow(sin(coalesce(u, 0)*0.75e0*6e0/6371e0/2), 2)/(cos(radians(lat))*cos(radians(lat))) AS s FROM kin) WHERE type <> 0))"""
+
+
+@query(f"""WITH {KIN_SQL}, {PROJECTED_SQL}, p AS (SELECT a.t, a.id AS id1, b.id AS id2, {hav('a.lat', 'b.lat', 'a.lon', 'b.lon')} AS distance, {hav('a.latq', 'b.lat', 'a.lonq', 'b.lon')} AS projected FROM q a JOIN q b ON b.t = a.t + 1)
+ SELECT t, id1, id2, round(distance, 5) AS distance, round(projected, 5) AS projected FROM (SELECT *, row_number() OVER (PARTITION BY t, id1 ORDER BY projected, id2) AS r, bool_or(distance <= 600 AND projected <= 600) OVER (PARTITION BY t, id1) AS lives FROM p) WHERE r = 1 AND lives""")
 def track_matching_step(spark, sf_dir):
-    centers = obs(spark, sf_dir).where("type <> 0").select(F.col("k").alias("t"), F.col("tid").alias("id"), "lat", "lon")
+    centers = S.kinematics(obs(spark, sf_dir)).where("type <> 0").select(F.col("k").alias("t"), F.col("tid").alias("id"), "lat", "lon", "u", "v")
     return S.match_step(centers, centers, 600.0).withColumns({"distance": F.round("distance", 5), "projected": F.round("projected", 5)})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from isobar.functions.caltime import expanded_year
 
@@ -55,8 +55,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str, heade
     """A delimited table of fixed columns; ``skip`` header lines of each file, rows with a missing value dropped if asked."""
     options = {"header": header and not skip, "sep": delimiter, "mode": "PERMISSIVE", "nanValue": "nan"}
     if skip:
-        lines = spark.read.text(path, wholetext=True)
-        rows = lines.select(F.posexplode(F.split("value", "\r?\n"))).where((F.col("pos") >= skip) & (F.trim("col") != "")).select(F.col("col"))
+        # header lines are in the first split of a file, so only its lines are numbered
+        lines = _lines(spark, path)
+        head = lines.where("block = 0").withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("at"))).where(F.col("line") <= skip).select("file", "at")
+        rows = lines.join(head, ["file", "at"], "left_anti").where(F.trim("value") != "").select(F.col("value").alias("col"))
         parsed = F.from_csv("col", schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter, "nanValue": "nan"})
         table = rows.select(parsed.alias("r")).select("r.*")
     else:
@@ -85,11 +87,16 @@ def read_dumps(spark: SparkSession, pattern: str, met_files: int, now_suffix: in
     """
     if not path_exists(spark, pattern):
         raise FileNotFoundError(f"no file matches {pattern}")
-    whole = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where(F.col("line") >= met_files + 3)
+    number = F.row_number().over(W.partitionBy("file").orderBy("block", "at")) - 1
+    lines = _lines(spark, pattern).select("file", number.cast("int").alias("line"), F.col("value").alias("text")).where(F.col("line") >= met_files + 3)
     return dump_rows(lines.withColumn("seq", F.col("line") - met_files - 3), now_suffix)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): lines of text files, in the order of ``block`` (where the split begins) and ``at`` within a file."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+
+
 def dump_rows(lines: DataFrame, now_suffix: int = 99) -> DataFrame:
     """Parsed lines from (file, seq, text)."""
     piece: dict[str, Column] = {n: F.trim(F.substring("text", a + 1, (b or 400) - a)) for n, a, b in DUMP_COLUMNS}

@@ -17,7 +17,7 @@ def write_months(frame: DataFrame, path: str) -> None:
 def append_months(frame: DataFrame, path: str) -> None:
     """Add months to a cube: before, after, around or inside what is there; written months are replaced.
 
-    Fails if a gap would be left, or if all the months are there already.
+    Fails if a gap would be left, before, after or among the new months, or if all of them are there already.
     """
     spark = frame.sparkSession
     i = F.col("year") * 12 + F.col("month") - 1
@@ -30,6 +30,12 @@ def append_months(frame: DataFrame, path: str) -> None:
             raise ValueError("the cube has all these months already")
         if low > there[1] + 1 or high < there[0] - 1:
             raise ValueError(f"months {low}..{high} leave a gap to {there[0]}..{there[1]}")
+    if n != high - low + 1:
+        # what is missing between the new months has to be there
+        own = frame.select(i.alias("i")).distinct()
+        both = own if there is None else own.unionByName(spark.read.parquet(path).select(i.alias("i")).distinct()).distinct()
+        if both.where(F.col("i").between(low, high)).count() != high - low + 1:
+            raise ValueError(f"months {low}..{high} leave a gap among themselves")
     write_months(frame, path)
 
 
@@ -58,10 +64,31 @@ def write_csv(frame: DataFrame, path: str, rows_per_file: int | None = None, par
     (writer.partitionBy(*partitions) if partitions else writer).csv(path)
 
 
-def write_controls(controls: DataFrame, path: str) -> None:
-    """One text file for each row of (name, text): the files are written by the tasks that hold the rows."""
-    controls.select("name", F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
-
-
 #: Fixed text of the trajectory model's surface file: grid start, spacing, size, land use, roughness, folder.
 ASCDATA = "-90.0   -180.0\n1.0     1.0\n180     360\n2\n0.2\n'../bdyfiles/'\n"
+
+
+def write_controls(controls: DataFrame, path: str, suffix: str = "") -> None:
+    """One file ``name`` + ``suffix`` for each row of (name, text), with a log of the names and the surface file beside them.
+
+    The tasks that hold the rows write the texts; the driver only renames the files, in any store
+    that Spark writes.
+    """
+    spark = controls.sparkSession
+    parts = f"{path.rstrip('/')}/_parts"
+    controls.select("name", F.col("text").alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").text(parts)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = []
+    for status in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{parts}/name=*/part-*")) or []:
+        name = jvm.java.net.URLDecoder.decode(status.getPath().getParent().getName()[len("name=") :], "UTF-8") + suffix
+        target = jvm.org.apache.hadoop.fs.Path(path, name)
+        store.delete(target, False)
+        store.rename(status.getPath(), target)
+        names.append(name)
+    store.delete(folder, True)
+    for name, text in (("ASCDATA.CFG", ASCDATA), ("names.txt", "".join(f"{n}\n" for n in sorted(names)))):
+        out = store.create(jvm.org.apache.hadoop.fs.Path(path, name), True)
+        out.write(bytearray(text.encode()))
+        out.close()

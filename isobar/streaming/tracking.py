@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from isobar.operators.track import OBS_SCHEMA, Settings, Tracker, centers_of
+from isobar.operators.track import EVENT_SCHEMA, OBS_SCHEMA, Settings, Tracker, centers_of
 
 
 class TrackingProcessor(StatefulProcessor):
-    def __init__(self, settings: Settings | None = None) -> None:
-        self.settings = settings or Settings()
+    def __init__(self, settings: Settings | None = None, part: int = 0) -> None:
+        self.settings, self.part = settings or Settings(), part
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -34,7 +34,7 @@ class TrackingProcessor(StatefulProcessor):
             for _, step in held[held["time"] <= until].sort_values(["time", "id"]).groupby("time"):
                 tracker.step(centers_of(step))
             held = held[held["time"] > until]
-        rows, _ = tracker.take()
+        rows = tracker.take()[self.part]
         self.state.update((pickle.dumps((tracker, held)),))
         return rows
 
@@ -71,6 +71,12 @@ def track_stream(centers: DataFrame, delay: str = "12 hours", settings: Settings
     return marked.groupBy("grid").transformWithStateInPandas(TrackingProcessor(settings), OBS_SCHEMA, "Append", "EventTime")
 
 
+def track_event_stream(centers: DataFrame, delay: str = "12 hours", settings: Settings | None = None) -> DataFrame:
+    """Life-cycle events (columns of EVENT_SCHEMA) of the same stream, as a query of its own."""
+    marked = centers.withWatermark("ts", delay)
+    return marked.groupBy("grid").transformWithStateInPandas(TrackingProcessor(settings, 1), EVENT_SCHEMA, "Append", "EventTime")
+
+
 def window_counts(events: DataFrame, delay: str = "1 hour", width: str = "6 hours", slide: str | None = None) -> DataFrame:
     """Life-cycle events per window and kind, with late rows allowed for ``delay``."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)

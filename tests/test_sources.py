@@ -22,6 +22,10 @@ def test_append_months(spark, tmp_path):
         W.append_months(months(spark, [(2002, 1)]), path)
     with pytest.raises(ValueError, match="already"):
         W.append_months(months(spark, [(2000, 12)]), path)
+    with pytest.raises(ValueError, match="among themselves"):
+        W.append_months(months(spark, [(2001, 1), (2001, 5)]), path)
+    with pytest.raises(ValueError, match="among themselves"):
+        W.append_months(months(spark, [(2001, 1), (2001, 5)]), str(tmp_path / "new"))
     assert spark.read.parquet(path).count() == 4
     got = R.read_months(spark, path, (2000, 12), (2001, 1), "variable string")
     assert got.count() == 2
@@ -74,7 +78,9 @@ def test_controls(spark, tmp_path):
     lines = made.first()["text"].split("\n")
     assert lines[0] == "20 01 03 06" and lines[2] == "60.5 10.0 1500" and lines[6] == "2" and "201912" in lines and "202001" in lines
     W.write_controls(made, str(tmp_path / "ctl"))
-    assert spark.read.text(str(tmp_path / "ctl")).where("name = 'c1'").count() >= 1
+    assert (tmp_path / "ctl" / "c1").read_text() == made.first()["text"] + "\n"
+    assert (tmp_path / "ctl" / "names.txt").read_text() == "c1\n" and (tmp_path / "ctl" / "ASCDATA.CFG").read_text() == W.ASCDATA
+    assert not (tmp_path / "ctl" / "_parts").exists()
     assert J.level_pressure(1500) == 850
     with pytest.raises(ValueError):
         J.level_pressure(1)
