@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Words, stored, table, text_blocks
+from .shared import Words, stored, table, text_blocks, tidy
 
 #: Words compiled into the automaton at most, and bytes of the longest.
 LEXICON_WORDS = 100_000
@@ -320,7 +320,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         rows = 0
 
         def merged() -> pa.Table:
-            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for whole in batches:
             for batch in text_blocks(whole):
@@ -337,7 +337,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield from merged().to_batches()
 
-    return docs.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(counted), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
@@ -379,7 +379,7 @@ def encode(docs: DataFrame, path: str, lexicon: bytes | None = None, decoded: bo
                 more = [_decoder(path)(out)] if decoded else []
                 yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary()), *more], [*batch.schema.names, *added])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 @functools.lru_cache(1)
@@ -427,7 +427,7 @@ def decode(frame: DataFrame, path: str) -> DataFrame:
             for batch in [whole.slice(i, 256) for i in range(0, whole.num_rows, 256)]:
                 yield pa.RecordBatch.from_arrays([*batch.columns, _decoder(path)(batch.column("ids"))], [*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, f"{kept._jdf.schema().toDDL()}, decoded string")
+    return kept.mapInArrow(tidy(run), f"{kept._jdf.schema().toDDL()}, decoded string")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, durable, mix64, stored, string_hashes, table, text_blocks
+from .shared import Words, durable, mix64, stored, string_hashes, table, text_blocks, tidy
 
 #: Coordinates of a point, sets of an R-tree leaf and nodes of an inner node, and sets that walk the tree together.
 AXES, LEAF, FAN, WALK = 32, 8, 8, 64
@@ -164,7 +164,7 @@ def sketches(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(starts)), *map(pa.array, prints), lists], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -344,7 +344,7 @@ def _verify(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
         if rows:
             yield solved(rows)
 
-    return members.repartition("task").sortWithinPartitions("task").select("task", "known", "doc_id", "text").mapInArrow(run, "a bigint, b bigint")
+    return members.repartition("task").sortWithinPartitions("task").select("task", "known", "doc_id", "text").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _with_texts(places: DataFrame, texts: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import Words, fitted, mix64, sigmoid, table, text_blocks
+from .shared import Words, fitted, mix64, sigmoid, table, text_blocks, tidy
 
 #: Labelled documents that the fit uses at most, and lines of a training chain (longer documents are several chains).
 SAMPLE, CHAIN = 2000, 150
@@ -282,7 +282,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, field: Field | None = None,
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[good], pa.int32())))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def op6_crf_line_rules(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import pickle
 import tempfile
 import uuid
@@ -97,6 +100,28 @@ def text_blocks(batch: pa.RecordBatch, most: int = 3_000_000, text: str = "text"
         at = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and what they keep adds to the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over a task's batches that gives memory back when it begins and ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -139,7 +164,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
 
     # at most ``most`` pairs of numbers are broadcast
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picks), "doc_id")
-    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    row = sample.repartition(1).mapInArrow(tidy(run), "model binary").first()
     # a plan known to be empty has no task
     return pickle.loads(row["model"]) if row else fit([], np.zeros(0, np.int64))
 
@@ -159,7 +184,7 @@ def with_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], name:
                 score = pa.array(np.asarray(scorer(batch.column(text)), np.float64))
                 yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
 
-    return kept.mapInArrow(run, f"{kept._jdf.schema().toDDL()}, `{name}` double")
+    return kept.mapInArrow(tidy(run), f"{kept._jdf.schema().toDDL()}, `{name}` double")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, fitted, is_held, logistic_fit, mix64, sigmoid, string_hashes, table, with_score
+from .shared import Words, fitted, give_back, is_held, logistic_fit, mix64, sigmoid, string_hashes, table, with_score
 
 #: Labelled documents that the fit uses at most.
 SAMPLE = 6000
@@ -458,8 +458,11 @@ def train(texts: list[str], y: np.ndarray, share: float, epochs: int = 8, seed:
     stats, letters = np.vstack([parts[0][1], parts[1][1]]), np.vstack([parts[0][2], parts[1][2]])
     bags = np.concatenate([parts[0][3], np.where(parts[1][3] >= 0, parts[1][3] + shift, -1)])
     order = np.concatenate([parts[0][0], parts[1][0]])
+    del parts
+    give_back()
     rounds = max(epochs, min(EPOCHS, PASSES // len(y)))
     fit(weights, stats, letters, bags, y[order], rounds, rng)
+    del stats, letters, bags
     net = Network(weights, Inputs(*class_odds(tuple(a + b for a, b in zip(*tallies, strict=True)), now)), np.zeros(3))
     # the curve: documents under the other half's statistics, weighted to the true share by its intercept
     logits, number = np.zeros(len(y)), np.zeros(len(y))
@@ -490,7 +493,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
     stays empty; other columns pass through, one of that name is replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, label, folds, held, sample))
-    return with_score(docs, lambda batch: model.value.score(batch), name, block=6_000_000)
+    return with_score(docs, lambda batch: model.value.score(batch), name, block=4_000_000)
 
 
 def op5_bigru_toxicity(spark, sf_dir: str) -> DataFrame:
