@@ -10,6 +10,7 @@ from .pii import op4_feistel_pseudonyms
 from .preference import OP8_SQL, op8_preference_pairs
 from .quality import op2_nbsvm_quality
 from .sharding import op10_rendezvous_sharding
+from .spelling import op11_wavelet_spelling
 from .topk import OP7_SQL, op7_maxscore_top20
 from .toxicity import op5_bigru_toxicity
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_preference_pairs": op8_preference_pairs,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "op11_wavelet_spelling": op11_wavelet_spelling,
 }
 
 ORACLE_SQL = {

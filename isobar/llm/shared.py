@@ -89,6 +89,15 @@ class Words:
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
+def masked(texts: pa.Array, mask: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """The texts with each byte replaced by ``mask(bytes)``, a same-sized array that leaves UTF-8 valid; null texts are empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(np.ascontiguousarray(mask(held))))
+
+
 def text_blocks(batch: pa.RecordBatch, most: int = 3_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text; a single longer text is a slice of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
