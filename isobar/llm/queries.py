@@ -13,6 +13,7 @@ from .sharding import op10_rendezvous_sharding
 from .spelling import op11_wavelet_spelling
 from .topk import OP7_SQL, op7_maxscore_top20
 from .toxicity import op5_bigru_toxicity
+from .warc import OP13_SQL, op13_chunked_warc
 
 QUERIES = {
     "op1_weighted_fair_mix": op1_weighted_fair_mix,
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
     "op11_wavelet_spelling": op11_wavelet_spelling,
+    "op13_chunked_warc": op13_chunked_warc,
 }
 
 ORACLE_SQL = {
     "op1_weighted_fair_mix": OP1_SQL,
     "op7_maxscore_top20": OP7_SQL,
     "op8_preference_pairs": OP8_SQL,
+    "op13_chunked_warc": OP13_SQL,
 }

@@ -52,10 +52,10 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def stored(frame: DataFrame) -> DataFrame:
+def stored(frame: DataFrame, compression: str = "snappy") -> DataFrame:
     """As :func:`durable`, but as a compressed columnar table, for wide or array columns."""
     path = f"{shared_dir(frame.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", compression).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
