@@ -9,6 +9,7 @@ from .mixing import OP1_SQL, op1_weighted_fair_mix
 from .pii import op4_feistel_pseudonyms
 from .preference import OP8_SQL, op8_preference_pairs
 from .quality import op2_nbsvm_quality
+from .ranked import OP12_SQL, op12_tiered_search
 from .sharding import op10_rendezvous_sharding
 from .spelling import op11_wavelet_spelling
 from .topk import OP7_SQL, op7_maxscore_top20
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
     "op11_wavelet_spelling": op11_wavelet_spelling,
+    "op12_tiered_search": op12_tiered_search,
     "op13_chunked_warc": op13_chunked_warc,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op1_weighted_fair_mix": OP1_SQL,
     "op7_maxscore_top20": OP7_SQL,
     "op8_preference_pairs": OP8_SQL,
+    "op12_tiered_search": OP12_SQL,
     "op13_chunked_warc": OP13_SQL,
 }
