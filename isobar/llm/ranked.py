@@ -269,7 +269,7 @@ def _over_shards(postings: DataFrame, asked: DataFrame, shards: int, kind: str,
 
 
 def _left(cut: int, top: str = "top") -> str:
-    """SQL of the most impact below a tier."""
+    """SQL of the most impact below a tier; places in the array count from 0."""
     return f"CASE WHEN cuts[{cut}] = 0 THEN 0 ELSE least({top}, cuts[{cut}] - 1) END"
 
 
@@ -300,7 +300,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, item: str = "i
     proven: DataFrame | None = None
     pending = state
     for tier in range(len(tiers) + 1):
-        left = f"weight * ({_left(tier + 1)})" if tier < len(tiers) else "0L"
+        left = f"weight * ({_left(tier)})" if tier < len(tiers) else "0L"
         now = pending.select("row", "term", "weight", F.expr(left).cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("floor"))
         sure = _over_shards(postings.where(F.col("tier") <= tier), now, shards, "sure", k, sets)
         kth = sure.withColumn("at", F.row_number().over(W.partitionBy("row").orderBy(F.desc("score")))).where(F.col("at") <= k).groupBy("row").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n"))
@@ -319,7 +319,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, item: str = "i
         here = proven.where(F.col("tier") == tier)
         if here.isEmpty():
             continue
-        left = f"weight * ({_left(tier + 1)})" if tier < len(tiers) else "0L"
+        left = f"weight * ({_left(tier)})" if tier < len(tiers) else "0L"
         now = state.join(here, "row").select("row", "term", "weight", F.expr(left).cast("bigint").alias("left"), "floor")
         opened = stored(_over_shards(postings.where(F.col("tier") <= tier), now, shards, "open", k, sets))
         found = _completed(postings.where(F.col("tier") > tier), opened, index, k)

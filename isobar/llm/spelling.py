@@ -8,9 +8,9 @@ of a rectangle; words of equal length have one structure, so that a rectangle ho
 
 The vocabulary is cut for this: words are near within a class (length l, and l + 1 for insertions) and
 a window of edit positions, outside of which they agree.  A class starts with two windows, the halves,
-so each word is in four groups; a group of more than GROUP words is cut again at the middle of its
-window, down to single positions, where a group has at most one word for each letter.  Nothing is left
-out, and no group or structure grows with the corpus.
+so each word is in four groups; a group of more than GROUP words is cut again, by the kind of edit and at
+the middle of its window, down to single positions, where a group has at most one word for each letter.
+Nothing is left out, and no group or structure grows with the corpus.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .shared import Words, durable, masked, stored, table, text_blocks, tidy
 
 #: Words of a group that is not cut further, and rows of a task on average.
 GROUP, TASK_ROWS = 2_000, 150_000
+#: Which edits a group is for: both kinds, replaced characters, inserted ones.
+BOTH, REPLACED, INSERTED = 0, 1, 2
 #: One in so many runs of letters loses a character.
 ONE_IN = 199
 #: Runs of up to so many bytes have their checksums combined by tables; longer ones are read.
@@ -154,7 +156,7 @@ class _Order:
         return low, np.searchsorted(self.keys, self._keys(segment, chars), "right")
 
 
-def near_pairs(size: int, group: np.ndarray, longer: np.ndarray, low: np.ndarray, high: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(size: int, group: np.ndarray, longer: np.ndarray, edit: np.ndarray, low: np.ndarray, high: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows (a, b), both ways, of words of one group one edit apart within the window [low, high).
 
     Words have ``size`` characters, ``longer`` ones one more, each a byte.  An inserted character that
@@ -173,12 +175,13 @@ def near_pairs(size: int, group: np.ndarray, longer: np.ndarray, low: np.ndarray
         rows = base[(low[base] <= p) & (p < high[base])]
         for inserted in (0, 1):
             behind = size - p - (1 - inserted)
-            if behind < 0 or not len(rows):
+            asked = rows[edit[rows] != (REPLACED if inserted else INSERTED)]
+            if behind < 0 or not len(asked):
                 continue
-            a, b = forward.interval(segment[rows] + inserted, rows, p)
+            a, b = forward.interval(segment[asked] + inserted, asked, p)
             least = 1 if inserted else 2  # a replaced word finds itself
             some = b - a >= least
-            asked, a, b = rows[some], a[some], b[some]
+            asked, a, b = asked[some], a[some], b[some]
             c, d = reverse.interval(segment[asked] + inserted, asked, behind)
             some = d - c >= least
             asked, a, b, c, d = asked[some], a[some], b[some], c[some], d[some]
@@ -194,31 +197,37 @@ def near_pairs(size: int, group: np.ndarray, longer: np.ndarray, low: np.ndarray
     return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
 
 
-def _group_key(word: Column, size: Column, low: Column, high: Column) -> Column:
-    """Of class, window, and the characters outside of it."""
-    behind = F.greatest(size - high, F.lit(0))
-    return F.xxhash64(size, low, high, F.substring(word, F.lit(1), low), F.substring(word, F.length(word) - behind + 1, behind))
+def _group_key(word: Column, size: Column, edit: Column, low: Column, high: Column) -> Column:
+    """Of class, kind, window, and the characters outside of it; behind an insertion one more is shared."""
+    behind = F.greatest(size - high + F.when(edit == INSERTED, 1).otherwise(0), F.lit(0))
+    return F.xxhash64(size, edit, low, high, F.substring(word, F.lit(1), low), F.substring(word, F.length(word) - behind + 1, behind))
 
 
 def grouped(words: DataFrame, least_size: int, most: int) -> DataFrame:
-    """word, n, size, longer, low, high, key: each word in the groups in which it can have near words."""
+    """word, n, size, longer, edit, low, high, key: each word in the groups in which it can have near words."""
+    columns = ["word", "n", "size", "longer", "edit", "low", "high"]
     length = F.length("word")
     classes = F.array(F.struct(length.alias("size"), F.lit(False).alias("longer")), F.struct((length - 1).alias("size"), F.lit(True).alias("longer")))
-    rows = words.select("word", "n", F.explode(classes).alias("c")).select("word", "n", "c.size", "c.longer").where(F.col("size") >= least_size)
-    middle = F.floor((F.col("size") + 1) / 2).cast("int")
-    halves = lambda low, middle, high: F.explode(F.array(F.struct(low.alias("low"), middle.alias("high")), F.struct(middle.alias("low"), high.alias("high"))))
-    rows = rows.withColumn("w", halves(F.lit(0), middle, F.col("size") + 1)).select("word", "n", "size", "longer", "w.low", "w.high")
+    rows = words.select("word", "n", F.explode(classes).alias("c")).select("word", "n", "c.size", "c.longer", F.lit(BOTH).alias("edit"), F.lit(0).alias("low"), (F.col("c.size") + 1).alias("high"))
+
+    def halved(rows: DataFrame, edits: Column) -> DataFrame:
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        window = F.explode(F.array(F.struct(F.col("low"), middle.alias("high")), F.struct(middle.alias("low"), F.col("high"))))
+        cut = rows.withColumn("edit", F.explode(edits)).withColumn("w", window).where("w.low < w.high")
+        return cut.select("word", "n", "size", "longer", "edit", "w.low", "w.high").where(f"NOT (longer AND edit = {REPLACED})").select(columns)
+
+    rows = halved(rows.where(F.col("size") >= least_size), F.array("edit"))
     done = None
     while True:
-        rows = rows.withColumn("key", _group_key(F.col("word"), F.col("size"), F.col("low"), F.col("high")))
+        rows = rows.withColumn("key", _group_key(F.col("word"), F.col("size"), F.col("edit"), F.col("low"), F.col("high")))
         # at most one key for ``most`` rows
-        large = durable(rows.where("high - low > 1").groupBy("key").count().where(F.col("count") > most).select("key"))
+        large = durable(rows.where(f"high - low > 1 OR edit = {BOTH}").groupBy("key").count().where(F.col("count") > most).select("key"))
         if large.isEmpty():
             return rows if done is None else done.unionByName(rows)
         keep = rows.join(large, "key", "left_anti")
         done = keep if done is None else done.unionByName(keep)
-        cut = halves(F.col("low"), F.floor((F.col("low") + F.col("high")) / 2).cast("int"), F.col("high"))
-        rows = stored(rows.join(large, "key", "left_semi").withColumn("w", cut).select("word", "n", "size", "longer", "w.low", "w.high"))
+        kinds = F.when(F.col("edit") == BOTH, F.array(F.lit(REPLACED), F.lit(INSERTED))).otherwise(F.array("edit"))
+        rows = stored(halved(rows.join(large, "key", "left_semi"), kinds))
 
 
 def near_words(words: DataFrame, least_size: int = 1, most: int = GROUP) -> DataFrame:
@@ -234,9 +243,9 @@ def near_words(words: DataFrame, least_size: int = 1, most: int = GROUP) -> Data
     def search(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         found = pa.Table.from_batches(held)
         spelled = [w.encode("latin-1") for w in found.column("word").to_pylist()]
-        n, longer, low, high = (found.column(c).to_numpy() for c in ("n", "longer", "low", "high"))
+        n, longer, edit, low, high = (found.column(c).to_numpy() for c in ("n", "longer", "edit", "low", "high"))
         group = np.unique(found.column("key").to_numpy(), return_inverse=True)[1]
-        one, other = near_pairs(found.column("size")[0].as_py(), group, longer, low, high, spelled)
+        one, other = near_pairs(found.column("size")[0].as_py(), group, longer, edit, low, high, spelled)
         rank = np.empty(len(spelled), np.int64)
         rank[np.argsort(np.array(spelled), kind="stable")] = np.arange(len(spelled))
         order = np.lexsort((rank[other], -n[other], one))
