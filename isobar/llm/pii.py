@@ -30,14 +30,18 @@ CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 DATE_RADIX = (17, 4297)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_LOCAL, _HOST = r"[\p{L}\p{N}._%+-]", r"@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
+#: E-mail names and secrets of any length are taken in pieces of 512 characters, each with a pseudonym: \\G goes on where a full piece ended.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": rf"(?:(?<!{_LOCAL})|\G(?<={_LOCAL}{{512}}))(?={_LOCAL}++{_HOST}){_LOCAL}{{1,512}}+(?:{_HOST})?",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])|(?<![0-9A-Za-z+])\+(?=(?:[ .-]?[0-9]){8,15}(?![0-9]|[ .-][0-9]))[0-9]{1,3}(?:[ .-][0-9]{1,12}){1,14}(?![0-9]|[ .-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){4}[0-9]{1,3}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z+/.:])(?=[A-Za-z0-9]{0,40}[+/])(?=[A-Za-z+/]{0,511}[0-9])(?=[a-z0-9+/]{0,511}[A-Z])(?=[A-Z0-9+/]{0,511}[a-z])[0-9A-Za-z+/]{40,512}+={0,2}(?![0-9A-Za-z+/=])|(?<![0-9A-Za-z])(?=[A-Za-z]{0,511}[0-9])(?=[0-9]{0,511}[A-Za-z])[0-9A-Za-z]{24,512}+(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z+/.:])(?=[A-Za-z0-9]*+[+/])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])(?=[0-9A-Za-z+/]{40,}+={0,2}(?![0-9A-Za-z+/=]))[0-9A-Za-z+/]{1,512}+"
+    r"|(?<![0-9A-Za-z])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])(?=[0-9A-Za-z]{24,}+(?![0-9A-Za-z]))[0-9A-Za-z]{1,512}+"
+    r"|\G(?<=[0-9A-Za-z+/]{512})[0-9A-Za-z+/]{1,512}+",
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = tuple(PATTERNS)

@@ -244,7 +244,9 @@ def test_pseudonyms_of_long_secrets_and_cards_of_19(spark):
     cases = [f"key {long} end", f"key={base} end", f"card {' '.join(card[i : i + 4] for i in range(0, 19, 4))}.", "http://example.com/a/path/of/Many/Parts/with/Some/letters/1/2", "a" * 100_000 + " " + "b1" * 300, "c2" * 256]
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(cases)], "doc_id int, text string, __text string, __done string")
     made = pii.pseudonymise(frame, "k", counts=True).orderBy("doc_id").collect()
-    assert [(r["n_secret"], r["n_card"]) for r in made] == [(1, 0), (1, 0), (0, 1), (0, 0), (0, 0), (1, 0)]
+    assert [(r["n_secret"], r["n_card"]) for r in made] == [(1, 0), (1, 0), (0, 1), (0, 0), (2, 0), (1, 0)]
+    whole = made[4]["text"].removeprefix("a" * 100_000 + " ")
+    assert len(whole) == 600 and sum(a != b for a, b in zip(whole, "b1" * 300, strict=True)) > 450
     assert all(r["__text"] == "x" and r["__done"] == "y" for r in made)
     for k in (0, 1, 2):
         assert made[k]["text"] != cases[k] and len(made[k]["text"]) == len(cases[k])
@@ -254,6 +256,20 @@ def test_pseudonyms_of_long_secrets_and_cards_of_19(spark):
     assert [r["text"] for r in back.collect()] == cases
 
 
+def test_pseudonyms_of_long_mail_names(spark):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abcdefghij.XYZ019") for _ in range(n)) for n in (70, 512, 513, 1_500, 20_000)]
+    cases = [f"to {n}@mail.example.org, {n}" for n in names] + ["x" * 2_000 + " @", "y" * 600 + "@nohost"]
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    made = [r["text"] for r in pii.pseudonymise(frame, "k").orderBy("doc_id").collect()]
+    for name, text, case in zip(names, made, cases, strict=False):
+        assert len(text) == len(case) and text[3 + len(name) :].startswith("@mail.example.org, ")
+        assert sum(a != b for a, b in zip(text[3 : 3 + len(name)], name, strict=True)) > 0.6 * len(name)
+    assert made[5:] == cases[5:]
+    back = pii.pseudonymise(spark.createDataFrame(list(enumerate(made)), "doc_id int, text string"), "k", reverse=True).orderBy("doc_id")
+    assert [r["text"] for r in back.collect()] == cases
+
+
 def test_pseudonyms_by_an_independent_feistel(spark):
     import hmac
 
