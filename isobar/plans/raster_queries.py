@@ -208,14 +208,6 @@ def contour_areas(spark, sf_dir):
     return typed_centers(spark, sf_dir)
 
 
-@query()
-def precip_attribution(spark, sf_dir):
-    f, centers = pressure(spark, sf_dir), typed_centers(spark, sf_dir)
-    areas = L.area_cells(f, centers, SHAPE)
-    rain = field(spark, sf_dir).select("t", "y", "x", F.greatest(F.col("v"), F.lit(0.0)).alias("large"), F.abs("v").alias("total"))
-    return L.attribute_precipitation(rain, areas, centers.where("type = 1"), SHAPE, 0.05, 2.5)
-
-
 def tracked(spark, sf_dir):
     steps = typed_centers(spark, sf_dir).withColumns({"time": F.col("t") * 0.25, "grid": F.lit("0")})
     return T.track(steps, T.Settings(reach=700_000.0))

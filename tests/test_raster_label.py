@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from isobar.operators import label as L, raster as R
+from isobar.operators import label as L, precip as P, raster as R
 
 SHAPE = (9, 11)
 
@@ -165,68 +165,108 @@ def test_areas_of_two_lows_in_one_basin():
 
 def test_precipitation_goes_to_the_nearest_area(spark):
     shape = (5, 9)
+    grid = spark.createDataFrame([(y, x, float(y), float(x), 1.0, 1.0) for y in range(5) for x in range(9)], "y int, x int, lat double, lon double, y_size double, x_size double")
     areas = spark.createDataFrame([(0, 2, 1, 1), (0, 2, 7, 7)], "t bigint, y int, x int, area_id int")
-    centers = spark.createDataFrame([(0, 0, 2, 1), (0, 1, 2, 7)], "t bigint, id int, y int, x int")
-    rain = spark.createDataFrame([(0, 2, x, 1.0, 2.0) for x in range(9)] + [(0, 0, 4, 1.0, 5.0), (0, 4, 0, None, 3.0)], "t bigint, y int, x int, large double, total double")
-    got = L.attribute_precipitation(rain, areas, centers, shape, 0.5, 1.0).collect()
-    assert {(r["x"], r["id"]) for r in got if r["y"] == 2} == {(x, 0) for x in range(5)} | {(x, 1) for x in range(5, 9)}
-    assert len(got) == 9
-
-
-def test_closed_areas_contour_by_contour():
-    """The rule read literally: each contour's area is a component of the cells below it, one contour after the other."""
-    import pandas as pd
-
-    from isobar.operators import label as L
-
-    def areas(field, centers, interval, ratio, reach, maxima):
-        n = len(centers)
-        left = dict.fromkeys(range(n), (0, None, 0, None))
-        cell = list(zip(centers["y"], centers["x"], strict=True))
-        for me in sorted(range(n), key=lambda i: (centers["p_cent"][i], i)):
-            if left[me][0]:
-                continue
-            near = {i for i in range(n) if i != me and not left[i][0] and L._distance(centers["lat"][me], centers["lat"][i], centers["lon"][me], centers["lon"][i]) <= reach}
-            rise, level = [], centers["p_cent"][me]
-            while level < np.nanmax(field):
-                level += interval
-                labels = L.label_grid(np.nan_to_num(field, nan=np.inf) < level)
-                area = labels == labels[cell[me]]
-                inside = {i for i in range(n) if i != me and area[cell[i]]}
-                rise.append((level, inside, int(area.sum())))
-                if (area & maxima).any() or inside - near:
-                    break
-            inside = rise[-1][1] if rise else set()
-            kept, mates = rise[:-1], set()
-            if near and len(rise) > 1 and (len(inside) > 1 or inside & near):
-                while kept and kept[-1][1]:
-                    late = min(kept[-1][1], key=lambda i: (sum(i in r[1] for r in kept), i))
-                    at = min(k for k, r in enumerate(kept) if late in r[1])
-                    if at < ratio * len(kept):
-                        mates = kept[-1][1]
-                        break
-                    kept = kept[:at]
-            count = len(kept) if rise else -1
-            size = max(kept[-1][2] if kept else 0, 1)
-            for i in {me} | mates:
-                left[i] = (1 if i == me else 2, centers["p_cent"][me] + count * interval, size, me)
-        return left
-
+    centers = spark.createDataFrame([(0, 0, 2, 1, 1, 0), (0, 1, 2, 7, 1, 1), (0, 2, 0, 0, 2, 1), (0, 3, 4, 8, 1, 3)], "t bigint, id int, y int, x int, type int, parent int")
+    rain = spark.createDataFrame([(0, 2, x, 1.0, 2.0) for x in range(9)] + [(0, 0, 4, 1.0, 5.0), (0, 4, 0, None, 3.0), (0, 0, 0, 0.6, float("nan"))], "t bigint, y int, x int, large double, total double")
+    given = P.attribute(rain, areas, centers, grid, shape, 0.5, 1.0)
+    got = {(r["y"], r["x"]): r["id"] for r in given.collect()}
+    # the middle is as far from both; the secondary's disk meets the corner; nothing meets (0, 4), nor what has no large rain
+    assert got == {(2, x): int(x > 4) for x in range(9)} | {(0, 0): 1}
+    plain = {r["id"]: (r["precip"], r["precip_area"]) for r in P.totals(given, centers).collect()}
+    assert plain == {0: (10.0, 5), 1: (8.0, 5), 2: (0.0, 0), 3: (0.0, 0)}
+    assert {r["id"]: r["precip"] for r in P.totals(given, centers, handed_on=True).collect()}[2] == 8.0
+
+
+def test_disks_follow_the_cell_size_of_their_centre(spark):
+    grid = spark.createDataFrame([(y, x, 0.0, 0.0, 10.0, 10.0 / (1 + y)) for y in range(9) for x in range(9)], "y int, x int, lat double, lon double, y_size double, x_size double")
+    centers = spark.createDataFrame([(0, 0, 0, 4), (0, 1, 1, 4), (0, 2, 8, 0)], "t bigint, id int, y int, x int")
+    got = P.disks(centers, grid, 10.0, (9, 9)).collect()
+    cells = {i: {(r["y"], r["x"]) for r in got if r["id"] == i} for i in range(3)}
+    assert cells[0] == {(0, 3), (0, 4), (0, 5), (1, 4)}
+    assert cells[1] == {(1, x) for x in range(2, 7)} | {(0, 4), (2, 4)}
+    assert cells[2] == {(8, x) for x in range(9)} | {(7, 0)}
+
+
+@pytest.mark.parametrize("sphere", [False, True])
+def test_nearest_owner_by_brute_force(sphere):
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (50, 300), (700, 90), (400, 1000)):
+        if sphere:
+            seats, points = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(m, 3)), rng.normal(size=(n, 3))))
+        else:
+            seats, points = rng.integers(0, 25, (m, 2)).astype(float), rng.integers(0, 25, (n, 2)).astype(float)
+        owner = rng.integers(0, 9, m)
+        away = P._told(np.sqrt(((points[:, None] - seats[None]) ** 2).sum(2)), sphere)
+        want = [owner[away[i] == away[i].min()].min() for i in range(n)]
+        assert P.nearest_owner(points, seats, owner, sphere).tolist() == want
+
+
+def _field(seed):
+    rng = np.random.default_rng(seed)
+    field = rng.normal(size=(14, 14))
+    for _ in range(2):
+        field = (field + np.roll(field, 1, 0) + np.roll(field, -1, 0) + np.roll(field, 1, 1) + np.roll(field, -1, 1)) / 5
+    field = np.round(field / np.abs(field).max() * 2000 + 100000, 1)
+    around = np.stack([np.pad(field, 1, constant_values=np.nan)[1 + a : 15 + a, 1 + b : 15 + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    y, x = np.nonzero(field < np.nanmin(around, 0))
+    maxima = (field > np.nanmax(around, 0)) & (seed % 4 > 0)
+    return field, maxima, pd.DataFrame({"id": range(len(y)), "y": y, "x": x, "lat": 45 + y * 0.9, "lon": -20 + x * 1.5, "p_cent": field[y, x]})
+
+
+def test_closed_areas_are_the_highest_admissible_edges():
+    """What defines an edge, looked up for all contours at once.
+
+    Contour k holds the cells around the centre that are connected below p + k * interval.  An edge is
+    the last contour before the rise is over or the last before a centre comes in, and it is admissible if no centre
+    is in it or the latest one came in after less than ``ratio`` of its contours.  The highest admissible edge counts.
+    """
+    interval, ratio, reach = 150.0, 0.6, 900e3
     seen = set()
     for seed in range(60):
-        rng = np.random.default_rng(seed)
-        field = rng.normal(size=(14, 14))
-        for _ in range(2):
-            field = (field + np.roll(field, 1, 0) + np.roll(field, -1, 0) + np.roll(field, 1, 1) + np.roll(field, -1, 1)) / 5
-        field = np.round(field / np.abs(field).max() * 2000 + 100000, 1)
-        around = np.stack([np.pad(field, 1, constant_values=np.nan)[1 + a : 15 + a, 1 + b : 15 + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-        y, x = np.nonzero(field < np.nanmin(around, 0))
-        maxima = (field > np.nanmax(around, 0)) & (seed % 4 > 0)
-        centers = pd.DataFrame({"id": range(len(y)), "y": y, "x": x, "lat": 45 + y * 0.9, "lon": -20 + x * 1.5, "p_cent": field[y, x]})
-        got, _ = L.closed_areas(field, centers, 150.0, 0.6, 900e3, maxima)
-        want = areas(field, centers, 150.0, 0.6, 900e3, maxima)
-        for r in got.itertuples():
-            assert (r.type, r.area, r.parent) == (want[r.id][0], want[r.id][2], want[r.id][3])
-            assert r.p_edge == pytest.approx(want[r.id][1])
-            seen.add(r.type)
+        field, maxima, centers = _field(seed)
+        got, _ = L.closed_areas(field, centers, interval, ratio, reach, maxima)
+        n = len(centers)
+        order = sorted(range(n), key=lambda i: (centers["p_cent"][i], i))
+        for place, me in enumerate(order):
+            row = got.iloc[me]
+            seen.add(int(row["type"]))
+            if row["parent"] != me:
+                assert row["type"] == 2 and got.iloc[row["parent"]]["type"] == 1 and row["p_edge"] == got.iloc[row["parent"]]["p_edge"]
+                continue
+            free = {i for i in range(n) if i != me and order.index(got.iloc[i]["parent"]) >= place}
+            near = {i for i in free if L._distance(centers["lat"][me], centers["lat"][i], centers["lon"][me], centers["lon"][i]) <= reach}
+            top = math.ceil((field.max() - centers["p_cent"][me]) / interval)
+            contours = [L.label_grid(field < centers["p_cent"][me] + k * interval) for k in range(top + 1)]
+            inside = [(c == c[centers["y"][me], centers["x"][me]]) & (c > 0) for c in contours]
+            held = [{i for i in range(n) if i != me and a[centers["y"][i], centers["x"][i]]} for a in inside]
+            over = next((k for k in range(1, top + 1) if (inside[k] & maxima).any() or held[k] - near), top)
+            came = {i: min(k for k in range(over + 1) if i in held[k]) for i in held[over]} if top else {}
+            edges = {over - 1} | {k - 1 for k in came.values()}
+            fit = [e for e in edges if not held[max(e, 0)] or max(came[i] for i in held[e]) - 1 < ratio * e]
+            system = near and over > 1 and (len(held[over]) > 1 or held[over] & near)
+            edge = max(fit) if system else over - 1
+            assert row["p_edge"] == pytest.approx(centers["p_cent"][me] + edge * interval)
+            assert set(got.index[got["parent"] == me]) == {me} | (held[max(edge, 0)] if system else set())
+            assert row["area"] == max(int(inside[max(edge, 0)].sum()), 1)
     assert seen == {1, 2}
+
+
+def test_closed_areas_worked_by_hand():
+    """Two hollows in a basin: 0 and 10 with a saddle at 45, walls of 100; contours every 10."""
+    row = [100, 40, 0, 30, 45, 30, 10, 40, 100]
+    field = np.array([[100.0] * 9, [float(v) for v in row], [100.0] * 9])
+    centers = pd.DataFrame({"id": [0, 1], "y": [1, 1], "x": [2, 6], "lat": [0.0, 0.0], "lon": [2.0, 6.0], "p_cent": [0.0, 10.0]})
+    none = np.zeros(field.shape, bool)
+    # contour 5 (50) takes the second hollow in, the rise ends with 10 (100): 4 of 9 contours lie below it
+    for ratio, edge, mates, area in ((0.5, 90.0, [0, 0], 7), (0.4, 40.0, [0, 1], 2)):
+        got, _ = L.closed_areas(field, centers, 10.0, ratio, 1e9, none)
+        assert (got["p_edge"][0], got["parent"].tolist(), got["area"][0]) == (edge, mates, area)
+    # out of reach it ends the rise, and each has its own hollow: below 40 are two cells, the hill between not
+    got, _ = L.closed_areas(field, centers, 10.0, 0.5, 1.0, none)
+    assert got["parent"].tolist() == [0, 1] and got["p_edge"].tolist() == [40.0, 40.0] and got["area"].tolist() == [2, 2]
+    # a maximum at the saddle does so as well
+    hill = none.copy()
+    hill[1, 4] = True
+    got, _ = L.closed_areas(field, centers, 10.0, 0.5, 1e9, hill)
+    assert got["p_edge"].tolist() == [40.0, 40.0] and got["type"].tolist() == [1, 1]
