@@ -17,6 +17,8 @@ from dataclasses import dataclass, field as of
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from isobar.sources.shared import written
+
 GE, LY, SP, MG, RG = "ge", "ly", "sp", "mg", "rg"
 #: Event types: of the centre, of the area, of both.
 CENTER, AREA, BOTH = 1, 2, 3
@@ -88,7 +90,9 @@ class Tracker:
         self.rows: dict[int, Row] = {}
         self.last: dict[int, Row] = {}
         self.parents: dict[int, int | None] = {}
-        self.next = 0
+        #: Time and place among the births of its step, of tracks that are open or somebody's parent.
+        self.born: dict[int, tuple[float, int]] = {}
+        self.next = self.first = 0
         self.time: float | None = None
         self.out_rows: list[tuple] = []
         self.out_events: list[tuple] = []
@@ -103,8 +107,13 @@ class Tracker:
 
     # -- parts of a step
 
-    def _new(self, c: Center, etype: int, ptid: int | None) -> int:
+    def _birth(self) -> int:
         tid, self.next = self.next, self.next + 1
+        self.born[tid] = self.time, tid - self.first
+        return tid
+
+    def _new(self, c: Center, etype: int, ptid: int | None) -> int:
+        tid = self._birth()
         c.tid = tid
         self.rows[tid] = Row(c, ptid)
         self.parents[tid] = ptid
@@ -163,7 +172,7 @@ class Tracker:
         self._step(centers, time)
 
     def _step(self, centers: list[Center], time: float) -> None:
-        self.rows, self.events, self.time = {}, [], time
+        self.rows, self.events, self.time, self.first = {}, [], time, self.next
         before, self.centers = self.centers, centers
         if not self.last:
             for c in centers:
@@ -255,7 +264,7 @@ class Tracker:
                 self.parents[tid] = self.rows[tid].ptid = tid
 
     def _split(self, source: Center, here: Center, centers: list[Center]) -> None:
-        tid, self.next = self.next, self.next + 1
+        tid = self._birth()
         # the new track begins a step earlier, as a placeholder where it split off
         start = Row(copy.copy(source), source.tid, dead=True)
         self.last[tid], self.parents[tid] = start, source.tid
@@ -345,6 +354,30 @@ class Tracker:
         self.last = {tid: r for tid, r in self.rows.items() if not r.dead}
         for tid in ended:
             self.parents.pop(tid, None)
+        known = {*self.last, *self.parents.values(), *(r.ptid for r in self.last.values())}
+        self.born = {tid: when for tid, when in self.born.items() if tid in known}
+
+    def joints(self) -> tuple[str, list[int]]:
+        """(what the coming steps depend on, without names of tracks; the tracks that it speaks of).
+
+        Two trackers with equal texts go on alike, with the n-th track of one list as the n-th of the other.
+        """
+        if not self.last:
+            return "", []
+        tids = [c.tid for c in self.centers]
+        place = {tid: k for k, tid in enumerate(tids)}
+
+        def of(tid: int | None) -> object:
+            if tid is None or tid in place:
+                return None if tid is None else place[tid]
+            if tid not in tids:
+                tids.append(tid)
+            # a parent that has ended is known by its birth
+            return self.born[tid], tids.index(tid)
+
+        rows = [self.last[c.tid] for c in self.centers]
+        parts = [(of(self.parents[c.tid]), of(r.ptid), r.u, r.v, r.flags.get("_north"), r.flags.get("_east")) for c, r in zip(self.centers, rows, strict=True)]
+        return repr((self.time, parts)), tids
 
     def take(self) -> tuple[pd.DataFrame, pd.DataFrame]:
         """What was emitted since the last call."""
@@ -475,4 +508,4 @@ def _chains(links: DataFrame) -> DataFrame:
         if out.join(further, "heir", "left_semi").isEmpty():
             return out
         out = out.join(further, "heir", "left").select("dead_sid", F.coalesce("next", "heir").alias("heir"), "at")
-        out = out.checkpoint() if out.sparkSession.sparkContext.getCheckpointDir() else out
+        out = written(out)

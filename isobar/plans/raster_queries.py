@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isobar.operators import label as L, raster as R, track as T
+from isobar.operators import label as L, raster as R, seams as S, track as T
 from isobar.plans.adapters import FIELD_SQL, SHAPE, field
 from isobar.plans.grid_queries import rounded
 from isobar.plans.registry import query
@@ -209,8 +209,9 @@ def contour_areas(spark, sf_dir):
 
 
 def tracked(spark, sf_dir):
+    """Segments of two days, each warmed up by the day before."""
     steps = typed_centers(spark, sf_dir).withColumns({"time": F.col("t") * 0.25, "grid": F.lit("0")})
-    return T.track(steps, T.Settings(reach=700_000.0))
+    return S.track_by_segments(steps, T.Settings(reach=700_000.0), 1.0, lambda time: F.floor(time / 2).cast("bigint"))
 
 
 @query()

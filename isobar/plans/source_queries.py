@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,17 +12,12 @@ from isobar.plans.adapters import FIELD_SQL, OBS_SQL, field, obs, read
 from isobar.plans.climate_queries import MONTH_SQL, months
 from isobar.plans.registry import query
 from isobar.sources import readers as R, writers as W
+from isobar.sources.shared import shared_folder
 
 
 def folder(spark) -> str:
-    """A fresh folder in the one that all executors share; on one machine, where none is set, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        shared = context.getCheckpointDir() or tempfile.mkdtemp(prefix="isobar-")
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A fresh folder in the one that all executors share."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 ROWS_SQL = "SELECT tid, id, event_type, lat, lon, p_cent FROM obs"
