@@ -62,3 +62,15 @@ def in_box(lat: Column, lon: Column, south: float, north: float, west: float, ea
     """Inside a latitude-longitude box; one that crosses the antimeridian has west > east."""
     across = (lon >= west) | (lon <= east) if west > east else (lon >= west) & (lon <= east)
     return (lat >= south) & (lat <= north) & across
+
+
+def space_cell(lat: Column, lon: Column, km: float) -> list[Column]:
+    """The cube of side ``km`` around the Earth's centre's axes that a point is in; no pole or date line is special."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.floor(c * (EARTH_M / 1000 / km)).cast("int") for c in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+
+
+def near_cells(cell: list[Column]) -> Column:
+    """The cube and its 26 neighbours, one a row, as structs (cx, cy, cz): all points within ``km`` are in these."""
+    steps = [F.struct(*[(c + d).alias(n) for c, d, n in zip(cell, shift, ("cx", "cy", "cz"), strict=True)]) for shift in ((i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))]
+    return F.explode(F.array(*steps))

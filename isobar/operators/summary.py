@@ -210,25 +210,67 @@ def compare_tracks(first: DataFrame, second: DataFrame, min_match: float = 0.6,
     return size(a, "a").join(best.select("a", F.col("b").alias("match"), "shared", "separation", "dp"), "a", "left").select(F.col("a").alias(key), "match", "shared", "separation", "dp")
 
 
+def compare_months(first: DataFrame, second: DataFrame, min_match: float = 0.6, max_separation: float = 500, key: str = "tid") -> DataFrame:
+    """Each track of the first set with its best match among the second set's tracks of the same month, or of the month before.
+
+    A track is of the month in which it ends; the month before is looked at if the track began before its
+    own.  Tracks match if twice their shared times is at least ``min_match`` of all their times and they are less than
+    ``max_separation`` km apart on average; the nearest is the best, ties by month (its own first) and id.
+    Differences are first less second, averaged over the shared times where both are known.  A pair that is
+    near enough on average is so at some time, so pairs are found by time and cubes of that width.
+    """
+    from isobar.functions.geo import near_cells, space_cell
+    from isobar.operators.seams import month_of
+
+    def rows(tracks: DataFrame, n: str) -> DataFrame:
+        live = with_shape(tracks.where(F.col("type") != 0)).select(F.col(key).alias(n), F.round(F.col("time") * 24, 3).alias("h"), "time", "lat", "lon", "p_cent", "area", "depth", "dsqp")
+        return live
+
+    def facts(live: DataFrame, n: str) -> DataFrame:
+        return live.groupBy(n).agg(F.count(F.lit(1)).alias(f"n_{n}"), month_of(F.max("time")).alias(f"month_{n}"), month_of(F.min("time")).alias(f"begins_{n}"))
+
+    a, b = rows(first, "a"), rows(second, "b")
+    km = float(max_separation)
+    apart = lambda: haversine(F.col("lat"), F.col("lat2"), F.col("lon"), F.col("lon2"), "km")
+    spot = [c.alias(n) for c, n in zip(space_cell(F.col("lat"), F.col("lon"), km), ("cx", "cy", "cz"), strict=True)]
+    around = a.select("a", "h", "lat", "lon", near_cells(space_cell(F.col("lat"), F.col("lon"), km)).alias("c")).select("a", "h", "lat", "lon", "c.*")
+    met = around.join(b.select("b", "h", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *spot), ["h", "cx", "cy", "cz"]).where(apart() < km).select("a", "b").distinct()
+    sizes_a, sizes_b = facts(a, "a"), facts(b, "b")
+    month = (F.col("month_b") == F.col("month_a")) | ((F.col("month_b") == F.col("month_a") - 1) & (F.col("begins_a") < F.col("month_a")))
+    wanted = met.join(sizes_a, "a").join(sizes_b, "b").where(month)
+    other = b.select("b", "h", *[F.col(c).alias(f"{c}2") for c in ("lat", "lon", "p_cent", "area", "depth", "dsqp")])
+    pairs = wanted.select("a", "b", "n_a", "n_b", "month_a", "month_b").join(a, "a").join(other, ["b", "h"])
+    differences = [F.avg(F.col(c) - F.col(f"{c}2")).alias(f"{c}_diff") for c in ("p_cent", "area", "depth", "dsqp")]
+    made = pairs.groupBy("a", "b", "n_a", "n_b", "month_a", "month_b").agg(F.count(F.lit(1)).alias("shared"), F.avg(apart()).alias("dist"), *differences)
+    good = made.where((2 * F.col("shared") / (F.col("n_a") + F.col("n_b")) >= min_match) & (F.col("dist") < km))
+    values = ["b", "month_b", "dist", *[f"{c}_diff" for c in ("p_cent", "area", "depth", "dsqp")]]
+    best = good.groupBy("a").agg(F.count(F.lit(1)).alias("num_matches"), F.min(F.struct("dist", (F.col("month_a") - F.col("month_b")).alias("back"), "b", *[c for c in values if c not in ("dist", "b")])).alias("best"))
+    out = sizes_a.join(best, "a", "left")
+    year = lambda c: F.floor(F.col(c) / 12).cast("int") + 1900
+    calendar = lambda c: (F.col(c) % 12 + 1).cast("int")
+    return out.select(
+        F.col("a").alias(f"{key}1"), year("month_a").alias("year1"), calendar("month_a").alias("month1"), F.coalesce("num_matches", F.lit(0)).cast("bigint").alias("num_matches"),
+        F.col("best.b").alias(f"{key}2"), year("best.month_b").alias("year2"), calendar("best.month_b").alias("month2"), "best.dist", *[F.col(f"best.{c}_diff") for c in ("p_cent", "area", "depth", "dsqp")],
+    )
+
+
 def match_step(before: DataFrame, after: DataFrame, reach_km: float, red: float = 0.75) -> DataFrame:
     """One tracking step as a join: centres (t, id, lat, lon[, u, v in km/h, hours]) against those of the next t.
 
     A centre goes on if some centre is within reach of both its position and its projection; it then
-    goes to the one nearest to the projection of all, ties by id.  Latitude bands of the reach's
-    width around the projection are the join key, so that only neighbouring bands meet.
+    goes to the one nearest to the projection of all, ties by id.  Cubes of the reach's width are the
+    join key, so that a projection meets its own and the neighbouring ones alone.
     """
-    from isobar.functions.geo import add_lat, add_long, dist2lat, dist2long
+    from isobar.functions.geo import add_lat, add_long, dist2lat, dist2long, near_cells, space_cell
 
     hours = F.coalesce(F.col("hours"), F.lit(6.0)) if "hours" in before.columns else F.lit(6.0)
     move = lambda c: F.coalesce(F.col(c), F.lit(0.0)) * red * hours if c in before.columns else F.lit(0.0)
     lat_q, lon_q = add_lat(F.col("lat"), dist2lat(move("v"))), add_long(F.col("lon"), F.coalesce(dist2long(move("u"), F.col("lat"), F.col("lat")), F.lit(0.0)))
-    width = reach_km / 6371.0 * 180 / math.pi
-    band = F.floor((F.col("lat") + 90) / width).cast("int")
     left = before.select("t", F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), lat_q.alias("latq"), lon_q.alias("lonq"))
-    left = left.withColumn("b", F.floor((F.col("latq") + 90) / width).cast("int"))
-    left = left.withColumn("band", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).drop("b")
-    right = after.select((F.col("t") - 1).alias("t"), F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("band"))
-    pairs = left.join(right, ["t", "band"])
+    left = left.withColumn("c", near_cells(space_cell(F.col("latq"), F.col("lonq"), reach_km))).select("*", "c.*").drop("c")
+    cell = [c.alias(n) for c, n in zip(space_cell(F.col("lat"), F.col("lon"), reach_km), ("cx", "cy", "cz"), strict=True)]
+    right = after.select((F.col("t") - 1).alias("t"), F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *cell)
+    pairs = left.join(right, ["t", "cx", "cy", "cz"])
     d = haversine(F.col("lat1"), F.col("lat2"), F.col("lon1"), F.col("lon2"), "km")
     dq = haversine(F.col("latq"), F.col("lat2"), F.col("lonq"), F.col("lon2"), "km")
     near = pairs.withColumns({"distance": d, "projected": dq}).where(F.col("projected") <= reach_km)
