@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from isobar.functions.geo import direction_from
 from isobar.functions.stats import mean_circular
+from isobar.operators import tiles
 from isobar.operators.raster import Offset, stamp
 from isobar.operators.summary import extremes, hourly, kinematics, related_events, with_shape
 
@@ -57,6 +58,11 @@ def track_density(obs: DataFrame, parts: int = 6, key: str = "tid") -> DataFrame
     return hourly(obs, parts=parts, key=key).select(key, "y", "x").distinct().groupBy("y", "x").agg(F.count(F.lit(1)).alias("trkden"))
 
 
+def smoothed_density(density: DataFrame, columns: Sequence[str], size: int, shape: tuple[int, int]) -> DataFrame:
+    """Densities averaged over a box of ``size`` cells a side, edges repeated; cells that are 0 are left out."""
+    return tiles.box_means(density, columns, size, shape)
+
+
 def _finite_but_last(obs: DataFrame, column: str, key: str) -> DataFrame:
     """Rows with a value, then without each track's last of them."""
     return without_last(obs.where(F.col(column).isNotNull()), key)
@@ -64,9 +70,8 @@ def _finite_but_last(obs: DataFrame, column: str, key: str) -> DataFrame:
 
 def footprint_means(rows: DataFrame, columns: Sequence[str], offsets: Sequence[Offset], shape: tuple[int, int], steps: float) -> DataFrame:
     """Means over all rows whose footprint has the cell, and their share of the steps in percent."""
-    return stamp(rows.select("y", "x", *columns), offsets, shape).groupBy("y", "x").agg(
-        *[F.avg(c).alias(c) for c in columns], (F.count(F.lit(1)) / F.lit(float(steps)) * 100).alias("pct_steps")
-    )
+    made = tiles.footprint_means(rows.select("y", "x", *columns), columns, offsets, shape)
+    return made.select("y", "x", *columns, (F.col("n") / F.lit(float(steps)) * 100).alias("pct_steps"))
 
 
 def intensity_grid(obs: DataFrame, offsets: Sequence[Offset], shape: tuple[int, int], steps: float, key: str = "tid") -> DataFrame:
@@ -84,7 +89,7 @@ def rate_grid(obs: DataFrame, offsets: Sequence[Offset], shape: tuple[int, int],
 
 def environment_grid(samples: DataFrame, columns: Sequence[str], offsets: Sequence[Offset], shape: tuple[int, int]) -> DataFrame:
     """Mean of sampled environment values over the circular stamps that cover each cell; zero counts as missing."""
-    made = stamp(samples.select("y", "x", *columns), offsets, shape).groupBy("y", "x").agg(*[F.avg(c).alias(c) for c in columns])
+    made = tiles.footprint_means(samples.select("y", "x", *columns), columns, offsets, shape)
     return made.select("y", "x", *[F.nullif(F.col(c), F.lit(0.0)).alias(c) for c in columns])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isobar.operators import gridstats as G
+from isobar.operators import gridstats as G, tiles
 from isobar.operators.raster import box, circle
 from isobar.plans.adapters import CELLS, FIELD_SQL, OBS_SQL, SHAPE, field, obs, track_events
 from isobar.plans.registry import query
@@ -31,10 +31,13 @@ def near(expr: str, digits: int = 4) -> str:
 SHIFT = 3.1e-7
 
 
-@query(f"""WITH {KEPT_SQL}, e AS (SELECT tid, arg_min({{'y': y, 'x': x}}, time) AS g, arg_max({{'y': y, 'x': x}}, time) AS l FROM obs WHERE tid IN (FROM kept) GROUP BY tid),
+EVENT_DENSITY_SQL = f"""{KEPT_SQL}, e AS (SELECT tid, arg_min({{'y': y, 'x': x}}, time) AS g, arg_max({{'y': y, 'x': x}}, time) AS l FROM obs WHERE tid IN (FROM kept) GROUP BY tid),
  r AS (SELECT g.y AS y, g.x AS x, 'gen' AS w FROM e UNION ALL SELECT l.y, l.x, 'lys' FROM e UNION ALL
- SELECT y, x, CASE event WHEN 'sp' THEN 'spl' ELSE 'mrg' END FROM ev WHERE etype <> 2 AND event IN ('sp', 'mg') AND tid IN (FROM kept) AND otid IN (FROM kept))
- SELECT y, x, CAST(count(*) FILTER (w = 'gen') AS BIGINT) AS gen, CAST(count(*) FILTER (w = 'lys') AS BIGINT) AS lys, CAST(count(*) FILTER (w = 'spl') AS BIGINT) AS spl, CAST(count(*) FILTER (w = 'mrg') AS BIGINT) AS mrg FROM r GROUP BY y, x""")
+ SELECT y, x, CASE event WHEN 'sp' THEN 'spl' ELSE 'mrg' END FROM ev WHERE etype <> 2 AND event IN ('sp', 'mg') AND tid IN (FROM kept) AND otid IN (FROM kept)),
+ density AS (SELECT y, x, CAST(count(*) FILTER (w = 'gen') AS BIGINT) AS gen, CAST(count(*) FILTER (w = 'lys') AS BIGINT) AS lys, CAST(count(*) FILTER (w = 'spl') AS BIGINT) AS spl, CAST(count(*) FILTER (w = 'mrg') AS BIGINT) AS mrg FROM r GROUP BY y, x)"""
+
+
+@query(f"WITH {EVENT_DENSITY_SQL} SELECT * FROM density")
 def event_density_grid(spark, sf_dir):
     return G.event_density(obs(spark, sf_dir), track_events(spark, sf_dir), kept_tracks(spark, sf_dir))
 
@@ -44,6 +47,36 @@ def track_density(spark, sf_dir):
     return G.track_density(obs(spark, sf_dir))
 
 
+def _smoothed_sql(columns: list[str], size: int) -> str:
+    """DuckDB text of the box means of ``density``, edges repeated, where one isn't 0."""
+    down = size // 2
+    return f"""g AS (SELECT y, x FROM range({CELLS[0]}) a(y), range({CELLS[1]}) b(x)), o AS (SELECT oy, ox FROM range({-down}, {size - down}) a(oy), range({-down}, {size - down}) b(ox)),
+ m AS (SELECT g.y, g.x, {', '.join(f'sum(coalesce({c}, 0))/{size * size}.0e0 AS {c}' for c in columns)} FROM g CROSS JOIN o LEFT JOIN density d ON d.y = greatest(0, least({CELLS[0] - 1}, g.y + oy)) AND d.x = greatest(0, least({CELLS[1] - 1}, g.x + ox)) GROUP BY g.y, g.x)
+ SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {', '.join(columns)} FROM m WHERE {' + '.join(columns)} > 0"""
+
+
+#: Cells a side of the boxes that densities are smoothed over.
+BOX = 8
+
+
+@query(f"WITH {EVENT_DENSITY_SQL}, {_smoothed_sql(['gen', 'lys', 'spl', 'mrg'], BOX)}")
+def event_density_smoothed(spark, sf_dir):
+    made = G.event_density(obs(spark, sf_dir), track_events(spark, sf_dir), kept_tracks(spark, sf_dir))
+    return G.smoothed_density(made, ["gen", "lys", "spl", "mrg"], BOX, CELLS)
+
+
+@query(f"WITH {OBS_SQL}, {HOURLY_SQL}, density AS (SELECT y, x, count(DISTINCT tid) AS trkden FROM hr GROUP BY y, x), {_smoothed_sql(['trkden'], BOX)}")
+def track_density_smoothed(spark, sf_dir):
+    return G.smoothed_density(G.track_density(obs(spark, sf_dir)), ["trkden"], BOX, CELLS)
+
+
+@query(f"""WITH {FIELD_SQL}, d AS (SELECT oy, ox FROM range(-12, 13) a(oy), range(-12, 13) b(ox) WHERE oy*oy + ox*ox <= 144)
+ SELECT t, CAST(y + oy AS INTEGER) AS y, CAST(x + ox AS INTEGER) AS x, round(avg(v) + {SHIFT}, 6) + 0e0 AS v, count(*) AS n FROM field, d WHERE y + oy BETWEEN 0 AND 31 AND x + ox BETWEEN 0 AND 31 GROUP BY 1, 2, 3""")
+def wide_disk_means(spark, sf_dir):
+    """Means over disks of 12 cells, 441 a disk."""
+    return rounded(tiles.footprint_means(field(spark, sf_dir), ["v"], circle(12), SHAPE, ["t"]), "t", "y", "x", digits=6, shift=SHIFT).withColumn("v", F.col("v") + 0.0)
+
+
 @query(f"""WITH {KIN_SQL}, f AS (SELECT * FROM kin WHERE p_cent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tid ORDER BY time DESC) > 1), {DISK},
  s AS (SELECT y + oy AS y, x + ox AS x, p_cent, depth, dsqp, radius, area FROM f, disk) SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {near('avg(p_cent)')} AS p_cent, {near('avg(depth)')} AS depth, {near('avg(dsqp)')} AS dsqp,
  {near('avg(radius)')} AS radius, {near('avg(area)')} AS area, {near('count(*)/120.0*100')} AS pct_steps FROM s WHERE {INSIDE} GROUP BY y, x""")
