@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from isobar.functions.caltime import fixed_calendar_date, fixed_calendar_days
 from isobar.operators.traj import LEVELS, level_pressure, total_cloud_water
-from isobar.plans.adapters import FIELD_SQL, OBS_SQL, field, obs, read
+from isobar.plans.adapters import FIELD_SQL, OBS_SQL, SHAPE, field, obs, read
 from isobar.plans.climate_queries import MONTH_SQL, months
 from isobar.plans.registry import query
 from isobar.sources import readers as R, writers as W
+from isobar.sources.geotiff import GeoTiff
+from isobar.sources.npz import NpzTrajectories
 from isobar.sources.shared import shared_folder
 
 
@@ -137,3 +139,23 @@ def month_tables_merged(spark, sf_dir):
     rows = months(spark, sf_dir)
     keys = ["region", "year", "month"]
     return rows.select(*keys, "total").join(rows.select(*keys, "mean"), keys).select(*keys, F.round(F.col("total") + F.col("mean"), 4).alias("both"))
+
+
+@query(f"WITH {FIELD_SQL} SELECT t, y, x, v FROM field")
+def geotiff_round_trip(spark, sf_dir):
+    """A raster for each step; cells that a step lacks are no data."""
+    spark.dataSource.register(GeoTiff)
+    path = folder(spark)
+    cells = field(spark, sf_dir).repartition("t").sortWithinPartitions("t", "y", "x")
+    cells.write.format("geotiff").mode("append").options(rows=SHAPE[0], columns=SHAPE[1], scale="1.5,0.9", corner="-20,45").save(path)
+    return spark.read.format("geotiff").load(path).where("v IS NOT NULL")
+
+
+@query(f"WITH {OBS_SQL} SELECT CAST(tid AS DOUBLE) AS traj_id, CAST(k AS DOUBLE) AS step, lat, lon, p_cent AS pressure FROM obs")
+def npz_round_trip(spark, sf_dir):
+    """Archives of ranges of trajectories, about 500 rows each, read in runs of 200 rows."""
+    spark.dataSource.register(NpzTrajectories)
+    path = folder(spark)
+    rows = obs(spark, sf_dir).select(F.col("tid").alias("traj_id"), F.col("k").alias("step"), "lat", "lon", F.col("p_cent").alias("pressure"))
+    rows.repartitionByRange("traj_id").sortWithinPartitions("traj_id", "step").write.format("npz").mode("append").option("rows", 500).save(path)
+    return spark.read.format("npz").option("rows", 200).load(path).drop("archive", "row")

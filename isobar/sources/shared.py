@@ -27,3 +27,63 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def store_of(path: str):
+    """(file system, path in it) of a folder that driver and executors share; any store that pyarrow knows."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path[5:]}"
+    return fs.FileSystem.from_uri(path)
+
+
+def files_of(path: str, suffix: str) -> list[str]:
+    """The files of a folder that end in ``suffix``, by name; an error if there is none."""
+    from pyarrow import fs
+
+    store, base = store_of(path)
+    found = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.File and f.base_name.endswith(suffix))
+    if not found:
+        raise FileNotFoundError(f"no {suffix} file in {path}")
+    return found
+
+
+class Staged:
+    """Files of a task under names of its own until the job commits: a task or job that fails leaves none."""
+
+    def __init__(self, path: str, suffix: str) -> None:
+        self.store, self.base = store_of(path)
+        self.suffix, self.made = suffix, []
+
+    def open(self, name: str):
+        self.store.create_dir(self.base, recursive=True)
+        staged = f"{self.base}/_{uuid.uuid4().hex}"
+        self.made.append((staged, f"{self.base}/{name}{self.suffix}"))
+        return self.store.open_output_stream(staged, compression=None)
+
+    def drop(self) -> None:
+        for staged, _ in self.made:
+            self.store.delete_file(staged)
+        self.made = []
+
+
+def commit(path: str, suffix: str, made: list[tuple[str, str]], replace: bool) -> None:
+    """Give staged files their names; with ``replace`` other files of the suffix go."""
+    from pyarrow import fs
+
+    store, base = store_of(path)
+    if len({name for _, name in made}) != len(made):
+        raise ValueError("two tasks wrote a file of the same name")
+    store.create_dir(base, recursive=True)
+    old = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.endswith(suffix)]
+    for staged, name in made:
+        store.move(staged, name)
+    for name in set(old) - {name for _, name in made} if replace else ():
+        store.delete_file(name)
+
+
+def discard(path: str, made: list[tuple[str, str]]) -> None:
+    store, _ = store_of(path)
+    for staged, _ in made:
+        store.delete_file(staged)
