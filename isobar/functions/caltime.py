@@ -74,6 +74,64 @@ def fixed_calendar_date(days: Column, days_per_year: int = 365) -> Column:
     return F.struct(F.when(y >= 0, y + 1).otherwise(y).cast("int").alias("year"), month.alias("month"), day.cast("int").alias("day"))
 
 
+def calendar_add(year: Column, month: Column, day: Column, seconds: Column, step: dict[str, Column], days_per_year: int = 365, leap_years: bool = True) -> Column:
+    """Struct (year, month, day, seconds) of a date, with seconds of its day, after a step of years, months, days and seconds.
+
+    Years and months go first and keep the day of the month, cut to the month's length; then days and seconds,
+    which may be negative or fractions.  Calendars: Gregorian (``leap_years``), 365 days without leap years, or 360 days in months of 30.
+    There is no year 0: the year before 1 is -1, and year 0 or a null gives null.  Seconds are rounded to millionths.
+    """
+    zero = F.lit(0)
+    part = lambda name: step.get(name, zero)
+    years = F.when(year > 0, year - 1).when(year < 0, year)
+    months = years.cast("bigint") * 12 + month - 1 + part("years") * 12 + part("months")
+    y, m = F.floor(months / 12), F.pmod(months, F.lit(12)).cast("int") + 1
+    moved = (part("years") != 0) | (part("months") != 0)
+    d = F.when(moved, F.least(day, _month_length(y, m, days_per_year, leap_years))).otherwise(day)
+    micros = F.round((part("days").cast("double") * 86400 + seconds + part("seconds")) * F.lit(1e6)).cast("bigint")
+    full = _month_start(y, m, days_per_year, leap_years) + d - 1 + F.floor(micros / F.lit(86_400_000_000))
+    rest = F.pmod(micros, F.lit(86_400_000_000)) / F.lit(1e6)
+    at = _date_of(full, days_per_year, leap_years)
+    label = F.when(at["y"] >= 0, at["y"] + 1).otherwise(at["y"])
+    return F.struct(label.cast("int").alias("year"), at["m"].cast("int").alias("month"), at["d"].cast("int").alias("day"), rest.alias("seconds"))
+
+
+def _is_leap(y: Column) -> Column:
+    """Gregorian leap years, ``y`` being years since the start of year 1."""
+    n = y + 1
+    return ((F.pmod(n, F.lit(4)) == 0) & (F.pmod(n, F.lit(100)) != 0)) | (F.pmod(n, F.lit(400)) == 0)
+
+
+def _month_length(y: Column, m: Column, days_per_year: int, leap_years: bool) -> Column:
+    if days_per_year == 360:
+        return F.lit(30)
+    plain = F.element_at(F.array(*[F.lit(n) for n in MONTH_DAYS]), m)
+    return plain + F.when((m == 2) & _is_leap(y), 1).otherwise(0) if leap_years else plain
+
+
+def _month_start(y: Column, m: Column, days_per_year: int, leap_years: bool) -> Column:
+    """Days from the start of year 1 to that of a month; ``y`` counts years from there."""
+    if days_per_year == 360:
+        return (y * 360 + (m - 1) * 30).cast("bigint")
+    before = F.element_at(F.array(*[F.lit(sum(MONTH_DAYS[:k])) for k in range(12)]), m)
+    n = (y * 365 + before).cast("bigint")
+    if not leap_years:
+        return n
+    return n + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400) + F.when((m > 2) & _is_leap(y), 1).otherwise(0)
+
+
+def _date_of(days: Column, days_per_year: int, leap_years: bool) -> Column:
+    """Struct (y, m, d) of days from the start of year 1, y counted from there."""
+    if not leap_years or days_per_year == 360:
+        date = fixed_calendar_date(days, days_per_year)
+        return F.struct(F.floor(days / days_per_year).cast("bigint").alias("y"), date["month"].alias("m"), date["day"].alias("d"))
+    # from a guess that is never late, at most one year early
+    low = F.floor((days + 1) * 400 / F.lit(146097)).cast("bigint")
+    guess = F.filter(F.array(low + 1, low, low - 1), lambda g: _month_start(g, F.lit(1), 365, True) <= days)[0]
+    month = lambda y: F.filter(F.sequence(F.lit(12), F.lit(1), F.lit(-1)), lambda m: _month_start(y, m, 365, True) <= days)[0]
+    return F.transform(F.array(guess), lambda y: F.transform(F.array(month(y)), lambda m: F.struct(y.alias("y"), m.alias("m"), (days - _month_start(y, m, 365, True) + 1).alias("d")))[0])[0]
+
+
 def _leap(year: int) -> bool:
     """Gregorian; years before 1 AD are counted without a year 0."""
     y = year if year > 0 else year + 1

@@ -59,17 +59,37 @@ def uptakes(traj: DataFrame, least_g: float = 0.025, key: str = "traj_id", order
     return traj.withColumn("dq", (F.col("q") - before) * scale).where(F.col("dq") >= least_g)
 
 
+#: Rows of an axis that is broadcast; longer ones are shuffled.
+BROADCAST_ROWS = 200_000
+
+
 def nearest_axis(points: DataFrame, axis: DataFrame, value: str, coordinate: str, out: str) -> DataFrame:
-    """The axis point nearest to each value, the first on ties.  ``axis`` is a short list of coordinates.
+    """The axis point nearest to each value, the first on ties; null for a null value or an empty axis.
 
-    The midpoints between neighbours on the axis are its borders; an equi-join isn't needed as each
-    point takes its place in the sorted list of them.
+    Neighbouring axis points make brackets, the first and the last being open.  Brackets and values meet by buckets of the
+    axis's mean spacing: a bracket lies in as many buckets as it is wide, together at most twice as many as there are
+    axis points.  A value is in one bracket, whose nearer end it takes.
     """
-    # the axis is one small row
-    listed = axis.agg(F.sort_array(F.collect_set(coordinate)).alias("_axis"))
-    joined = points.join(F.broadcast(listed))
-    pick = F.aggregate("_axis", F.lit(None).cast("double"), lambda best, a: F.when(best.isNull() | (F.abs(a - F.col(value)) < F.abs(best - F.col(value))), a.cast("double")).otherwise(best))
-    return joined.withColumn(out, pick).drop("_axis")
+    distinct = axis.select(F.col(coordinate).cast("double").alias("_low")).where("_low IS NOT NULL").distinct()
+    span = distinct.agg(F.min("_low").alias("a"), F.max("_low").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if not span["n"]:
+        return points.withColumn(out, F.lit(None).cast("double"))
+    first, width, last = span["a"], (span["b"] - span["a"]) / max(1, span["n"] - 1) or 1.0, span["n"]
+    bucket = lambda c: F.floor(F.least(F.greatest((c - first) / width, F.lit(-1.0)), F.lit(float(last)))).cast("bigint")
+    # an axis is a list of coordinates, however many points there are
+    order = W.orderBy("_low")
+    brackets = distinct.withColumn("_high", F.lead("_low").over(order))
+    below = distinct.agg(F.lit(None).cast("double").alias("_low"), F.min("_low").alias("_high"))
+    brackets = brackets.unionByName(below)
+    ends = F.sequence(F.coalesce(bucket(F.col("_low")), F.lit(-1)), F.coalesce(bucket(F.col("_high")), F.lit(last)))
+    placed = brackets.withColumn("_bucket", F.explode(ends))
+    if last <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
+    at = F.col(value).cast("double")
+    inside = (F.col("_low").isNull() | (at >= F.col("_low"))) & (F.col("_high").isNull() | (at < F.col("_high")))
+    pick = F.when(F.col("_low").isNull() | (F.abs(F.col("_high") - at) < F.abs(at - F.col("_low"))), F.col("_high")).otherwise(F.col("_low"))
+    met = points.withColumn("_at", bucket(at)).join(placed, (F.col("_at") == F.col("_bucket")) & inside, "left")
+    return met.withColumn(out, pick).drop("_at", "_bucket", "_low", "_high")
 
 
 def humidity_at(points: DataFrame, humidity: DataFrame, axes: Sequence[str] = ("plev", "lat", "lon")) -> DataFrame:
@@ -81,6 +101,26 @@ def humidity_at(points: DataFrame, humidity: DataFrame, axes: Sequence[str] = ("
     return out.join(grid, ["ts", *[f"near_{a}" for a in axes]], "left")
 
 
+def diagnose_uptakes(traj: DataFrame, humidity: DataFrame, least_g: float = 0.025, axes: Sequence[str] = ("plev", "lat", "lon"), key: str = "traj_id", order: str = "time") -> DataFrame:
+    """Uptake events of trajectories: humidity is sampled at the nearest grid point of each step's time, and steps where it
+    rose by at least ``least_g`` g/kg since the step before are events, with q and dq (g/kg).
+
+    traj: key, order, ts and the axes; humidity: ts, the axes, q in kg/kg.  Steps without humidity aren't events, nor are steps behind one.
+    """
+    return uptakes(humidity_at(traj, humidity, axes), least_g, key, order)
+
+
+def uptake_maps(events: DataFrame, marks: DataFrame, shape: tuple[int, int], hours: Sequence[int] = (-24, 0, 24), sigma: float = 5.0, cell_km: float = 31.0) -> DataFrame:
+    """hours, y, x, v: the smoothed density of the uptakes within the hour ``hours`` away from each storm's mark, as :func:`uptake_map`.
+
+    events: storm, ts, y, x; marks: storm, ts.  An event counts for each of the hours it fits.
+    """
+    each = marks.select("storm", F.explode(F.array(*[F.lit(h) for h in hours])).alias("hours"), F.col("ts").alias("_mark"))
+    target = F.date_trunc("hour", F.col("_mark") + F.make_interval(hours=F.col("hours")))
+    met = events.withColumn("_hour", F.date_trunc("hour", "ts")).join(each.withColumn("_target", target), "storm").where(F.col("_hour") == F.col("_target"))
+    return uptake_map(met.select("y", "x", "hours"), shape, sigma, cell_km, "hours").withColumnRenamed("t", "hours")
+
+
 def uptake_percent(points: DataFrame, step_lat: float = 0.5, step_lon: float = 1.0) -> DataFrame:
     """Uptakes per half-degree cell and their percentage of all."""
     row, col = F.floor(F.col("lat") / step_lat + 0.5).cast("int"), F.floor(F.col("lon") / step_lon + 0.5).cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isobar.operators import gridstats as G, tiles
 from isobar.operators.raster import box, circle
 from isobar.plans.adapters import CELLS, FIELD_SQL, OBS_SQL, SHAPE, field, obs, track_events
-from isobar.plans.registry import query
+from isobar.plans.registry import ORACLE_SQL, QUERIES, query
 from isobar.plans.track_queries import HOURLY_SQL, KEPT_SQL, KIN_SQL, kept_tracks
 
 #: Time steps of the period.
@@ -112,14 +112,6 @@ def pointwise_direction(spark, sf_dir):
     return G.pointwise(obs(spark, sf_dir), STEPS).select("y", "x", F.round("uvdi", 5).alias("uvdi"))
 
 
-@query(f"""WITH {KIN_SQL}, r AS (SELECT tid, y, x, round(uv, 6) AS uv, round(dpdt, 6) AS dpdt, depth, p_cent, dsqp FROM kin), e AS (
- SELECT 'max_depth' AS extreme, y, x FROM r QUALIFY depth = max(depth) OVER (PARTITION BY tid) UNION ALL
- SELECT 'min_p', y, x FROM r QUALIFY p_cent = min(p_cent) OVER (PARTITION BY tid) UNION ALL
- SELECT 'max_dsqp', y, x FROM r QUALIFY dsqp = max(dsqp) OVER (PARTITION BY tid)) SELECT extreme, y, x, count(*) AS n FROM e GROUP BY ALL""")
-def extreme_location_grid(spark, sf_dir):
-    return G.extreme_locations(obs(spark, sf_dir)).where(~F.col("extreme").isin("max_uv", "max_dpdt"))
-
-
 @query(f"""WITH {KIN_SQL}, r AS (SELECT tid, y, x, round(uv, 6) AS uv, round(dpdt, 6) AS dpdt, depth, p_cent, dsqp FROM kin), e AS (
  SELECT 'max_uv' AS extreme, y, x FROM r QUALIFY uv = max(uv) OVER (PARTITION BY tid) UNION ALL
  SELECT 'max_dpdt', y, x FROM r QUALIFY dpdt = min(dpdt) OVER (PARTITION BY tid) UNION ALL
@@ -127,10 +119,14 @@ def extreme_location_grid(spark, sf_dir):
  SELECT 'min_p', y, x FROM r QUALIFY p_cent = min(p_cent) OVER (PARTITION BY tid) UNION ALL
  SELECT 'max_dsqp', y, x FROM r QUALIFY dsqp = max(dsqp) OVER (PARTITION BY tid)) SELECT extreme, y, x, count(*) AS n FROM e GROUP BY ALL""")
 def extreme_location_grid_all(spark, sf_dir):
-    """As :func:`extreme_location_grid`, with all five extremes; uv and dpdt are rounded before ties are taken."""
+    """How often each cell is where a track has each of its five extremes; uv and dpdt are rounded before ties are taken."""
     return G.extreme_locations(obs(spark, sf_dir), digits=6)
 
 
+# the earlier name of the same query
+QUERIES["extreme_location_grid"], ORACLE_SQL["extreme_location_grid"] = extreme_location_grid_all, ORACLE_SQL["extreme_location_grid_all"]
+
+
 def samples(spark, sf_dir):
     return obs(spark, sf_dir).select("tid", "time", "y", "x", F.col("lat").alias("tcw"), F.col("p_cent").alias("pw"))
 

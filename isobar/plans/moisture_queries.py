@@ -10,7 +10,8 @@ from isobar.plans.adapters import OBS_SQL, SHAPE, field, obs
 from isobar.plans.grid_queries import NEAR_SQL, field_points, rounded
 from isobar.plans.registry import query
 from isobar.plans.track_queries import REGION_SQL, hav, region_view
-from isobar.sources.readers import dump_rows, files_for
+from isobar.plans.source_queries import folder
+from isobar.sources.readers import files_for, read_dumps
 
 AGE_SQL = f"{OBS_SQL}, ag AS (SELECT *, (time - min(time) OVER w)/nullif(max(time) OVER w - min(time) OVER w, 0) AS age FROM obs WINDOW w AS (PARTITION BY tid))"
 FLAG_SQL = f"{AGE_SQL}, {REGION_SQL}, fl AS (SELECT ag.*, CAST(coalesce(region IN (1, 4), false) AS INTEGER) AS regflag FROM ag LEFT JOIN region USING (y, x) WHERE age > 0 AND age < 1)"
@@ -161,4 +162,37 @@ def fixed_width_load(spark, sf_dir):
         F.lit(" " * 16), F.lpad(F.lit("24"), 3, " "), F.lit(" " * 3), F.lpad((1 + k % 12).cast("string"), 4, " "), F.lit(" " * 2), F.lpad((1 + k % 28).cast("string"), 2, " "), F.lit(" " * 4),
         F.lpad((k % 24).cast("string"), 2, " "), F.lit(" " * 23), num(F.round("lat", 2), 6, 2), F.lit(" " * 1), num(F.round("lon", 2), 8, 2), F.lit(" " * 3), F.lpad((1000 + k).cast("string"), 6, " "), F.lit(" " * 1), F.lpad((800 + k % 100).cast("string"), 8, " "),
     )
-    return dump_rows(r.select(F.col("tid").cast("string").alias("file"), k.alias("seq"), text.alias("text")))
+    # a file for each trajectory, with a header, lines in order
+    path = folder(spark)
+    lines = r.select("tid", k.alias("k"), text.alias("value")).unionByName(r.select("tid").distinct().select("tid", F.explode(F.sequence(F.lit(-5), F.lit(-1))).alias("k"), F.lit("header").alias("value")))
+    lines.repartition("tid").sortWithinPartitions("tid", "k").select("tid", "value").write.partitionBy("tid").text(path)
+    made = read_dumps(spark, f"{path}/tid=*/*.txt", 2)
+    return made.withColumn("file", F.regexp_extract("file", r"tid=(-?[0-9]+)/", 1))
+
+
+_NEAR = "(SELECT arg_min(a, {{'d': abs(a - {0}), 'a': a}}) FROM {0}_axis)"
+CHAIN_SQL = f"""{OBS_SQL}, lat_axis AS (SELECT 15 + 10e0*i AS a FROM range(9) r(i)), lon_axis AS (SELECT 30e0*i - 180 AS a FROM range(13) r(i)), plev_axis AS (SELECT 500 + 250e0*i AS a FROM range(3) r(i)),
+ tr AS (SELECT tid AS traj_id, time, lat, lon, 480 + 40e0*(id % 13) AS plev FROM obs), near AS (SELECT *, {_NEAR.format('lat')} AS a, {_NEAR.format('lon')} AS b, {_NEAR.format('plev')} AS c FROM tr),
+ sampled AS (SELECT *, ((time*4 + a*7 + b*3 + c) % 50)/1000 AS q FROM near)"""
+
+
+@query(f"WITH {CHAIN_SQL} SELECT traj_id, time, lat, lon, round(q, 9) AS q, round(dq, 6) AS dq FROM (SELECT *, (q - lag(q) OVER (PARTITION BY traj_id ORDER BY time))*1000 AS dq FROM sampled) WHERE dq >= 0.025e0")
+def uptakes_diagnosed(spark, sf_dir):
+    """From trajectories and a humidity field on levels and a grid to uptake events."""
+    traj = obs(spark, sf_dir).select(F.col("tid").alias("traj_id"), "time", F.col("time").alias("ts"), "lat", "lon", (480 + 40.0 * (F.col("id") % 13)).alias("plev"))
+    axes = {"lat": (15, 10, 9), "lon": (-180, 30, 13), "plev": (500, 250, 3)}
+    grid = traj.select("ts").distinct()
+    for name, (first, step, n) in axes.items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(float(first + step * i)) for i in range(n)])))
+    humidity = grid.withColumn("q", ((F.col("ts") * 4 + F.col("lat") * 7 + F.col("lon") * 3 + F.col("plev")) % 50) / 1000)
+    return J.diagnose_uptakes(traj, humidity).select("traj_id", "time", "lat", "lon", F.round("q", 9).alias("q"), F.round("dq", 6).alias("dq"))
+
+
+@query("""WITH e AS (SELECT user_id % 3 AS storm, ts, CAST(event_id*7 % 32 AS INTEGER) AS y, CAST(event_id*3 % 32 AS INTEGER) AS x FROM events), m AS (SELECT storm, h, date_trunc('hour', min(ts) + INTERVAL 15 DAY + to_hours(h)) AS target FROM e, (VALUES (-24), (0), (24)) v(h) GROUP BY storm, h),
+ k AS (SELECT d, exp(-0.5e0*d*d)/(SELECT sum(exp(-0.5e0*g*g)) FROM range(-4, 5) r(g)) AS w FROM range(-4, 5) r(d)), c AS (SELECT h, y, x, count(*) AS n FROM e JOIN m ON m.storm = e.storm AND date_trunc('hour', e.ts) = m.target GROUP BY 1, 2, 3), f AS (SELECT h, y, x, 100e0*n/sum(n) OVER (PARTITION BY h) AS v FROM c),
+ a AS (SELECT h, CAST((y - d + 32) % 32 AS INTEGER) AS y, x, sum(v*w) AS v FROM f, k GROUP BY 1, 2, 3) SELECT CAST(h AS INTEGER) AS hours, y, CAST((x - d + 32) % 32 AS INTEGER) AS x, round(sum(v*w)*1e5/961, 7) AS v FROM a, k GROUP BY 1, 2, 3""")
+def uptake_maps_by_hour(spark, sf_dir):
+    """Maps a day before, at and a day after each storm's mark."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 3).alias("storm"), "ts", (F.col("event_id") * 7 % 32).cast("int").alias("y"), (F.col("event_id") * 3 % 32).cast("int").alias("x"))
+    marks = events.groupBy("storm").agg((F.min("ts") + F.make_interval(days=F.lit(15))).alias("ts"))
+    return rounded(J.uptake_maps(events, marks, SHAPE, sigma=1.0), "hours", "y", "x", digits=7)

@@ -107,10 +107,13 @@ def sobel_gradient(spark, sf_dir):
 RING_SQL = "rg AS (SELECT dy, dx, sqrt(dy*dy + dx*dx) AS d FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy*dy + dx*dx > 0 AND dy*dy + dx*dx <= 4)"
 
 
-@query(f"""WITH {FIELD_SQL}, {RING_SQL}, c AS (SELECT * FROM field WHERE y % 4 = 1 AND x % 4 = 2) SELECT c.t, c.y, c.x, round(avg((f.v - c.v)/d), 9) AS gradient FROM c, rg JOIN field f ON f.t = c.t AND f.y = c.y + dy AND f.x = c.x + dx GROUP BY c.t, c.y, c.x""")
+@query(f"""WITH {FIELD_SQL}, {RING_SQL}, c AS (SELECT f.t, f.y, f.x, f.v FROM field f, rg JOIN field g ON g.t = f.t AND g.y = f.y + dy AND g.x = f.x + dx GROUP BY ALL HAVING f.v < min(g.v)) SELECT c.t, c.y, c.x, round(avg((f.v - c.v)/d), 9) AS gradient FROM c, rg JOIN field f ON f.t = c.t AND f.y = c.y + dy AND f.x = c.x + dx GROUP BY c.t, c.y, c.x""")
 def ring_gradient(spark, sf_dir):
+    """The gradient around every cell that is lower than its ring."""
     f = field(spark, sf_dir)
-    return rounded(R.ring_gradient(f, f.where("y % 4 = 1 AND x % 4 = 2").select(*KEYS), R.ring(0, 2)), *KEYS, digits=9)
+    ring = R.ring(0, 2)
+    lower = R.neighbours(f, ring, SHAPE).groupBy(*KEYS).agg(F.min("v").alias("least")).join(f, list(KEYS)).where("v < least").select(*KEYS)
+    return rounded(R.ring_gradient(f, lower, ring), *KEYS, digits=9)
 
 
 @query(f"""WITH {FIELD_SQL}, {RING_SQL} SELECT c.t, c.y, c.x, round(avg((f.v - c.v)/d), 9) AS gradient FROM field c, rg JOIN field f ON f.t = c.t AND f.y = c.y + dy AND f.x = c.x + dx GROUP BY c.t, c.y, c.x""")
@@ -172,9 +175,12 @@ def laplacian_latlong(spark, sf_dir):
     return rounded(R.laplacian_latlong(field(spark, sf_dir), latlong_grid(spark), SHAPE), *KEYS, digits=12)
 
 
-@query("WITH o AS (SELECT dy, dx, sqrt(pow(dy*25e0, 2) + pow(dx*30e0, 2)) AS w FROM range(-8, 9) a(dy), range(-8, 9) b(dx)) SELECT CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, round(w, 9) AS w FROM o WHERE w > 172.5e0 AND w <= 200e0")
+@query(f"""WITH {FIELD_SQL}, o AS (SELECT * FROM (SELECT dy, dx, sqrt(pow(dy*25e0, 2) + pow(dx*30e0, 2)) AS w FROM range(-8, 9) a(dy), range(-8, 9) b(dx)) WHERE w > 172.5e0 AND w <= 200e0)
+ SELECT t, CAST(y - dy AS INTEGER) AS y, CAST(x - dx AS INTEGER) AS x, round(sum(v*w), 6) + 0e0 AS v FROM field, o WHERE y - dy BETWEEN 0 AND 31 AND x - dx BETWEEN 0 AND 31 GROUP BY 1, 2, 3""")
 def ring_by_distance(spark, sf_dir):
-    return spark.createDataFrame(R.ring_distance(25.0, 30.0, 200.0), "dy int, dx int, w double").withColumn("w", F.round("w", 9))
+    """Sums over the ring 200 km away in cells of 25 by 30 km, weighted by distance."""
+    made = R.stencil_sum(field(spark, sf_dir), R.ring_distance(25.0, 30.0, 200.0), shape=SHAPE)
+    return made.withColumn("v", F.round("v", 6) + 0.0)
 
 
 @query(f"""WITH {FIELD_SQL} SELECT CASE WHEN v >= -0.2e0 AND v < -0.1e0 THEN 1 WHEN v >= -0.1e0 AND v < 0 THEN 2 WHEN v >= 0 AND v < 0.1e0 THEN 3 WHEN v >= 0.1e0 AND v <= 0.2e0 THEN 4 END AS bin, count(*) AS n FROM field GROUP BY 1""")
