@@ -229,12 +229,13 @@ def test_closed_areas_are_the_highest_admissible_edges():
         n = len(centers)
         order = sorted(range(n), key=lambda i: (centers["p_cent"][i], i))
         for place, me in enumerate(order):
-            row = got.iloc[me]
+            row, parents = got.iloc[me], got["parent"].astype(int).tolist()
             seen.add(int(row["type"]))
-            if row["parent"] != me:
-                assert row["type"] == 2 and got.iloc[row["parent"]]["type"] == 1 and row["p_edge"] == got.iloc[row["parent"]]["p_edge"]
+            if parents[me] != me:
+                head = got.iloc[parents[me]]
+                assert row["type"] == 2 and head["type"] == 1 and row["p_edge"] == head["p_edge"]
                 continue
-            free = {i for i in range(n) if i != me and order.index(got.iloc[i]["parent"]) >= place}
+            free = {i for i in range(n) if i != me and order.index(parents[i]) >= place}
             near = {i for i in free if L._distance(centers["lat"][me], centers["lat"][i], centers["lon"][me], centers["lon"][i]) <= reach}
             top = math.ceil((field.max() - centers["p_cent"][me]) / interval)
             contours = [L.label_grid(field < centers["p_cent"][me] + k * interval) for k in range(top + 1)]
