@@ -42,8 +42,9 @@ AXES, LEAF, FAN, WALK = 32, 8, 8, 64
 BAND, SELECTIVE, MISS = 1.5, 2, 1e-12
 #: Sets up to this size have groupings by trial, larger ones by the formula for independent groups.
 SMALL = 64
-#: Sets of a star that are joined with its centre at a time, sets of a block, and shingles of either.
-CHUNK, BLOCK, TASK_SHINGLES = 64, 128, 1_000_000
+#: Sets of a star that are joined with its centre at a time, sets of a block, and shingles of either.  A star of m sets that the chunks
+#: leave unlinked goes to its pairs of blocks as m * m / BLOCK rows; a pair is a task of 2 * BLOCK points.
+CHUNK, BLOCK, TASK_SHINGLES = 64, 512, 1_000_000
 #: Edges that one task of the components' rounds takes.
 EDGES_A_TASK = 100_000
 #: Rows of (id, task, side) up to which they are broadcast: some 25 MB.
