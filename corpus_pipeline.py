@@ -21,7 +21,11 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below TOXIC; empty and null texts score low and stay."""
+    """Documents scored below TOXIC; empty and null texts score low and stay.
+
+    Repeated rows share their fate, texts of any length are read whole, other columns pass through whatever
+    their names, and an empty table stays empty.
+    """
     name = "toxicity_score"
     while name in docs.columns:
         name += "_"
@@ -39,7 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group of near duplicates: the one of smallest doc_id, a null one last.  Texts without words stay.
 
     The decision is by row, whatever its doc_id: rows are told apart by a 64-bit hash of all
-    their columns, and of rows equal in all columns one stays.
+    their columns, and of rows equal in all columns one stays.  Other columns pass through whatever their
+    names, texts of any length are read whole, and an empty table stays empty.
     """
     row = F.xxhash64(*[F.struct(F.col(c).isNull(), c) for c in docs.columns])
     worded = docs.where(F.col("text").rlike(WORD_PATTERN))
@@ -58,7 +63,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms for personal data, null and empty ones as they are; ``n_chars`` follows the text."""
+    """Texts with pseudonyms for personal data, null and empty ones as they are; ``n_chars`` follows the text.
+
+    Repeated rows get equal results, texts of any length are read whole, and an empty table stays empty.
+    """
     names = docs.columns
     out = pseudonymise(docs, configured_key(spark))
     if "n_chars" in names:
@@ -77,7 +85,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row and the text they decode to: doc_id, source, n_tokens, ids (little-endian unsigned 32-bit) and decoded.
 
-    Null and empty texts have no ids and decode to an empty text.
+    Null and empty texts have no ids and decode to an empty text.  Repeated rows come out as often as they go
+    in, texts of any length are encoded whole, and an empty table stays empty.
     """
     coded = encode(docs.select("doc_id", "source", "text"), tokenizer_path(), decoded=True)
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
