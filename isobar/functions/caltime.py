@@ -127,8 +127,8 @@ def _date_of(days: Column, days_per_year: int, leap_years: bool) -> Column:
         return F.struct(F.floor(days / days_per_year).cast("bigint").alias("y"), date["month"].alias("m"), date["day"].alias("d"))
     # from a guess that is never late, at most one year early
     low = F.floor((days + 1) * 400 / F.lit(146097)).cast("bigint")
-    guess = F.filter(F.array(low + 1, low, low - 1), lambda g: _month_start(g, F.lit(1), 365, True) <= days)[0]
-    month = lambda y: F.filter(F.sequence(F.lit(12), F.lit(1), F.lit(-1)), lambda m: _month_start(y, m, 365, True) <= days)[0]
+    guess = F.get(F.filter(F.array(low + 1, low, low - 1), lambda g: _month_start(g, F.lit(1), 365, True) <= days), F.lit(0))
+    month = lambda y: F.get(F.filter(F.sequence(F.lit(12), F.lit(1), F.lit(-1)), lambda m: _month_start(y, m, 365, True) <= days), F.lit(0))
     return F.transform(F.array(guess), lambda y: F.transform(F.array(month(y)), lambda m: F.struct(y.alias("y"), m.alias("m"), (days - _month_start(y, m, 365, True) + 1).alias("d")))[0])[0]
 
 

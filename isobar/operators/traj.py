@@ -81,7 +81,9 @@ def nearest_axis(points: DataFrame, axis: DataFrame, value: str, coordinate: str
     brackets = distinct.withColumn("_high", F.lead("_low").over(order))
     below = distinct.agg(F.lit(None).cast("double").alias("_low"), F.min("_low").alias("_high"))
     brackets = brackets.unionByName(below)
-    ends = F.sequence(F.coalesce(bucket(F.col("_low")), F.lit(-1)), F.coalesce(bucket(F.col("_high")), F.lit(last)))
+    # greatest and least pass over nulls
+    open_or = lambda c, end: F.when(F.col(c).isNull(), F.lit(end)).otherwise(bucket(F.col(c)))
+    ends = F.sequence(open_or("_low", -1), open_or("_high", last))
     placed = brackets.withColumn("_bucket", F.explode(ends))
     if last <= BROADCAST_ROWS:
         placed = F.broadcast(placed)

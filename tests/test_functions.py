@@ -96,3 +96,53 @@ def test_circular_mean(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, v array<double>")
     got = {r["i"]: r["m"] for r in rows.select("i", S.mean_circular(F.col("v"), 0.0, 360.0).alias("m")).collect()}
     assert got[0] == pytest.approx(360.0) and got[1] == 90.0 and got[2] is None and got[4] == pytest.approx(2.0)
+
+
+@pytest.mark.parametrize(("days_per_year", "leap_years"), [(365, True), (365, False), (360, False)])
+def test_calendar_add_against_exact_fractions(spark, days_per_year, leap_years):
+    import random
+
+    rng = random.Random(1)
+    rows = [
+        (i, rng.choice([rng.randint(-10, 10) or 1, rng.randint(1600, 2100), -1, 1, 2000, 1900]), rng.randint(1, 12), rng.randint(1, 28), float(rng.randint(0, 86399)), rng.choice([0, rng.randint(-30, 30)]), rng.choice([0, rng.randint(-40, 40)]),
+         rng.choice([0.0, 0.25, -0.5, float(rng.randint(-800, 800))]), rng.choice([0.0, float(rng.randint(-200_000, 200_000))]))
+        for i in range(500)
+    ]
+    rows += [(900, -1, 12, 31, 86399.0, 0, 0, 0.0, 1.0), (901, 2012, 10, 31, 63894.0, 0, 0, 0.0, 22530.0), (902, 1900, 9, 30, 43200.0, 0, 0, 0.25, 0.0), (903, 1996, 2, 29 if leap_years else 28, 0.0, 1, 0, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "i int, y int, m int, d int, s double, ys int, ms int, ds double, ss double")
+    step = {"years": F.col("ys"), "months": F.col("ms"), "days": F.col("ds"), "seconds": F.col("ss")}
+    got = {r["i"]: r["a"] for r in frame.select("i", C.calendar_add(F.col("y"), F.col("m"), F.col("d"), F.col("s"), step, days_per_year, leap_years).alias("a")).collect()}
+    for i, y, m, d, s, ys, ms, ds, ss in rows:
+        want = C.time_add([y, m, d, 0, 0, s], [ys, ms, ds, 0, 0, ss], leap_years, days_per_year)
+        assert (got[i]["year"], got[i]["month"], got[i]["day"]) == tuple(want[:3])
+        assert got[i]["seconds"] == pytest.approx(want[3] * 3600 + want[4] * 60 + want[5])
+    assert (got[900]["year"], got[900]["seconds"]) == (1, 0.0)
+
+
+def test_there_is_no_year_0(spark):
+    row = spark.range(1).select(C.calendar_add(F.lit(0), F.lit(1), F.lit(1), F.lit(0), {"days": F.lit(1)}).alias("a")).first()["a"]
+    assert row["year"] is None
+
+
+def test_nearest_axis_meets_by_buckets(spark):
+    from isobar.operators.traj import nearest_axis
+
+    axis = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 40.0, 1000.0, 1000.0)] + [(None,)], "a double")
+    points = spark.createDataFrame([(v,) for v in (-1e9, 0.5, 0.5000001, 1.25, 1.26, 20.0, 20.75, 520.0, 520.1, 1e12)] + [(None,)], "v double")
+    made = nearest_axis(points, axis, "v", "a", "near")
+    assert {r["v"]: r["near"] for r in made.collect()} == {-1e9: 0.0, 0.5: 0.0, 0.5000001: 1.0, 1.25: 1.0, 1.26: 1.5, 20.0: 1.5, 20.75: 1.5, 520.0: 40.0, 520.1: 1000.0, 1e12: 1000.0, None: None}
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
+    assert nearest_axis(points, axis.limit(0), "v", "a", "near").where("near IS NOT NULL").count() == 0
+    assert {r["near"] for r in nearest_axis(points, axis.where("a = 40"), "v", "a", "near").collect()} == {40.0, None}
+
+
+def test_cubes_hold_what_is_near(spark):
+    from isobar.functions.geo import haversine, near_cells, space_cell
+
+    rows = [(0, 89.9, 0.0), (1, 89.9, 180.0), (2, 0.0, 179.9), (3, 0.0, -179.9), (4, 60.0, 10.0), (5, 61.0, 12.0), (6, -45.0, 0.0)]
+    points = spark.createDataFrame(rows, "i int, lat double, lon double")
+    a = points.select("i", "lat", "lon", near_cells(space_cell(F.col("lat"), F.col("lon"), 200.0)).alias("c")).select("i", "lat", "lon", "c.*")
+    b = points.select(F.col("i").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[c.alias(n) for c, n in zip(space_cell(F.col("lat"), F.col("lon"), 200.0), ("cx", "cy", "cz"), strict=True)])
+    met = a.join(b, ["cx", "cy", "cz"]).where(haversine(F.col("lat"), F.col("lat2"), F.col("lon"), F.col("lon2"), "km") < 200)
+    assert {(r["i"], r["j"]) for r in met.select("i", "j").collect()} == {(i, i) for i in range(7)} | {(0, 1), (1, 0), (2, 3), (3, 2), (4, 5), (5, 4)}
