@@ -239,13 +239,29 @@ def laplacian_latlong(field: DataFrame, grid: DataFrame, shape: tuple[int, int],
 
 def ring_gradient(field: DataFrame, centers: DataFrame, offsets: Sequence[Offset]) -> DataFrame:
     """``centers`` (t, y, x, ...) with ``gradient``: mean of (neighbour - centre) / distance over the ring's values."""
-    c = centers.select("t", F.col("y").alias("cy"), F.col("x").alias("cx"))
-    at = c.select("t", "cy", "cx", F.explode(_literal(offsets)).alias("o")).select("t", "cy", "cx", (F.col("cy") + F.col("o.dy")).alias("y"), (F.col("cx") + F.col("o.dx")).alias("x"), F.col("o.w").alias("w"))
-    values = at.join(field.select("t", "y", "x", "v"), ["t", "y", "x"])
-    own = field.select("t", F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("v").alias("v0"))
-    made = values.join(own, ["t", "cy", "cx"]).groupBy("t", "cy", "cx").agg(F.avg((F.col("v") - F.col("v0")) / F.col("w")).alias("gradient"))
-    made = made.withColumnsRenamed({"cy": "y", "cx": "x"})
-    return centers.join(made, ["t", "y", "x"], "left")
+    # offset 0 brings the centre's own value; the field is never broadcast, as its size is guessed too small
+    at = centers.select("t", F.col("y").alias("cy"), F.col("x").alias("cx"), F.explode(_literal([(0, 0, 0.0), *offsets])).alias("o"))
+    at = at.select("t", "cy", "cx", (F.col("cy") + F.col("o.dy")).alias("y"), (F.col("cx") + F.col("o.dx")).alias("x"), F.col("o.w").alias("w"))
+    values = at.join(field.select("t", "y", "x", "v").hint("merge"), ["t", "y", "x"])
+    made = values.groupBy("t", "cy", "cx").agg(*_slope(F.col("w"))).select("t", F.col("cy").alias("y"), F.col("cx").alias("x"), _gradient())
+    return centers.join(made.hint("merge"), ["t", "y", "x"], "left")
+
+
+def ring_gradient_field(field: DataFrame, offsets: Sequence[Offset], shape: tuple[int, int]) -> DataFrame:
+    """(t, y, x, gradient) as :func:`ring_gradient` has it for every cell of the field: one shuffle of partial sums and no join."""
+    around = neighbours(field, [(0, 0, 0.0), *offsets], shape)
+    made = around.groupBy("t", "y", "x").agg(*_slope(F.col("w")), F.count(F.when(F.col("w") == 0, 1)).alias("there"))
+    return made.where("there > 0").select("t", "y", "x", _gradient())
+
+
+def _slope(w: Column) -> list[Column]:
+    """Partial sums of a ring gradient; the own value has distance 0."""
+    known = (w > 0) & F.col("v").isNotNull()
+    return [F.max(F.when(w == 0, F.col("v"))).alias("v0"), F.sum(F.when(known, F.col("v") / w)).alias("sv"), F.sum(F.when(known, 1 / w)).alias("sw"), F.count(F.when(known, 1)).alias("n")]
+
+
+def _gradient() -> Column:
+    return F.when(F.col("n") > 0, (F.col("sv") - F.col("v0") * F.col("sw")) / F.col("n")).alias("gradient")
 
 
 def find_centers(field: DataFrame, shape: tuple[int, int], size: int = 3, missing_share: float = 0.5, least_gradient: float = 0.0, offsets: Sequence[Offset] | None = None) -> DataFrame:

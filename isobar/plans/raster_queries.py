@@ -119,8 +119,7 @@ def ring_gradient(spark, sf_dir):
 @query(f"""WITH {FIELD_SQL}, {RING_SQL} SELECT c.t, c.y, c.x, round(avg((f.v - c.v)/d), 9) AS gradient FROM field c, rg JOIN field f ON f.t = c.t AND f.y = c.y + dy AND f.x = c.x + dx GROUP BY c.t, c.y, c.x""")
 def ring_gradient_everywhere(spark, sf_dir):
     """As :func:`ring_gradient`, for every cell, those at the edge with what there is of their ring."""
-    f = field(spark, sf_dir)
-    return rounded(R.ring_gradient(f, f.select(*KEYS), R.ring(0, 2)), *KEYS, digits=9)
+    return rounded(R.ring_gradient_field(field(spark, sf_dir), R.ring(0, 2), SHAPE), *KEYS, digits=9)
 
 
 @query(f"""WITH {FIELD_SQL}, {RING_SQL}, o AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx)), m AS (SELECT f.t, f.y, f.x, f.v, min(g.v) AS best FROM field f, o JOIN field g ON g.t = f.t AND g.y = f.y + dy AND g.x = f.x + dx GROUP BY ALL),
