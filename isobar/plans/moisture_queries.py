@@ -162,10 +162,11 @@ def fixed_width_load(spark, sf_dir):
         F.lit(" " * 16), F.lpad(F.lit("24"), 3, " "), F.lit(" " * 3), F.lpad((1 + k % 12).cast("string"), 4, " "), F.lit(" " * 2), F.lpad((1 + k % 28).cast("string"), 2, " "), F.lit(" " * 4),
         F.lpad((k % 24).cast("string"), 2, " "), F.lit(" " * 23), num(F.round("lat", 2), 6, 2), F.lit(" " * 1), num(F.round("lon", 2), 8, 2), F.lit(" " * 3), F.lpad((1000 + k).cast("string"), 6, " "), F.lit(" " * 1), F.lpad((800 + k % 100).cast("string"), 8, " "),
     )
-    # a file for each trajectory, with a header, lines in order
+    # a file for each trajectory: its header and lines in order are one value, so that no later sort can change their order
     path = folder(spark)
-    lines = r.select("tid", k.alias("k"), text.alias("value")).unionByName(r.select("tid").distinct().select("tid", F.explode(F.sequence(F.lit(-5), F.lit(-1))).alias("k"), F.lit("header").alias("value")))
-    lines.repartition("tid").sortWithinPartitions("tid", "k").select("tid", "value").write.partitionBy("tid").text(path)
+    lines = r.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), text.alias("value")))).alias("lines"))
+    whole = F.concat(F.array_repeat(F.lit("header"), 5), F.transform("lines", lambda line: line["value"]))
+    lines.select("tid", F.array_join(whole, "\n").alias("value")).write.partitionBy("tid").text(path)
     made = read_dumps(spark, f"{path}/tid=*/*.txt", 2)
     return made.withColumn("file", F.regexp_extract("file", r"tid=(-?[0-9]+)/", 1))
 
