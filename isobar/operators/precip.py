@@ -8,11 +8,13 @@ is only looked at while it can hold something nearer than what is known.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from isobar.operators.label import components
+from isobar.operators.label import components, whole_steps
 
 #: Points of a box.
 LEAF = 32
@@ -112,22 +114,33 @@ def attribute(precip: DataFrame, areas: DataFrame, centers: DataFrame, grid: Dat
     spots = lambda frame: frame.join(grid.select("y", "x", "lat", "lon"), ["y", "x"])
     cells = spots(met.where("n > 1").select("t", "region", "y", "x", "total"))
     sides = spots(meets.join(count.where("n > 1").select("t", "region"), ["t", "region"]).join(seats, ["t", "id"]))
-
-    def share(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["t", "y", "x", "total", "id"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=names)
-        return left.assign(id=nearest_owner(_spots(left, sphere), _spots(right, sphere), right["id"].to_numpy(), sphere))[names]
-
-    fresh = lambda frame, *columns: frame.select(*[F.col(c).alias(c) for c in columns]).groupBy("t", "region")
-    contested = fresh(cells, "t", "region", "y", "x", "total", "lat", "lon").cogroup(fresh(sides, "t", "region", "id", "y", "x", "lat", "lon"))
-    return alone.unionByName(contested.applyInPandas(share, alone.schema))
-
-
-def _spots(frame: pd.DataFrame, sphere: bool) -> np.ndarray:
+    # both sides of a region in one run of rows: a task goes through the regions of its steps without a call of Spark's for each
+    rows = lambda frame, **fill: frame.select("t", F.col("region").cast("int").alias("region"), "y", "x", "lat", "lon", *[(fill[n] if n in fill else F.col(n)).cast(kind).alias(n) for n, kind in (("total", "double"), ("id", "int"))])
+    both = rows(cells, id=F.lit(None)).unionByName(rows(sides, total=F.lit(None)).withColumn("seat", F.lit(True)), allowMissingColumns=True)
+    schema = pa.schema([("t", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), ("total", pa.float64()), ("id", pa.int32())])
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_steps(batches):
+            held = {c: part.column(c).to_numpy() for c in ("t", "region", "y", "x", "lat", "lon", "total")}
+            seat, owner = part.column("seat").is_valid().to_numpy(), part.column("id").fill_null(0).to_numpy()
+            places = _spots(held, sphere)
+            cuts = np.flatnonzero(np.diff(held["t"]) | np.diff(held["region"])) + 1
+            given = np.zeros(len(seat), np.int32)
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(seat)], strict=True):
+                own = seat[a:b]
+                if own.any() and not own.all():
+                    given[a:b][~own] = nearest_owner(places[a:b][~own], places[a:b][own], owner[a:b][own], sphere)
+            wet = np.flatnonzero(~seat)
+            yield pa.RecordBatch.from_arrays([pa.array(held[c][wet]).cast(schema.field(c).type) for c in ("t", "y", "x", "total")] + [pa.array(given[wet])], schema=schema)
+
+    contested = both.repartition("t", "region").sortWithinPartitions("t", "region").mapInArrow(share, "t bigint, y int, x int, total double, id int")
+    return alone.unionByName(contested)
+
+
+def _spots(held: dict[str, np.ndarray], sphere: bool) -> np.ndarray:
     if not sphere:
-        return frame[["y", "x"]].to_numpy(float)
-    lat, lon = np.radians(frame["lat"].to_numpy()), np.radians(frame["lon"].to_numpy())
+        return np.column_stack([held["y"], held["x"]]).astype(float)
+    lat, lon = np.radians(held["lat"]), np.radians(held["lon"])
     return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from isobar.operators import raster as R
+from isobar.operators.label import label_cells, label_grid, whole_steps
 
 
 def executed(frame) -> str:
@@ -37,3 +40,22 @@ def test_ring_gradient_of_every_cell(spark):
         want[t, y, x] = round(sum(parts) / len(parts), 9) if parts else None
     assert told(R.ring_gradient_field(field, ring, (6, 7))) == want
     assert told(R.ring_gradient(field, field.select("t", "y", "x"), ring)) == want
+
+
+def test_labels_of_many_steps_at_once():
+    """As the grids one by one, whatever the order of the cells; steps are never cut."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        mask = rng.random((rng.integers(1, 5), *rng.integers(1, 20, 2))) < rng.random()
+        want = np.zeros(mask.shape, int)
+        for step, names in zip(mask, want, strict=True):
+            labels = label_grid(step)
+            for n in range(1, labels.max() + 1):
+                names[labels == n] = np.flatnonzero(labels == n)[0]
+        t, y, x = np.nonzero(mask)
+        mixed = rng.permutation(len(t))
+        assert (label_cells(t[mixed], y[mixed], x[mixed], mask.shape[2]) == want[mask][mixed]).all()
+    t = np.sort(rng.integers(0, 9, 100))
+    for most in (1, 5, 50):
+        parts = [p.column("t").to_numpy() for p in whole_steps((pa.record_batch({"t": t[a : a + 7]}) for a in range(0, 100, 7)), most)]
+        assert (np.concatenate(parts) == t).all() and sum(len(set(p)) for p in parts) == len(set(t))
