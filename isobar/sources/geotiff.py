@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from isobar.sources.shared import Staged, commit, discard, files_of, store_of
+from isobar.sources.shared import Staged, commit, discard, files_of, stage, store_of
 
 #: Fixed values of the format: field types (code of struct, bytes) by number.
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8)}
@@ -139,13 +139,13 @@ class Written(WriterCommitMessage):
 
 class GeoTiffWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, replace: bool) -> None:
-        self.path, self.replace = options["path"], replace
+        self.path, self.replace, self.folder = options["path"], replace, stage(options["path"])
         self.shape = int(options["rows"]), int(options["columns"])
         number = lambda name, default: tuple(float(v) for v in options.get(name, default).split(","))
         self.scale, self.corner = number("scale", "1,1"), number("corner", "0,0")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        files = Staged(self.path, ".tif")
+        files = Staged(self.path, ".tif", self.folder)
         t, grid, done = None, None, set()
 
         def end() -> None:
@@ -175,10 +175,10 @@ class GeoTiffWriter(DataSourceArrowWriter):
         return Written(files.made)
 
     def commit(self, messages: list[Written | None]) -> None:
-        commit(self.path, ".tif", [m for message in messages if message for m in message.made], self.replace)
+        commit(self.path, ".tif", [m for message in messages if message for m in message.made], self.replace, self.folder)
 
     def abort(self, messages: list[Written | None]) -> None:
-        discard(self.path, [m for message in messages if message for m in message.made])
+        discard(self.path, self.folder)
 
 
 class GeoTiff(DataSource):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,12 @@ from numpy.lib import format as npy
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from isobar.sources.geotiff import Written
-from isobar.sources.shared import Staged, commit, discard, files_of, store_of
+from isobar.sources.shared import CALLS, Staged, commit, discard, files_of, stage, store_of
 
-#: Rows that a task reads, and that an archive has before the next key begins a new one.
+#: Rows of a run that is read at once, and that an archive has before the next key begins a new one.
 READ_ROWS, ARCHIVE_ROWS = 1_000_000, 1_000_000
+#: Tasks that short runs are shared out to; with more than READ_ROWS rows for each of them there are more tasks.
+TASKS = 128
 
 
 def _head(member) -> tuple[tuple[int, ...], np.dtype, int]:
@@ -33,9 +36,27 @@ def columns_of(archive: zipfile.ZipFile) -> list[str]:
 
 
 class Rows(InputPartition):
-    def __init__(self, path: str, first: int, last: int) -> None:
-        super().__init__((path, first, last))
-        self.path, self.first, self.last = path, first, last
+    """(path, first row, row after the last) of each run; runs of an archive that follow each other are one."""
+
+    def __init__(self, runs: list[tuple[str, int, int]]) -> None:
+        super().__init__(runs)
+        self.runs = runs
+
+
+def shared_out(runs: list[tuple[str, int, int]]) -> list[Rows]:
+    """Runs in turn until a task has its share of all rows, so that tasks are as few for many short archives as for a long one."""
+    share = min(READ_ROWS, -(-sum(b - a for _, a, b in runs) // TASKS))
+    out: list[list[tuple[str, int, int]]] = []
+    rows = share
+    for path, a, b in runs:
+        if rows >= share:
+            out.append([])
+            rows = 0
+        rows += b - a
+        if out[-1] and out[-1][-1][::2] == (path, a):
+            a = out[-1].pop()[1]
+        out[-1].append((path, a, b))
+    return [Rows(runs) for runs in out]
 
 
 class NpzReader(DataSourceReader):
@@ -44,36 +65,46 @@ class NpzReader(DataSourceReader):
 
     def partitions(self) -> list[Rows]:
         """Runs of rows, from the archives' directories and the arrays' heads alone."""
-        store, out = store_of(self.path)[0], []
-        for path in files_of(self.path, ".npz"):
+        store = store_of(self.path)[0]
+
+        def length(path: str) -> int:
             with store.open_input_file(path) as file, zipfile.ZipFile(file) as archive, archive.open("data.npy") as member:
-                (n, _), _, _ = _head(member)
-            out += [Rows(path, a, min(n, a + self.rows)) for a in range(0, n, self.rows)]
-        return out
+                return _head(member)[0][0]
+
+        paths = files_of(self.path, ".npz")
+        with ThreadPoolExecutor(CALLS) as calls:
+            lengths = calls.map(length, paths)
+            return shared_out([(path, a, min(n, a + self.rows)) for path, n in zip(paths, lengths, strict=True) for a in range(0, n, self.rows)])
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        for path, first, last in partition.runs:
+            yield from self._run(path, first, last)
+
+    def _run(self, path: str, first: int, last: int) -> Iterator[pa.RecordBatch]:
         store = store_of(self.path)[0]
-        with store.open_input_file(partition.path) as file, zipfile.ZipFile(file) as archive:
+        with store.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
             names = columns_of(archive)
             order = [names.index(c) for c in self.names]
             with archive.open("data.npy") as member:
                 (_, width), kind, at = _head(member)
-                member.seek(at + partition.first * width * kind.itemsize)
-                for a in range(partition.first, partition.last, 1 << 16):
-                    n = min(1 << 16, partition.last - a)
+                member.seek(at + first * width * kind.itemsize)
+                for a in range(first, last, 1 << 16):
+                    n = min(1 << 16, last - a)
                     table = np.frombuffer(member.read(n * width * kind.itemsize), kind).reshape(n, width).astype(float)
                     values = [pa.array(table[:, k], mask=np.isnan(table[:, k])) for k in order]
-                    yield pa.RecordBatch.from_arrays([pa.array([partition.path.rsplit("/", 1)[1]] * n), pa.array(np.arange(a, a + n)), *values], ["archive", "row", *self.names])
+                    yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]] * n), pa.array(np.arange(a, a + n)), *values], ["archive", "row", *self.names])
 
 
 class NpzWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, replace: bool) -> None:
         self.path, self.replace, self.rows = options["path"], replace, int(options.get("rows", ARCHIVE_ROWS))
+        self.folder = stage(self.path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        files = Staged(self.path, ".npz")
+        files = Staged(self.path, ".npz", self.folder)
         held: list[np.ndarray] = []
         names: list[str] = []
+        rows = 0
 
         def end() -> None:
             table = np.concatenate(held)
@@ -92,9 +123,11 @@ class NpzWriter(DataSourceArrowWriter):
                 cuts = [0, *(np.flatnonzero(np.diff(table[:, 0])) + 1).tolist(), len(table)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     # a trajectory stays in one archive
-                    if held and sum(map(len, held)) >= self.rows and table[a, 0] != held[-1][-1, 0]:
+                    if rows >= self.rows and table[a, 0] != held[-1][-1, 0]:
                         end()
+                        rows = 0
                     held.append(table[a:b])
+                    rows += b - a
             if held:
                 end()
         except BaseException:
@@ -103,16 +136,16 @@ class NpzWriter(DataSourceArrowWriter):
         return Written(files.made)
 
     def commit(self, messages: list[Written | None]) -> None:
-        commit(self.path, ".npz", [m for message in messages if message for m in message.made], self.replace)
+        commit(self.path, ".npz", [m for message in messages if message for m in message.made], self.replace, self.folder)
 
     def abort(self, messages: list[Written | None]) -> None:
-        discard(self.path, [m for message in messages if message for m in message.made])
+        discard(self.path, self.folder)
 
 
 class NpzTrajectories(DataSource):
     """archive, row and the archives' columns as doubles; missing values are null.
 
-    Reading: a task reads ``rows`` rows of one archive.  Writing: numbers, the first column is the id, which rows
+    Reading: runs of ``rows`` rows of one archive, shared out to tasks.  Writing: numbers, the first column is the id, which rows
     have to be sorted by (repartitionByRange and sortWithinPartitions); a task begins a new archive with the next id once one has
     ``rows`` rows.  Files appear when all tasks are done.
     """

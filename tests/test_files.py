@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,33 @@ def test_trajectories_round_trip(spark, tmp_path):
     assert read.rdd.getNumPartitions() > read.select("archive").distinct().count()
 
 
+def test_short_archives_share_tasks(spark, tmp_path):
+    for i in range(3 * npz.TASKS):
+        np.savez(tmp_path / f"{i:04}.npz", data=np.array([[i, 0.0], [i, 1.0], [i, 2.0]]), column_names=np.array(["traj_id", "step"]))
+    read = spark.read.format("npz").option("rows", 2).load(str(tmp_path))
+    assert read.rdd.getNumPartitions() <= npz.TASKS
+    assert sorted((r["traj_id"], r["step"], r["row"]) for r in read.collect()) == [(float(i), float(k), k) for i in range(3 * npz.TASKS) for k in range(3)]
+
+
+@pytest.mark.parametrize("kind", ["geotiff", "npz"])
+def test_an_aborted_job_takes_what_running_tasks_staged(tmp_path, kind):
+    path = str(tmp_path / "out")
+    writer = geotiff.GeoTiffWriter({"path": path, "rows": "2", "columns": "2"}, False) if kind == "geotiff" else npz.NpzWriter({"path": path, "rows": "1"}, False)
+    # two keys, so that the first file is staged while the task still waits for more
+    batch = pa.RecordBatch.from_pydict({"t": pa.array([0, 1]), "y": pa.array([0, 0], pa.int32()), "x": pa.array([0, 1], pa.int32()), "v": pa.array([1.0, 2.0])})
+
+    def batches():
+        yield batch
+        assert [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+        writer.abort([None])
+        assert list((tmp_path / "out").iterdir()) == []
+        yield batch.set_column(0, "t", pa.array([2, 3]))
+
+    with pytest.raises(FileNotFoundError):
+        writer.write(batches())
+    assert list((tmp_path / "out").iterdir()) == []
+
+
 def test_archives_of_others_and_missing_ones(spark, tmp_path):
     table = np.arange(5000.0).reshape(1000, 5)
     np.savez(tmp_path / "a.npz", data=table, column_names=np.array(["traj_id", "a", "b", "c", "d"]))
