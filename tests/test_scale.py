@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from isobar.operators import raster as R
-from isobar.operators.label import label_cells, label_grid, whole_steps
+from isobar.operators.label import Contours, label_cells, label_grid, whole_steps
 
 
 def executed(frame) -> str:
@@ -42,6 +42,33 @@ def test_ring_gradient_of_every_cell(spark):
     assert told(R.ring_gradient(field, field.select("t", "y", "x"), ring)) == want
 
 
+def test_stencils_over_the_pressure_send_no_exploded_rows(spark, data):
+    """Dealt by step once, before the smoothing; extrema over it need no further shuffle."""
+    from isobar.plans.raster_queries import SHAPE, pressure
+
+    for made in (R.extrema(pressure(spark, data), 5, shape=SHAPE), R.laplacian(pressure(spark, data), SHAPE)):
+        assert executed(made).count("Exchange ") == 1
+
+
+def test_floods_against_levels_by_relaxation():
+    """Cells in the order of the least possible largest value on a way from the seed, also beside missing cells."""
+    draw = np.random.default_rng(3)
+    for _ in range(40):
+        grid = draw.normal(size=(5, 6)).round(1)
+        grid[draw.random(grid.shape) < 0.1] = np.nan
+        grid[2, 3] = 0.0
+        level = np.full((7, 8), np.inf)
+        level[3, 4] = 0.0
+        for _ in range(30):
+            around = np.minimum.reduce([level[:-2, 1:-1], level[2:, 1:-1], level[1:-1, :-2], level[1:-1, 2:]])
+            inner = np.minimum(level[1:-1, 1:-1], np.where(np.isnan(grid), np.inf, np.maximum(around, grid)))
+            level[1:-1, 1:-1] = inner
+        limit = float(draw.uniform(0.1, 1.5))
+        flood = Contours(grid, (2, 3), limit)
+        assert np.array_equal(flood.level, np.where(inner < limit, inner, np.inf))
+        assert np.all(np.diff(inner.ravel()[flood.cells]) >= 0) and len(flood.cells) == (inner < limit).sum()
+
+
 def test_labels_of_many_steps_at_once():
     """As the grids one by one, whatever the order of the cells; steps are never cut."""
     rng = np.random.default_rng(1)
