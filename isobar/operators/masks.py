@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from isobar.functions.geo import haversine
+from isobar.sources.shared import written
 
 
 def valid_range(v: Column, low: float = 80000.0, high: float = 200000.0) -> Column:
@@ -51,12 +52,16 @@ def nearest_point(points: DataFrame, targets: DataFrame, reach_km: float | None
     if reach_km is not None:
         found = _nearest_within(points, targets, reach_km, key)
     else:
-        left, parts, reach = points, [], start_km
+        # each round is written, or the next would do it again
+        points = written(points)
+        left, parts, reach = points.select(key, "lat", "lon"), [], start_km
         while True:
-            part = _nearest_within(left, targets, min(reach, HALF_WAY_KM), key)
+            part = written(_nearest_within(left, targets, min(reach, HALF_WAY_KM), key))
             parts.append(part)
-            left = left.join(part.select(key), key, "left_anti")
-            if reach >= HALF_WAY_KM or left.isEmpty():
+            if reach >= HALF_WAY_KM:
+                break
+            left = written(left.join(part.select(key), key, "left_anti"))
+            if left.isEmpty():
                 break
             reach *= 4
         found = parts[0]
@@ -67,8 +72,9 @@ def nearest_point(points: DataFrame, targets: DataFrame, reach_km: float | None
 
 def _nearest_within(points: DataFrame, targets: DataFrame, reach_km: float, key: str) -> DataFrame:
     band = F.floor((F.col("lat") + 90) / (reach_km / 6371.0 * 180 / math.pi)).cast("int")
-    left = points.select(key, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    right = targets.select("target", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("band"))
+    # points in the order of their key: where the targets are broadcast the pairs keep it, so the least is taken as they come and none is held
+    left = points.select(key, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), band.alias("band")).repartition(key).sortWithinPartitions(key)
+    right = targets.select("target", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     pairs = left.join(right, "band").withColumn("distance", haversine(F.col("lat1"), F.col("lat2"), F.col("lon1"), F.col("lon2"), "km"))
     best = pairs.where(F.col("distance") <= reach_km).groupBy(key).agg(F.min(F.struct("distance", "target")).alias("b"))
     return best.select(key, F.col("b.target").alias("target"), F.col("b.distance").alias("distance"))

@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from isobar.functions.geo import haversine
 from isobar.operators import raster as R
 from isobar.operators.label import Contours, label_cells, label_grid, whole_steps
+from isobar.operators.masks import _nearest_within, nearest_point
 
 
 def executed(frame) -> str:
@@ -50,6 +52,18 @@ def test_stencils_over_the_pressure_send_no_exploded_rows(spark, data):
         assert executed(made).count("Exchange ") == 1
 
 
+def test_pairs_of_points_and_targets_are_not_sorted(spark):
+    """The one sort before the least distance is that of the points; pairs, up to a row for each target, come in its order."""
+    points = spark.range(50).select("id", (F.col("id") * 1.5 - 40).alias("lat"), (F.col("id") * 7 % 360 - 180.0).alias("lon"))
+    targets = spark.range(4).select(F.col("id").alias("target"), (F.col("id") * 20.0 - 30).alias("lat"), (F.col("id") * 5.0).alias("lon"))
+    made = _nearest_within(points, targets, 8000.0, "id")
+    assert executed(made).count("Sort ") == 1 and executed(made).count("BroadcastHashJoin") == 1
+    got = {r["id"]: r["target"] for r in nearest_point(points, targets).collect()}
+    km = haversine(F.col("p.lat"), F.col("t.lat"), F.col("p.lon"), F.col("t.lon"), "km")
+    every = points.alias("p").crossJoin(targets.alias("t")).groupBy("p.id").agg(F.min(F.struct(km.alias("d"), "target"))["target"].alias("target"))
+    assert got == {r["id"]: r["target"] for r in every.collect()}
+
+
 def test_floods_against_levels_by_relaxation():
     """Cells in the order of the least possible largest value on a way from the seed, also beside missing cells."""
     draw = np.random.default_rng(3)
