@@ -74,6 +74,8 @@ def _nearest_within(points: DataFrame, targets: DataFrame, reach_km: float, key:
     band = F.floor((F.col("lat") + 90) / (reach_km / 6371.0 * 180 / math.pi)).cast("int")
     # points in the order of their key: where the targets are broadcast the pairs keep it, so the least is taken as they come and none is held
     left = points.select(key, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), band.alias("band")).repartition(key).sortWithinPartitions(key)
+    # always true; a sort right below a join is dropped, and the pairs would be sorted instead
+    left = left.where(F.spark_partition_id() >= 0)
     right = targets.select("target", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     pairs = left.join(right, "band").withColumn("distance", haversine(F.col("lat1"), F.col("lat2"), F.col("lon1"), F.col("lon2"), "km"))
     best = pairs.where(F.col("distance") <= reach_km).groupBy(key).agg(F.min(F.struct("distance", "target")).alias("b"))

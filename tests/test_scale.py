@@ -57,7 +57,8 @@ def test_pairs_of_points_and_targets_are_not_sorted(spark):
     points = spark.range(50).select("id", (F.col("id") * 1.5 - 40).alias("lat"), (F.col("id") * 7 % 360 - 180.0).alias("lon"))
     targets = spark.range(4).select(F.col("id").alias("target"), (F.col("id") * 20.0 - 30).alias("lat"), (F.col("id") * 5.0).alias("lon"))
     made = _nearest_within(points, targets, 8000.0, "id")
-    assert executed(made).count("Sort ") == 1 and executed(made).count("BroadcastHashJoin") == 1
+    plan = executed(made)
+    assert plan.count("Sort ") == plan.count("BroadcastHashJoin ") == 1 and plan.index("BroadcastHashJoin ") < plan.index("Sort ")
     got = {r["id"]: r["target"] for r in nearest_point(points, targets).collect()}
     km = haversine(F.col("p.lat"), F.col("t.lat"), F.col("p.lon"), F.col("t.lon"), "km")
     every = points.alias("p").crossJoin(targets.alias("t")).groupBy("p.id").agg(F.min(F.struct(km.alias("d"), "target"))["target"].alias("target"))
