@@ -171,7 +171,7 @@ def slope_latlong(spark, sf_dir):
 @query(f"""WITH {FIELD_SQL}, {SOBEL_SQL}, {slope_sql('field', 'a')}, ax AS (SELECT t, y, x, gx AS v FROM a), ay AS (SELECT t, y, x, gy AS v FROM a), {slope_sql('ax', 'b')}, {slope_sql('ay', 'c')}
  SELECT t, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(b.gx + c.gy, 12) AS v FROM b JOIN c USING (t, y, x)""")
 def laplacian_latlong(spark, sf_dir):
-    return rounded(R.laplacian_latlong(field(spark, sf_dir), latlong_grid(spark), SHAPE), *KEYS, digits=12)
+    return rounded(R.laplacian_latlong(by_step(spark, sf_dir), latlong_grid(spark), SHAPE), *KEYS, digits=12)
 
 
 @query(f"""WITH {FIELD_SQL}, o AS (SELECT * FROM (SELECT dy, dx, sqrt(pow(dy*25e0, 2) + pow(dx*30e0, 2)) AS w FROM range(-8, 9) a(dy), range(-8, 9) b(dx)) WHERE w > 172.5e0 AND w <= 200e0)
@@ -194,9 +194,17 @@ def components(spark, sf_dir):
     return L.components(field(spark, sf_dir).where("v < -0.1"), SHAPE)
 
 
+def by_step(spark, sf_dir):
+    """The field view dealt by step, so that stencils over it find all their cells in one task.
+
+    With a number, as tasks would be put together by the bytes they read, which are few for the cells they hold.
+    """
+    return field(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "t")
+
+
 def pressure(spark, sf_dir):
-    """The field view smoothed and scaled to Pa, dealt by step: the stencils over it find all their cells in one task."""
-    smooth = R.uniform_filter(field(spark, sf_dir).repartition("t"), 3, SHAPE)
+    """The field view smoothed and scaled to Pa."""
+    smooth = R.uniform_filter(by_step(spark, sf_dir), 3, SHAPE)
     return smooth.withColumn("v", 100000 + 20000 * F.col("v"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,11 @@ def test_pairs_of_points_and_targets_are_not_sorted(spark):
     assert got == {r["id"]: r["target"] for r in every.collect()}
 
 
+def test_the_laplacian_sends_cells_only_for_the_join_of_its_halves(spark, data):
+    plan = executed(entry.queries()["laplacian_latlong"](spark, data))
+    assert len(re.findall(r"Exchange hashpartitioning\(t#\d+L?, y#\d+, x#\d+", plan)) == 2
+
+
 def test_floods_against_levels_by_relaxation():
     """Cells in the order of the least possible largest value on a way from the seed, also beside missing cells."""
     draw = np.random.default_rng(3)
