@@ -71,6 +71,13 @@ def test_the_laplacian_sends_cells_only_for_the_join_of_its_halves(spark, data):
     assert len(re.findall(r"Exchange hashpartitioning\(t#\d+L?, y#\d+, x#\d+", plan)) == 2
 
 
+@pytest.mark.parametrize("name", ["event_density_grid", "event_density_smoothed"])
+def test_observations_of_a_density_are_made_once_for_each_use(spark, data, name):
+    """Once for the ends of tracks and once for their events; the kept tracks are read from a table."""
+    plan = executed(entry.queries()[name](spark, data))
+    assert len(re.findall(r"Window \[row_number", plan)) == 2
+
+
 def test_floods_against_levels_by_relaxation():
     """Cells in the order of the least possible largest value on a way from the seed, also beside missing cells."""
     draw = np.random.default_rng(3)
