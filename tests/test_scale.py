@@ -78,6 +78,13 @@ def test_observations_of_a_density_are_made_once_for_each_use(spark, data, name)
     assert len(re.findall(r"Window \[row_number", plan)) == 2
 
 
+def test_a_filter_of_tracks_holds_one_measure_at_a_time(spark, data):
+    """Its own plan only joins a row for each track; the rows were sorted in jobs of their own."""
+    from isobar.plans.track_queries import kept_tracks
+
+    assert "Window" not in executed(kept_tracks(spark, data))
+
+
 def test_floods_against_levels_by_relaxation():
     """Cells in the order of the least possible largest value on a way from the seed, also beside missing cells."""
     draw = np.random.default_rng(3)
