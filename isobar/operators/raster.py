@@ -1,7 +1,8 @@
 """Stencils over gridded fields in the long layout (t, y, x, v).
 
 A stencil is a short list of offsets; each cell is sent to the cells it counts for and summed
-there, so the field is shuffled once, on (t, y, x), and no task holds a whole time step.  Missing
+there, so the field is shuffled once, on (t, y, x), and no task holds a whole time step, unless the
+field comes dealt by t: then it isn't shuffled again, and a task has all cells of its steps.  Missing
 cells are null or absent.  Offsets are literals of the plan: nothing is broadcast or collected.
 """
 
