@@ -1,15 +1,16 @@
 """Exact top-k search by inner product with MaxScore, over shards of integer vectors.
 
-A vector is a document over 2 d terms: the positive and the negative part of each component.  A
-shard has a posting list for each term, in the order of falling parts.  A query's term for component
-j has the sign of its own component; only documents with the same sign gain from it, at most |q_j|
-times the term's largest part (its score bound).  A query takes its terms by falling bound; the
-non-essential ones are the last, whose bounds together stay below the current threshold, so that a
-document in no essential posting can't enter.  Essential postings are traversed one after the other;
-a document is dropped as soon as its gains and the bounds still to come stay below the threshold.
-Only for the documents left are products taken, of the essential components first and then of the
-others, in groups, while they are competitive.  Every shard hands its threshold on to the next; the
-shards' lists are merged by score, ties to the smaller id.
+A vector is a document over 2 d terms: the positive and the negative part of each component.  Both
+terms of a component share one posting list, in the order of documents, with signed parts.  A query's
+term for component j has a score bound: the most that any document of the shard gains from it.  A
+query takes its terms by falling bound; the non-essential ones are the last, whose bounds together
+stay below the current threshold, so that a document that gains nothing from the essential ones can't
+enter.  The essential lists are traversed in single precision, whose rounding widens the bounds; a document
+is dropped as soon as its sum so far and the bounds still to come stay below the threshold.  The other lists
+follow in groups, while many documents are left.  Only for the few left after that are products of integers
+taken, of the lists traversed first and then of the others, in groups, while they are competitive.  A shard
+whose bounds together stay below the threshold is passed over.  Every shard hands its thresholds on to the
+next; the shards' lists are merged by score, ties to the smaller id.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Vectors of a shard, and queries that a task holds.
-BLOCK, QUERIES = 2048, 8192
+#: Vectors of a shard, and queries that a task holds at most.
+BLOCK, QUERIES = 8192, 8192
 #: Shards that a task takes in turn, on average.
-RUN = 16
-#: Non-essential components that are probed at a time.
-PROBE = 8
+RUN = 4
+#: Tasks that a small table is dealt to, as long as each has SHARE queries.
+TASKS, SHARE = 16, 512
+#: Non-essential components that are taken at a time, and the part of the documents (one in SPARSE) up to which products are taken.
+PROBE, SPARSE = 8, 32
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -35,65 +38,77 @@ def quantised(vector: Column, scale: int = 64) -> Column:
 
 
 class Shard:
-    """Vectors with their postings: for each component the documents by falling value, so that the positive part's
-    posting is read from the front and the negative part's from the back."""
+    """Vectors with the posting list of each component, and its documents by rising value: the positive part's
+    strongest documents are read from the back and the negative part's from the front."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        self.order = np.ascontiguousarray(np.argsort(-vectors, axis=0, kind="stable").T.astype(np.int32))
-        self.sorted = np.ascontiguousarray(np.take_along_axis(vectors, self.order.T, 0).T)
-        self.positive, self.negative = (vectors > 0).sum(0), (vectors < 0).sum(0)
-        self.top = np.maximum(vectors, 0).max(0), np.maximum(-vectors, 0).max(0)
-
-    def posting(self, j: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, parts) of a term, parts falling."""
-        if sign > 0:
-            return self.order[j, : self.positive[j]], self.sorted[j, : self.positive[j]]
-        n = len(self.ids) - self.negative[j]
-        return self.order[j, n:][::-1], -self.sorted[j, n:][::-1]
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
+        self.most, self.least = vectors.max(0).astype(np.int64), vectors.min(0).astype(np.int64)
+        self.lists = np.ascontiguousarray(vectors.T, np.float32)
+        self.held = np.empty_like(self.lists)
+
+    def sums(self, q: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """What each document gains from the lists of ``part``; they are gathered in one place that is used again."""
+        return q[part] @ self.lists.take(part, 0, self.held[: len(part)], "clip")
 
     def search(self, query_id: int, q: np.ndarray, k: int, best: list[np.ndarray]) -> list[np.ndarray]:
         """Merge this shard into ``best`` (scores, ids), sorted by score descending and id ascending."""
-        bound = np.where(q > 0, q * self.top[0], -q * self.top[1])
-        terms = np.argsort(-bound, kind="stable")
-        terms = terms[bound[terms] > 0]
-        done = np.zeros(len(self.ids), bool)
+        return self.search_all(np.array([query_id]), q[None], k, [best])[0]
+
+    def search_all(self, query_ids: np.ndarray, queries: np.ndarray, k: int, best: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        """:meth:`search` for each row of ``queries`` (bigint)."""
+        if not queries.size:
+            return [self._merged(i, np.arange(len(self.ids)), np.zeros(len(self.ids), np.int64), k, b) for i, b in zip(query_ids, best, strict=True)]
+        bound = np.maximum(queries * self.most, queries * self.least)
+        terms = np.argsort(-bound, axis=1, kind="stable")
+        # bounds of all terms from each place on
+        rest = np.zeros((len(queries), queries.shape[1] + 1), np.int64)
+        rest[:, :-1] = np.take_along_axis(bound, terms, 1)[:, ::-1].cumsum(1)[:, ::-1]
+        # sums of integers are exact as far as a type holds all of them, in any order
+        reach = np.abs(queries).astype(float) @ np.maximum(self.most, -self.least).astype(float)
+        error = np.where(reach < 1 << 24, 0, (queries.shape[1] + 8) * 2.0**-23 * reach)
+        exact = queries.astype(float) if reach.max() < 1 << 53 else queries
+        return [self._one(*x, k) for x in zip(query_ids, exact, queries.astype(np.float32), terms, rest, error.tolist(), best, strict=True)]
+
+    def _one(self, query_id: int, q: np.ndarray, single: np.ndarray, terms: np.ndarray, rest: np.ndarray, error: float, best: list[np.ndarray], k: int) -> list[np.ndarray]:
+        used = q[terms] != 0
+        terms, rest = terms[used], np.append(rest[:-1][used], 0)
+        heads = None
         if len(best[0]) < k and len(terms):
-            # no threshold yet: the heads of the strongest postings give one
-            heads = np.unique(np.concatenate([self.posting(j, 1 if q[j] > 0 else -1)[0][: 2 * k] for j in terms[:4]]))
-            best, done[heads] = self._merged(query_id, heads, self.vectors[heads] @ q, k, best), True
-        theta = best[0][k - 1] if len(best[0]) >= k else None
-        if theta is None or theta <= 0:
-            # a document in no posting has a score of 0 or less and may still enter
-            rows = np.flatnonzero(~done)
-            return self._merged(query_id, rows, self.vectors[rows] @ q, k, best)
-        # bounds of all terms from each place on; a score equal to the threshold still enters by a smaller id
-        rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])
-        split = int(np.argmax(rest < theta))
-        gain = np.zeros(len(self.ids), np.int64)
-        live = ~done
-        for place, j in enumerate(terms[:split].tolist()):
-            docs, parts = self.posting(j, 1 if q[j] > 0 else -1)
-            gain[docs] += parts * abs(int(q[j]))
-            live &= gain + rest[place + 1] >= theta
-        rows = np.flatnonzero(live & (gain > 0))
-        # what the query's zeros and unbounded terms have can only be 0 or negative; it is probed with the rest
-        others = np.setdiff1d(np.flatnonzero(q), terms[:split])
-        others = others[np.argsort(-np.abs(q[others]) * np.maximum(*self.top)[others], kind="stable")]
-        score = self.vectors[np.ix_(rows, terms[:split])] @ q[terms[:split]]
-        for a in range(0, len(others) + 1, PROBE):
-            enough = score + bound[others[a:]].sum() >= theta
+            # no threshold yet: the heads of the strongest lists give one
+            heads = np.unique(np.concatenate([self.order[j, -2 * k :] if q[j] > 0 else self.order[j, : 2 * k] for j in terms[:4]]))
+            best = self._merged(query_id, heads, self.vectors[heads].astype(q.dtype) @ q, k, best)
+        # a score equal to the threshold still enters by a smaller id; with fewer than k documents all enter
+        theta = int(best[0][k - 1]) if len(best[0]) >= k else None
+        least = [float("-inf") if theta is None else theta - r for r in rest.tolist()]
+        place = next((a for a, x in enumerate(least) if x > 0), len(terms))
+        if least[0] > 0:
+            return best
+        score = self.sums(single, terms[:place])
+        live = score >= least[place] - error
+        while place < len(terms) and np.count_nonzero(live) * SPARSE > len(live):
+            part = terms[place : place + PROBE]
+            score += self.sums(single, part)
+            place += len(part)
+            live = score >= least[place] - error
+        if heads is not None:
+            live[heads] = False
+        rows = np.flatnonzero(live)
+        score = self.vectors[rows[:, None], terms[:place]].astype(q.dtype) @ q[terms[:place]]
+        for a in range(place, len(terms) + 1, PROBE):
+            enough = score >= least[a]
             rows, score = rows[enough], score[enough]
-            part = others[a : a + PROBE]
+            part = terms[a : a + PROBE]
             if not len(rows) or not len(part):
                 break
-            score = score + self.vectors[np.ix_(rows, part)] @ q[part]
-        enough = score >= theta
+            score = score + self.vectors[rows[:, None], part].astype(q.dtype) @ q[part]
+        enough = score >= least[-1]
         return self._merged(query_id, rows[enough], score[enough], k, best)
 
     def _merged(self, query_id: int, rows: np.ndarray, score: np.ndarray, k: int, best: list[np.ndarray]) -> list[np.ndarray]:
         own = self.ids[rows] != query_id
-        rows, score = rows[own], score[own]
+        rows, score = rows[own], score[own].astype(np.int64)
         if not len(rows):
             return best
         if len(rows) > 4 * k:
@@ -138,14 +153,16 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     counts as filled up with zeros).  A query's own id is no candidate; null vectors take no part; with fewer than k
     candidates all are returned; repeated candidate rows count each.  Without candidates or queries
     the result is empty; vectors of any length count, other columns play no part.  Shards have about
-    BLOCK rows by id hash, in the smallest integer type.  A task has QUERIES queries and takes RUN
+    BLOCK rows by id hash, in the smallest integer type.  A task has up to QUERIES queries and takes RUN
     shards in turn, carrying the thresholds along: of n rows with m queries, n m / QUERIES shard
-    rows and n m / (BLOCK RUN) query rows are shuffled.
+    rows and n m / (BLOCK RUN) query rows are shuffled; a table of fewer than TASKS such tasks is dealt to
+    more, with SHARE queries at least.  Every query is held against every shard, so work grows as n m where bounds don't part the documents.
     """
     candidates, queries = (f.where(F.col("vector").isNotNull() & F.col("id").isNotNull()) for f in (candidates, queries))
     n, m = candidates.count(), queries.count()
-    blocks, sets = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
+    blocks = max(1, -(-n // BLOCK))
     ranges = -(-blocks // RUN)
+    sets = max(1, -(-m // QUERIES), min(-(-m // SHARE), TASKS // ranges))
     part = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "id", "vector"), F.lit(count))
     stored = _packed(candidates.select("id", "vector", part(1, blocks).alias("part")), "part")
     asked = _packed(queries.select("id", "vector", part(2, sets).alias("part")), "part")
@@ -157,7 +174,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         held = pa.Table.from_batches(list(groups)).sort_by("part").to_pylist()
 
         def read(row: dict) -> tuple[np.ndarray, np.ndarray]:
-            data = np.frombuffer(row["data"], f"<i{row['wide']}").astype(np.int64)
+            data = np.frombuffer(row["data"], f"<i{row['wide']}")
             own = data.reshape(row["size"], len(data) // row["size"])
             return np.frombuffer(row["ids"], np.int64), np.pad(own, ((0, 0), (0, width - own.shape[1])))
 
@@ -166,12 +183,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if not asked:
             return
         ids, vectors = read(asked[0])
+        vectors = vectors.astype(np.int64)
         best = [[np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in ids]
         for row in held:
             if row["part"] != -1:
-                shard = Shard(*read(row))
-                for i in range(len(ids)):
-                    best[i] = shard.search(ids[i], vectors[i], k, best[i])
+                best = Shard(*read(row)).search_all(ids, vectors, k, best)
         found = [np.repeat(ids, [len(b[0]) for b in best]), np.concatenate([b[1] for b in best]), np.concatenate([b[0] for b in best])]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 

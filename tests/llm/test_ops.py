@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -816,6 +817,64 @@ def test_max_score_drops_documents_before_products():
     assert taken and max(taken) < 600
 
 
+def test_max_score_takes_less_time_than_products():
+    """Dense vectors, of which bounds drop few: a query costs no more than a few times what integer products would."""
+    rng = np.random.default_rng(2)
+    vectors = np.floor(64 * (x := rng.normal(size=(8192, 64))) / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    shard, best, plain = topk.Shard(np.arange(8192), vectors), [], []
+    for _ in range(3):
+        start = time.process_time()
+        got = [shard.search(i, vectors[i], 20, [np.zeros(0, np.int64)] * 2) for i in range(40)]
+        best.append(time.process_time() - start)
+        start = time.process_time()
+        exact = [vectors @ vectors[i] for i in range(40)]
+        plain.append(time.process_time() - start)
+    for i, (scores, ids) in enumerate(got):
+        want = [j for j in np.lexsort((np.arange(8192), -exact[i])) if j != i][:20]
+        assert ids.tolist() == want and scores.tolist() == exact[i][want].tolist()
+    assert min(best) < 5 * min(plain)
+
+
+@pytest.mark.parametrize("largest", [3, 30_000, 1 << 28])
+def test_max_score_drops_documents_below_negative_thresholds(largest):
+    rng = np.random.default_rng(largest)
+    vectors = -rng.integers(0, largest + 1, (600, 12))
+    vectors[300:] -= largest
+    taken = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            out = np.ndarray.__getitem__(self, key)
+            taken.append(len(out))
+            return np.asarray(out)
+
+    q, none = rng.integers(1, largest + 1, 12), [np.zeros(0, np.int64)] * 2
+    best = topk.Shard(np.arange(300), vectors[:300]).search(-1, q, 5, none)
+    shard = topk.Shard(np.arange(300, 600), vectors[300:])
+    shard.vectors = vectors[300:].view(Counted)
+    exact = vectors @ q
+    want = np.lexsort((np.arange(600), -exact))[:5]
+    scores, ids = shard.search(-1, q, 5, best)
+    assert ids.tolist() == want.tolist() and scores.tolist() == exact[want].tolist()
+    assert max(taken, default=0) < 150
+
+
+def test_top_k_deals_a_small_table_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "SHARE", 10, raising=False)
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-9, 10, (200, 8))
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(vectors)], "id bigint, vector array<bigint>")
+    got = topk.top_k(frame, frame.where("id % 2 = 0"), 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"xxhash64\(2, .*?, 42\), (\d+)\)", plan) == ["10"]
+    rows = got.collect()
+    assert len(rows) == 300
+    for q in (0, 2, 198):
+        want = sorted((-int(s), i) for i, s in enumerate(vectors @ vectors[q]) if i != q)[:3]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 def test_top_k_of_ragged_vectors(spark):
     data = [(0, [1, 2]), (1, [3]), (2, []), (3, [1, 1, 5])]
     frame = spark.createDataFrame(data, "id bigint, vector array<bigint>")
