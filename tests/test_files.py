@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import struct
+import threading
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar.sources import geotiff, npz
+from isobar.sources.shared import Staged, discard, stage
 
 
 @pytest.fixture(autouse=True)
@@ -77,6 +81,31 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path, kind):
     assert list(path.iterdir()) == []
 
 
+def test_an_abort_ends_while_tasks_begin_files(tmp_path):
+    stop = threading.Event()
+
+    def task(folder):
+        files = Staged(str(tmp_path), ".npz", folder)
+        with contextlib.suppress(FileNotFoundError):
+            while not stop.is_set():
+                files.open("x").close()
+
+    for _ in range(10):
+        folder = stage(str(tmp_path))
+        tasks = [threading.Thread(target=task, args=[folder]) for _ in range(3)]
+        try:
+            for t in tasks:
+                t.start()
+            time.sleep(0.01)
+            discard(str(tmp_path), folder)
+        finally:
+            stop.set()
+            for t in tasks:
+                t.join()
+            stop.clear()
+        assert list(tmp_path.iterdir()) == []
+
+
 def test_trajectories_round_trip(spark, tmp_path):
     path = str(tmp_path / "npz")
     rows = [(i, k, None if k == 3 else i + k / 10) for i in range(-2, 40) for k in range(30)]
