@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from isobar.operators.label import components, whole_steps
+from isobar.operators.label import components, dealt, whole_steps
 
 #: Points of a box.
 LEAF = 32
@@ -133,7 +133,7 @@ def attribute(precip: DataFrame, areas: DataFrame, centers: DataFrame, grid: Dat
             wet = np.flatnonzero(~seat)
             yield pa.RecordBatch.from_arrays([pa.array(held[c][wet]).cast(schema.field(c).type) for c in ("t", "y", "x", "total")] + [pa.array(given[wet])], schema=schema)
 
-    contested = both.repartition("t", "region").sortWithinPartitions("t", "region").mapInArrow(share, "t bigint, y int, x int, total double, id int")
+    contested = dealt(both, "t", "region").sortWithinPartitions("t", "region").mapInArrow(share, "t bigint, y int, x int, total double, id int")
     return alone.unionByName(contested)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from isobar.functions.geo import haversine
 from isobar.operators import raster as R
-from isobar.operators.label import Contours, label_cells, label_grid, whole_steps
+from isobar.operators.label import Contours, components, label_cells, label_grid, whole_steps
 from isobar.operators.masks import _nearest_within, nearest_point
 
 
@@ -121,3 +121,23 @@ def test_labels_of_many_steps_at_once():
     for most in (1, 5, 50):
         parts = [p.column("t").to_numpy() for p in whole_steps((pa.record_batch({"t": t[a : a + 7]}) for a in range(0, 100, 7)), most)]
         assert (np.concatenate(parts) == t).all() and sum(len(set(p)) for p in parts) == len(set(t))
+
+
+def test_halves_of_a_union_meet_in_a_task(spark):
+    """Both halves of a grid are dealt by step already; adaptive plans read each in pieces of its own."""
+    half = lambda x, wide: spark.range(20_000).groupBy((F.col("id") % 2_000).alias("t")).agg(F.max(wide).alias("s")).select("t", F.lit(0).alias("y"), (F.lit(x) + 0 * F.length("s")).alias("x"))
+    small = {"shuffle.partitions": "16", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.coalescePartitions.minPartitionSize": "1k", "adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = components(half(0, F.lit("")).unionByName(half(1, F.sha2(F.col("id").cast("string"), 512))), (1, 2)).groupBy("label").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert [tuple(r) for r in got] == [(0, 4_000)]
+
+
+def test_regions_are_dealt_by_a_key_of_their_own(spark, data):
+    """A repartition by the columns of the joins below would be left out, and rain and areas of a region be shared out apart."""
+    assert "Exchange hashpartitioning(xxhash64(t" in executed(entry.queries()["precip_cells"](spark, data)).split("MapInArrow share")[1].split("Union")[0]
