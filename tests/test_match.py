@@ -64,7 +64,7 @@ def test_a_block_is_laid_out_in_parts_that_hold_all_tracks(monkeypatch):
     assert np.isnan(parts[0].lat[:, 0]).sum() == 8
 
 
-@pytest.mark.parametrize("name", ["compare_tracks"])
+@pytest.mark.parametrize("name", ["compare_tracks", "compare_months"])
 def test_pairs_of_tracks_are_not_sent(spark, data, name):
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\(a#\d+L?, b#\d+L?, \d+\)", plan) and "MapInArrow" in plan
